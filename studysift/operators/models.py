@@ -6,9 +6,11 @@ Every classifier takes a table with ``doc_id, features, label`` and gives a fitt
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -31,9 +33,12 @@ from studysift.operators import folds as fd
 from studysift.operators import kernel as kn
 from studysift.operators import metrics as mt
 from studysift.operators import neighbours as nb
+from studysift.operators.storage import stored
 
 Params = dict[str, Any]
 MAX_TREE_DEPTH = 30
+CALIBRATION_FOLDS = 3
+ROWS_PER_TASK = 20_000
 
 
 class Fitted:
@@ -68,8 +73,15 @@ def _from_probability(model: Any) -> Fitted:
     return Fitted(transform)
 
 
-def _weighted(train: DataFrame, params: Params) -> DataFrame:
-    return mt.with_class_weight(train, params.get("class_weight") == "balanced")
+@contextmanager
+def _weighted(train: DataFrame, params: Params, features: str = "features") -> Iterator[DataFrame]:
+    """Training rows with their class weight, kept for the passes of one fit."""
+    columns = train.select("doc_id", features, "label")
+    rows = mt.with_class_weight(columns, params.get("class_weight") == "balanced").persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
 
 
 def _tree_settings(params: Params) -> Params:
@@ -83,9 +95,16 @@ def _tree_settings(params: Params) -> Params:
     }
 
 
+def _few_tasks(rows: DataFrame, n: int) -> DataFrame:
+    """Merge the partitions of a small table: a linear fit passes over it a hundred times and each task costs."""
+    wanted = max(1, -(-n // ROWS_PER_TASK))
+    return rows.coalesce(wanted) if wanted < rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def fit_tree(train: DataFrame, params: Params, seed: int) -> Fitted:
     tree = DecisionTreeClassifier(seed=seed, **_tree_settings(params))
-    return _from_probability(tree.fit(_weighted(train, params)))
+    with _weighted(train, params) as rows:
+        return _from_probability(tree.fit(rows))
 
 
 def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -93,16 +112,20 @@ def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
         numTrees=params.get("n_estimators", 100),
         featureSubsetStrategy="sqrt",
         seed=seed,
+        maxMemoryInMB=512,
         **_tree_settings(params),
     )
-    return _from_probability(forest.fit(_weighted(train, params)))
+    with _weighted(train, params) as rows:
+        return _from_probability(forest.fit(rows))
 
 
 def fit_logistic(train: DataFrame, params: Params, seed: int) -> Fitted:
     # the usual penalty C = 1 on the summed loss is 1 / (C n) on the mean loss
-    penalty = 1.0 / (params.get("C", 1.0) * max(1, train.count()))
-    model = LogisticRegression(regParam=penalty, standardization=False, weightCol="weight")
-    return _from_probability(model.fit(_weighted(train, params)))
+    with _weighted(train, params) as rows:
+        n = rows.count()
+        penalty = 1.0 / (params.get("C", 1.0) * max(1, n))
+        model = LogisticRegression(regParam=penalty, standardization=False, weightCol="weight")
+        return _from_probability(model.fit(_few_tasks(rows, n)))
 
 
 def fit_bayes(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -111,7 +134,7 @@ def fit_bayes(train: DataFrame, params: Params, seed: int) -> Fitted:
 
 def fit_linear(train: DataFrame, params: Params, seed: int) -> Fitted:
     """Least squares on the 0/1 label; the fitted value cut at 0 and 1 stands in for a probability."""
-    model = LinearRegression(solver="l-bfgs", regParam=params.get("alpha", 1e-6)).fit(train)
+    model = LinearRegression(solver="l-bfgs", regParam=params.get("alpha", 1e-6)).fit(_few_tasks(train, train.count()))
 
     def transform(df: DataFrame) -> DataFrame:
         value = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
@@ -121,15 +144,11 @@ def fit_linear(train: DataFrame, params: Params, seed: int) -> Fitted:
     return Fitted(transform)
 
 
-def _hash_fold(n: int) -> Any:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-
-
 def _margins(model: Any, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("margin", F.get(vector_to_array("rawPrediction"), 1))
 
 
-def _platt(margins: DataFrame) -> Any:
+def _platt(margins: DataFrame, n: int) -> Any:
     """Logistic map from margin to probability with Platt's smoothed targets, each given as two weighted rows."""
     sizes = margins.agg(
         F.struct(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).alias("s")
@@ -147,7 +166,7 @@ def _platt(margins: DataFrame) -> Any:
         ),
     )
     assembled = VectorAssembler(inputCols=["margin"], outputCol="m").transform(soft)
-    return LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0).fit(assembled)
+    return LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0).fit(_few_tasks(assembled, n))
 
 
 def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -158,27 +177,28 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
     kernel, gamma = params.get("kernel", "rbf"), params.get("gamma", 1.0)
     marks = kn.landmark_matrix(train, params.get("landmarks", kn.LANDMARKS))
     white = kn.whitening(marks, kernel, gamma)
-    mapped = kn.kernel_features(train, marks, white, kernel, gamma)
-    mapped = _weighted(mapped, params).withColumn("_fold", _hash_fold(3)).persist()
 
     def machine(rows: DataFrame) -> Any:
-        penalty = 1.0 / (params.get("C", 1.0) * max(1, rows.count()))
+        n = rows.count()
+        penalty = 1.0 / (params.get("C", 1.0) * max(1, n))
         return LinearSVC(
             featuresCol="kernel_features",
             regParam=penalty,
+            maxIter=50,
             tol=min(params.get("tol", 1e-3), 1e-2),
             weightCol="weight",
             standardization=False,
-        ).fit(rows)
+        ).fit(_few_tasks(rows, n))
 
-    try:
-        model = machine(mapped)
+    mapped = kn.kernel_features(train.select("doc_id", "features", "label"), marks, white, kernel, gamma)
+    with _weighted(mapped, params, "kernel_features") as rows:
+        model = machine(rows)
+        fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_FOLDS))
         held_out = [
-            _margins(machine(mapped.where(F.col("_fold") != i)), mapped.where(F.col("_fold") == i)) for i in range(3)
+            _margins(machine(rows.where(fold != i)), rows.where(fold == i)).select("label", "margin")
+            for i in range(CALIBRATION_FOLDS)
         ]
-        calibration = _platt(held_out[0].unionByName(held_out[1]).unionByName(held_out[2]))
-    finally:
-        mapped.unpersist()
+        calibration = _platt(reduce(DataFrame.unionByName, held_out), rows.count())
     slope, offset = float(calibration.coefficients[0]), float(calibration.intercept)
 
     def transform(df: DataFrame) -> DataFrame:
@@ -332,7 +352,7 @@ def cross_validate_years(
     train: DataFrame, spec: Classifier, params: Params | None = None, n_splits: int = 5, seed: int = 42
 ) -> DataFrame:
     """Macro metrics of each year fold, newest block first; every fold trains on earlier years only."""
-    marked = fd.year_folds(train, n_splits)
+    marked = stored(fd.year_folds(train, n_splits), "year-folds")
     params = spec.best if params is None else params
 
     def run(fold: int) -> DataFrame:
@@ -340,9 +360,7 @@ def cross_validate_years(
         return spec.fit(rest, params, seed).transform(held).select("label", "pred", F.lit(fold).alias("fold"))
 
     tested = [run(fold) for fold in range(1, n_splits + 1)]
-    rows = tested[0]
-    for more in tested[1:]:
-        rows = rows.unionByName(more)
+    rows = reduce(DataFrame.unionByName, tested)
     return mt.macro_metrics(rows, ("fold",))
 
 
@@ -350,7 +368,7 @@ def cross_validate_series(
     train: DataFrame, spec: Classifier, params: Params | None = None, n_splits: int = 5, seed: int = 42
 ) -> DataFrame:
     """``(fold, threshold, f1)`` over expanding folds; each uses the threshold that keeps all its training hits."""
-    marked = fd.time_series_folds(train, n_splits)
+    marked = stored(fd.time_series_folds(train, n_splits), "series-folds")
     params = spec.best if params is None else params
 
     def run(fold: int) -> DataFrame:
@@ -367,9 +385,7 @@ def cross_validate_series(
         )
 
     tested = [run(fold) for fold in range(1, n_splits + 1)]
-    rows = tested[0]
-    for more in tested[1:]:
-        rows = rows.unionByName(more)
+    rows = reduce(DataFrame.unionByName, tested)
     counts = rows.groupBy("fold", "threshold").agg(*mt.confusion_counts("label", F.col("pred")))
     return mt.add_metrics(counts).select("fold", "threshold", "f1")
 

@@ -11,7 +11,7 @@ from studysift.functions import measures as ms
 from studysift.functions import text as tx
 
 HOT_TERMS = 1000
-SALTS = 64
+SPREAD_KEYS = 4096
 
 
 def _grams(df: DataFrame, text: str, keep: Sequence[str], ngram_range: tuple[int, int]) -> DataFrame:
@@ -71,17 +71,25 @@ def fit_idf(
 def _join_terms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Inner join on term that stays even when a term occurs in most documents.
 
-    The most frequent terms (a fixed number of them, so the broadcast is bounded) are spread over ``SALTS`` sub-keys.
-    Every other term occurs less often than each of those, hence in under a thousandth of all rows.
+    The most frequent terms (a fixed number of them, so the broadcast is bounded) bring their weight along. Their rows
+    go through the shuffle under made-up keys, which no word can equal, spread by document. Every other term occurs
+    less often than each of those, hence in under a thousandth of all rows.
     """
+    others = [c for c in counts.columns if c != "term"]
     hot = F.broadcast(
-        vocabulary.orderBy(F.col("df").desc(), "term").limit(HOT_TERMS).select("term", F.lit(True).alias("_hot"))
+        vocabulary.orderBy(F.col("df").desc(), "term").limit(HOT_TERMS).select("term", F.col("idf").alias("_hot"))
+    )
+    is_hot = F.col("_hot").isNotNull()
+    stand_in = F.concat(F.lit("#"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD_KEYS)).cast("string"))
+    keyed = counts.join(hot, "term", "left").select(
+        *others, "_hot", F.when(is_hot, F.col("term")).alias("_t"), F.when(is_hot, stand_in).otherwise(F.col("term")).alias("_k")
+    )
+    known = vocabulary.select(F.col("term").alias("_k"), F.col("idf").alias("_idf"))
+    return (
+        keyed.join(known, "_k", "left")
+        .select(*others, F.coalesce("_t", "_k").alias("term"), F.coalesce("_hot", "_idf").alias("idf"))
+        .where(F.col("idf").isNotNull())
     )
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    salted = counts.join(hot, "term", "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread_terms = vocabulary.join(hot, "term", "left").select("term", "idf", F.explode(copies).alias("_salt"))
-    return salted.drop("_hot").join(spread_terms, ["term", "_salt"]).drop("_salt")
 
 
 def tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:

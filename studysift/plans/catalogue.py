@@ -23,10 +23,11 @@ from studysift.operators import neighbours as nb
 from studysift.operators import selection as sel
 from studysift.operators import validate as vd
 from studysift.operators import vectorise as vz
+from studysift.operators.storage import stored
 from studysift.plans import pool as pl
 from studysift.plans import screening as sc
 from studysift.sources import bib
-from studysift.sources.records import documents, read_table, studies
+from studysift.sources.records import documents, read_table, studies, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,7 +91,7 @@ def train_of(df: DataFrame) -> DataFrame:
 def bib_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Every document rendered as a bibliography entry and parsed back."""
     fields = {c: F.col(c) for c in ("title", "abstract", "year")}
-    entries = documents(spark, folder).select(
+    entries = documents(spark, folder, text_work=True).select(
         bib.parse_entry(bib.render_entry(F.col("doc_id"), fields)).alias("e")
     )
     return entries.select(
@@ -210,20 +211,20 @@ def year_profile_pivot(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of each token over all documents."""
-    rows = lx.token_rows(read_table(spark, folder, "documents"), tx.tokens(F.col("text")))
+    rows = lx.token_rows(texts(spark, folder), tx.tokens(F.col("text")))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last_position"))
 
 
 def stopword_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Number of tokens of each document before and after stop-word removal."""
-    toks = read_table(spark, folder, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    toks = texts(spark, folder).select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return toks.select(
         "doc_id", F.size("t").alias("tokens"), F.size(tx.drop_stopwords()(F.col("t"))).alias("kept")
     )
 
 
 def normalised_text(spark: SparkSession, folder: str) -> DataFrame:
-    toks = read_table(spark, folder, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    toks = texts(spark, folder).select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return toks.select("doc_id", tx.normalised(F.col("t"), [tx.drop_stopwords()]).alias("content"))
 
 
@@ -237,13 +238,13 @@ def _tagged(rows: DataFrame) -> DataFrame:
 def lemmatize(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of each (token, part of speech, lemma)."""
     lexicon = spark.createDataFrame(LEXICON, "surface STRING, pos STRING, lemma STRING")
-    rows = _tagged(lx.token_rows(read_table(spark, folder, "documents"), tx.tokens(F.col("text"))))
+    rows = _tagged(lx.token_rows(texts(spark, folder), tx.tokens(F.col("text"))))
     return lx.lemmatise(rows, lexicon).groupBy("token", "pos", "lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of each 2- and 3-gram over the studies."""
-    grams = vz.term_counts(studies(spark, folder), ngram_range=(2, 3))
+    grams = vz.term_counts(studies(spark, folder, text_work=True), ngram_range=(2, 3))
     return grams.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
@@ -262,33 +263,33 @@ def duration_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return vz.term_counts(studies(spark, folder))
+    return vz.term_counts(studies(spark, folder, text_work=True))
 
 
 def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return vz.document_frequency(vz.document_terms(train_of(studies(spark, folder))))
+    return vz.document_frequency(vz.document_terms(train_of(studies(spark, folder, text_work=True))))
 
 
 def vocabulary_size(spark: SparkSession, folder: str) -> DataFrame:
-    return vz.vocabulary_size(vz.document_terms(train_of(studies(spark, folder))))
+    return vz.vocabulary_size(vz.document_terms(train_of(studies(spark, folder, text_work=True))))
 
 
 def idf(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(vz.fit_idf(train_of(studies(spark, folder))))
+    return rounded(vz.fit_idf(train_of(studies(spark, folder, text_work=True))))
 
 
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(sc.weighted_terms(studies(spark, folder), CONFIG).select("doc_id", "term", "v"))
+    return rounded(sc.weighted_terms(studies(spark, folder, text_work=True), CONFIG).select("doc_id", "term", "v"))
 
 
 def _train_scores(spark: SparkSession, folder: str, score: str) -> DataFrame:
-    rows = studies(spark, folder)
+    rows = studies(spark, folder, text_work=True)
     train = train_of(rows)
     sizes = sel.class_sizes(train)
     if score == "affinity":
         terms = vz.document_terms(train, keep=("doc_id", "label"))
         return sel.score_terms(sel.term_statistics(terms, value=None), sizes, score)
-    features = train_of(sc.weighted_terms(rows, CONFIG))
+    features = sc.weighted_terms(train, CONFIG)
     return sel.score_terms(sel.term_statistics(features), sizes, score)
 
 
@@ -420,7 +421,7 @@ def knn_vote_weighted(spark: SparkSession, folder: str) -> DataFrame:
 
 def _screening(classifier: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        vectors = sc.build_vectors(studies(spark, folder), CONFIG)
+        vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
         return sc.screen(vectors, classifier).select("doc_id", "title", "label", "pred", round6("proba").alias("proba"))
 
     return run
@@ -432,21 +433,21 @@ def _spec(classifier: str, **changes: object) -> tuple[md.Classifier, md.Params]
 
 
 def grid_results(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = sc.build_vectors(studies(spark, folder), CONFIG)
-    marked = fd.stratified_folds(vectors.train, FOLDS)
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
+    marked = stored(fd.stratified_folds(vectors.train, FOLDS), "stratified")
     grid = {"criterion": ["gini", "entropy"], "max_depth": [5], "class_weight": ["balanced"]}
     results, _ = md.grid_search(marked, md.REGISTRY["dt"], grid, seed=SEED, parallelism=8)
     return results
 
 
 def cv_years(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = sc.build_vectors(studies(spark, folder), CONFIG)
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
     spec, params = _spec("dt", max_depth=5)
     return rounded(md.cross_validate_years(vectors.train, spec, params, 3))
 
 
 def cv_series(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = sc.build_vectors(studies(spark, folder), CONFIG)
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
     spec, params = _spec("dt", max_depth=5)
     return rounded(md.cross_validate_series(vectors.train, spec, params, 3))
 
@@ -454,13 +455,13 @@ def cv_series(spark: SparkSession, folder: str) -> DataFrame:
 def screening_report(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and confusion counts of two classifiers on the hold-out studies."""
     config = ScreeningConfig(k=200, classifiers=("svm", "rforest"), validation="none")
-    tables = sc.run_screening(studies(spark, folder), config)
+    tables = sc.run_screening(studies(spark, folder, text_work=True), config)
     return rounded(tables["scores"].join(tables["analysis"], "classifier"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Confusion counts and metrics of the forest on the hold-out studies, end to end from the raw tables."""
-    vectors = sc.build_vectors(studies(spark, folder), CONFIG)
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
     scored_rows = sc.screen(vectors, "rforest")
     return mt.add_metrics(mt.confusion(scored_rows, {"RFOREST": "pred"}))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,16 @@ class Vectors:
     best: DataFrame
 
 
-def weighted_terms(studies: DataFrame, config: ScreeningConfig) -> DataFrame:
-    """TF-IDF rows of all studies with the vocabulary of the training split, both written once."""
+def weighted_terms(studies: DataFrame, config: ScreeningConfig, store: bool = False) -> DataFrame:
+    """TF-IDF rows of all studies with the vocabulary of the training split.
+
+    The vocabulary is written once, as it is read twice; ``store`` does the same for the result.
+    """
     train = studies.where(F.col("split") == "train")
     vocabulary = stored(vz.fit_idf(train, ngram_range=config.ngram_range, min_df=config.min_df), "vocabulary")
     counts = vz.term_counts(studies, keep=CARRIED, ngram_range=config.ngram_range)
-    return stored(vz.tfidf(counts, vocabulary), "tfidf")
+    weighted = vz.tfidf(counts, vocabulary)
+    return stored(weighted, "tfidf") if store else weighted
 
 
 def select_terms(studies: DataFrame, features: DataFrame, config: ScreeningConfig) -> DataFrame:
@@ -53,7 +58,7 @@ def select_terms(studies: DataFrame, features: DataFrame, config: ScreeningConfi
 
 def build_vectors(studies: DataFrame, config: ScreeningConfig) -> Vectors:
     """Vectors of both splits; the small vector table is what all model fits read."""
-    features = weighted_terms(studies, config)
+    features = weighted_terms(studies, config, store=True)
     best = stored(select_terms(studies, features, config), "best-terms")
     kept = studies.select("doc_id", "entry_index", "title", "year", "category", "label", "split")
     vectors = stored(sel.feature_vectors(kept, features, best, config.k), "vectors")
@@ -88,7 +93,7 @@ def run_screening(
         params = spec.best
         if config.validation == "grid":
             grid = (grids or {}).get(name, spec.grid)
-            marked = fd.stratified_folds(vectors.train, config.n_splits)
+            marked = stored(fd.stratified_folds(vectors.train, config.n_splits), "stratified")
             results, params = md.grid_search(marked, spec, grid, config.scoring, config.seed)
             tried[name] = {**grid, "cv": [config.n_splits], "scoring": [config.scoring]}
             validation.append(
@@ -105,10 +110,7 @@ def run_screening(
     tables = report_tables(vectors.test, predicted)
     tables["parameters"] = md.parameter_rows(spark, chosen, tried)
     if validation:
-        rows = validation[0]
-        for more in validation[1:]:
-            rows = rows.unionByName(more)
-        tables["validation"] = rows
+        tables["validation"] = reduce(DataFrame.unionByName, validation)
     tables["test_configuration"] = run_facts(spark, config, started, time.time())
     return tables
 

@@ -14,14 +14,29 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Give every core work when a table comes in fewer splits than there are cores.
+
+    Only then, that is on small inputs, is the table shuffled; many splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.select(key).rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Document texts for work that costs more than reading them."""
+    return spread(read_table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def source_year() -> Column:
     """The year a source name stands for: src0 is 2000, src19 is 2019."""
     return (2000 + F.substr("source", F.lit(4)).try_cast("int")).cast("int")
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
+def documents(spark: SparkSession, folder: str, text_work: bool = False) -> DataFrame:
     """Every document as a title, its abstract and a year, labelled or not."""
-    return read_table(spark, folder, "documents").select(
+    table = texts(spark, folder) if text_work else read_table(spark, folder, "documents")
+    return table.select(
         "doc_id",
         tx.first_line(F.col("text")).alias("title"),
         tx.after_first_line(F.col("text")).alias("abstract"),
@@ -30,11 +45,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def studies(spark: SparkSession, folder: str, year_to_split: int = YEAR_TO_SPLIT) -> DataFrame:
+def studies(
+    spark: SparkSession, folder: str, text_work: bool = False, year_to_split: int = YEAR_TO_SPLIT
+) -> DataFrame:
     """Labelled documents as studies with category, label and the temporal split."""
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return (
-        documents(spark, folder)
+        documents(spark, folder, text_work)
         .drop("abstract")
         .join(labels, "doc_id")
         .select(
