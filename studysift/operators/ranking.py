@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+PART = "_part"
 
 
 def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
@@ -43,18 +44,20 @@ def running_sums(
     cut = with_range_bucket(df, keys[0]) if bucket is None else df.withColumn(BUCKET, bucket)
     way = (lambda c: F.col(c).desc()) if descending else F.col
     parts = [*per, *groups, BUCKET]
-    measured = cut.select("*", *[v.alias(f"_v_{name}") for name, v in sums.items()])
+    # one key that is never null names the part, so rows with a null year or group are kept by the join
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in parts])
+    measured = cut.select("*", name.alias(PART), *[v.alias(f"_v_{n}") for n, v in sums.items()])
 
     before = Window.partitionBy(*per).orderBy(*groups, way(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        measured.groupBy(*parts)
-        .agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
-        .select(*parts, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+        measured.groupBy(PART, *parts)
+        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+        .select(PART, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
     )
-    inside = Window.partitionBy(*parts).orderBy(*[way(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(PART).orderBy(*[way(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        measured.select(*df.columns, BUCKET, *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in sums])
-        .join(offsets, parts)
+        measured.select(*df.columns, PART, *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in sums])
+        .join(offsets, PART)
         .select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
     )
 

@@ -17,24 +17,23 @@ from studysift.operators.validate import check_required, keep_first, to_studies
 # Fixed patterns of an entry: "type{key," and then fields "name = value".
 _HEAD = r"^\s*@?(\w+)\s*\{\s*([^,\s]*)\s*,"
 _INNER = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-_BRACED = r"\{([^{}]*+(?:" + _INNER + r"[^{}]*+)*+)\}"
-_FIELD = r'([A-Za-z_][\w\-]*)\s*=\s*(?:' + _BRACED + r'|"([^"]*+)"|([^\s,{}"]++))\s*(?=,|\}|$)'
+_BRACED = r"\{[^{}]*+(?:" + _INNER + r"[^{}]*+)*+\}"
+_FIELD = r'[A-Za-z_][\w\-]*\s*=\s*(?:' + _BRACED + r'|"[^"]*+"|[^\s,{}"]++)(?=\s*(?:,|\}|$))'
+
+
+def _name_and_value(found: Column) -> Column:
+    raw = F.trim(F.substr(found, F.instr(found, "=") + 1))
+    enclosed = F.substr(raw, F.lit(1), F.lit(1)).isin("{", '"')
+    bare = F.when(enclosed, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.struct(F.lower(F.trim(F.substring_index(found, "=", 1))).alias("n"), F.trim(bare).alias("v"))
 
 
 def parse_entry(entry: Column) -> Column:
     """Struct ``(entry_type, key, fields)`` of an entry's text; of a repeated field the last value counts."""
-    names = F.transform(F.regexp_extract_all(entry, F.lit(_FIELD), F.lit(1)), lambda n: F.lower(n))
-    # one of the three value groups matches and the others are empty
-    values = F.zip_with(
-        F.zip_with(
-            F.regexp_extract_all(entry, F.lit(_FIELD), F.lit(2)),
-            F.regexp_extract_all(entry, F.lit(_FIELD), F.lit(3)),
-            lambda a, b: F.concat(a, b),
-        ),
-        F.regexp_extract_all(entry, F.lit(_FIELD), F.lit(4)),
-        lambda ab, c: F.trim(F.concat(ab, c)),
-    )
-    pairs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    # one pass finds the fields; cutting each one at its "=" needs no further pattern
+    found = F.regexp_extract_all(entry, F.lit(_FIELD), F.lit(0))
+    pairs = F.transform(found, _name_and_value)
+    names = F.transform(pairs, lambda p: p["n"])
     last = F.transform(
         F.array_distinct(names),
         lambda n: F.struct(n, F.element_at(F.filter(pairs, lambda p: p["n"] == n), -1)["v"]),

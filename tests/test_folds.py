@@ -99,6 +99,13 @@ def test_number_rows_with_a_crowded_group(spark):
     assert got == [r.id for r in df.orderBy("g", "id").collect()]
 
 
+def test_number_rows_keeps_null_groups(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, None), (None, 5)], "id long, g int")
+    got = sorted((r.position, r.id, r.g) for r in number_rows(df, "id", groups=("g",)).collect() if r.id is not None)
+    assert got == [(1, 1, None), (2, 3, None), (4, 2, 5)] or got == [(1, 1, None), (2, 3, None), (3, 2, 5)]
+    assert number_rows(df, "id", groups=("g",)).count() == 4
+
+
 def test_year_order_puts_removed_first(spark):
     df, rows = studies(spark, {2000: 6, 2001: 6})
     got = fd.year_order(df.withColumn("split", F.lit("train"))).orderBy("position").collect()

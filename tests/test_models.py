@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -8,9 +10,13 @@ from studysift.operators import folds as fd
 from studysift.operators import metrics as mt
 from studysift.operators import models as md
 from studysift.operators import neighbours as nb
+from studysift.operators.stages import TermVectoriser
 from studysift.plans import screening as sc
 from studysift.plans.pool import resplit
+from studysift.plans.preparation import screen_bibliography
+from studysift.sources.bib import LABELLED_FILES
 from studysift.sources.records import studies
+from studysift.sources.tables import read_result
 
 
 def points(spark, rows):
@@ -138,3 +144,29 @@ def test_resplit(spark, small):
     out = resplit(studies(spark, small).drop("content"), 42)
     assert sum(r.entries for r in out["sizes"].collect()) == studies(spark, small).count()
     assert out["studies"].where("position = 1").count() == 2
+
+
+def test_vectoriser_in_a_pipeline(spark, small):
+    rows = studies(spark, small)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    stages = [TermVectoriser(30, "chi2", (1, 2)), LogisticRegression(maxIter=5)]
+    out = Pipeline(stages=stages).fit(train).transform(test)
+    assert out.count() == test.count() and out.first()["features"].size == 30
+
+
+def test_bibliography_to_report(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = {"selected": ["method", "study", "trial"], "removed": ["noise", "other", "thing"]}
+    for name, split, category in LABELLED_FILES:
+        with open(tmp_path / name, "w", encoding="utf-8") as f:
+            for i in range(12):
+                text = " ".join(rng.choice([*words[category], "common", "words"], 12))
+                year = (2000 if split == "train" else 2015) + i % 6
+                f.write(f"@article{{k,\n\ttitle = {{item {len(name)}{split[1]} {i}}},\n\tabstract = {{{text}}},\n\tyear = {year}\n}}\n")
+    config = ScreeningConfig(k=20, validation="years", n_splits=2, classifiers=("dt",))
+    lexicon = spark.createDataFrame([("word", "n", "word")], "surface string, pos string, lemma string")
+    out = str(tmp_path / "report")
+    tables = screen_bibliography(spark, str(tmp_path), config, out, lexicon, strict=True)
+    assert read_result(spark, out, "predictions").count() == 24
+    assert read_result(spark, out, "scores").first()["f1"] > 0.9
+    assert tables["validation"].count() == 6
