@@ -75,21 +75,25 @@ def year_cuts(train: DataFrame, n_splits: int, min_tail: int = 5) -> DataFrame:
     ``ceil(m / 2)`` folds span two years each. Too few years raise an error when the plan runs.
     """
     newest_first = Window.orderBy(F.col("year").desc())
+    all_years = Window.partitionBy()
     ranked = (
         train.groupBy("year")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("year", F.sum("_n").over(newest_first).alias("_tail"), F.row_number().over(newest_first).alias("_r"))
+        .withColumns(
+            {
+                "_doubled": F.ceil(F.sum((F.col("_tail") < min_tail).cast("int")).over(all_years) / 2),
+                "_years": F.count(F.lit(1)).over(all_years),
+            }
+        )
     )
-    m = F.count_if(F.col("_tail") < min_tail)
-    years = ranked.agg(F.struct(m.alias("short"), F.count(F.lit(1)).alias("years")).alias("y")).scalar()
-    doubled = F.ceil(F.col("_y.short") / 2)
+    doubled = F.col("_doubled")
     fold = F.when(F.col("_r") <= 2 * doubled, F.ceil(F.col("_r") / 2)).otherwise(F.col("_r") - doubled)
     enough = F.when(
-        F.col("_y.years") < n_splits + F.least(doubled, F.lit(n_splits)) + 1, F.raise_error(F.lit("year folds need more distinct years"))
+        F.col("_years") < n_splits + F.least(doubled, F.lit(n_splits)) + 1,
+        F.raise_error(F.lit("year folds need more distinct years")),
     ).otherwise(fold)
-    return ranked.withColumn("_y", years).select(
-        "year", F.when(enough <= n_splits, enough).cast("int").alias("fold")
-    )
+    return ranked.select("year", F.when(enough <= n_splits, enough).cast("int").alias("fold"))
 
 
 def year_folds(train: DataFrame, n_splits: int, min_tail: int = 5) -> DataFrame:

@@ -96,7 +96,7 @@ def _tree_settings(params: Params) -> Params:
 
 
 def _few_tasks(rows: DataFrame, n: int) -> DataFrame:
-    """Merge the partitions of a small table: a linear fit passes over it a hundred times and each task costs."""
+    """Merge the partitions of a small table: a fit passes over it many times and each task costs."""
     wanted = max(1, -(-n // ROWS_PER_TASK))
     return rows.coalesce(wanted) if wanted < rows.sparkSession.sparkContext.defaultParallelism else rows
 
@@ -104,19 +104,20 @@ def _few_tasks(rows: DataFrame, n: int) -> DataFrame:
 def fit_tree(train: DataFrame, params: Params, seed: int) -> Fitted:
     tree = DecisionTreeClassifier(seed=seed, **_tree_settings(params))
     with _weighted(train, params) as rows:
-        return _from_probability(tree.fit(rows))
+        return _from_probability(tree.fit(_few_tasks(rows, rows.count())))
 
 
 def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
+    trees = params.get("n_estimators", 100)
     forest = RandomForestClassifier(
-        numTrees=params.get("n_estimators", 100),
+        numTrees=trees,
         featureSubsetStrategy="sqrt",
         seed=seed,
         maxMemoryInMB=512,
         **_tree_settings(params),
     )
     with _weighted(train, params) as rows:
-        return _from_probability(forest.fit(rows))
+        return _from_probability(forest.fit(_few_tasks(rows, trees * rows.count())))
 
 
 def fit_logistic(train: DataFrame, params: Params, seed: int) -> Fitted:

@@ -25,6 +25,7 @@ from studysift.operators import validate as vd
 from studysift.operators import vectorise as vz
 from studysift.operators.storage import stored
 from studysift.plans import pool as pl
+from studysift.plans import preparation as pp
 from studysift.plans import screening as sc
 from studysift.sources import bib
 from studysift.sources.records import documents, read_table, studies, texts
@@ -228,18 +229,26 @@ def normalised_text(spark: SparkSession, folder: str) -> DataFrame:
     return toks.select("doc_id", tx.normalised(F.col("t"), [tx.drop_stopwords()]).alias("content"))
 
 
-def _tagged(rows: DataFrame) -> DataFrame:
-    """A part of speech from the word's ending, standing in for a tagger's column."""
+def _tag() -> Column:
+    """A part of speech from the ending of ``token``, standing in for a tagger's column."""
     t = F.lower("token")
-    pos = F.when(F.endswith(t, F.lit("ly")), "r").when(t.rlike("(ed|ing|is|are|was|be)$"), "v").otherwise("n")
-    return rows.withColumn("pos", pos)
+    return F.when(F.endswith(t, F.lit("ly")), "r").when(t.rlike("(ed|ing|is|are|was|be)$"), "v").otherwise("n")
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "surface STRING, pos STRING, lemma STRING")
 
 
 def lemmatize(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of each (token, part of speech, lemma)."""
-    lexicon = spark.createDataFrame(LEXICON, "surface STRING, pos STRING, lemma STRING")
-    rows = _tagged(lx.token_rows(texts(spark, folder), tx.tokens(F.col("text"))))
-    return lx.lemmatise(rows, lexicon).groupBy("token", "pos", "lemma").agg(F.count(F.lit(1)).alias("n"))
+    rows = lx.token_rows(texts(spark, folder), tx.tokens(F.col("text"))).withColumn("pos", _tag())
+    return lx.lemmatise(rows, _lexicon(spark)).groupBy("token", "pos", "lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lemmatised_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole chain: tokens, lemmas, stop words, joined and lower-cased."""
+    rows = texts(spark, folder).select("doc_id", F.col("text").alias("content"))
+    return pp.normalise_studies(rows, _lexicon(spark), _tag())
 
 
 def ngrams(spark: SparkSession, folder: str) -> DataFrame:
@@ -472,7 +481,7 @@ def all_queries() -> dict[str, Query]:
         required_fields, first_line, temporal_split, outcome_rows,
         dedupe_first, duplicate_titles, set_sizes, surplus_titles,
         reviewer_join, agreement_distance, proba_bins, model_disagreement, year_profile_pivot,
-        tokenize, stopword_filter, normalised_text, lemmatize, ngrams, title_preview, duration_label,
+        tokenize, stopword_filter, normalised_text, lemmatize, lemmatised_text, ngrams, title_preview, duration_label,
         term_frequency, document_frequency, vocabulary_size, idf, tfidf, select_k_best,
         seeded_shuffle, quota_split, resplit_profile, year_order, year_folds, time_series_folds, stratified_folds,
         head_n, confusion, binary_metrics, macro_metrics, threshold_sweep, full_recall_threshold, pr_curve,

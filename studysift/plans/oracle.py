@@ -211,7 +211,8 @@ MACRO = f"""WITH {SCORED}, per_class AS (
  SELECT fold, round(avg(p), 6) AS precision_macro, round(avg(r), 6) AS recall_macro,
         round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0e0)), 6) AS f1_macro FROM rates GROUP BY fold"""
 
-LEMMAS = f"""WITH rows AS (SELECT unnest({TOKENS}) AS token FROM documents),
+LEMMAS = f"""WITH rows AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS token
+   FROM (SELECT doc_id, {TOKENS} AS t FROM documents)),
  tagged AS (SELECT token, CASE WHEN lower(token) LIKE '%ly' THEN 'r'
    WHEN regexp_matches(lower(token), '(ed|ing|is|are|was|be)$') THEN 'v' ELSE 'n' END AS pos, count(*) AS n
    FROM rows GROUP BY 1, 2),
@@ -227,9 +228,9 @@ LEMMAS = f"""WITH rows AS (SELECT unnest({TOKENS}) AS token FROM documents),
    WHERE NOT EXISTS (SELECT 1 FROM listed x WHERE x.token = t.token AND x.pos = t.pos)),
  known AS (SELECT c.token, c.pos, c.form,
      row_number() OVER (PARTITION BY c.token, c.pos ORDER BY length(c.form), c.i, c.form) AS k
-   FROM tried c WHERE EXISTS (SELECT 1 FROM lexicon l WHERE l.surface = c.form AND l.lemma = c.form AND l.pos = c.pos))
- SELECT t.token, t.pos, coalesce(k.form, t.token) AS lemma, t.n FROM tagged t
- LEFT JOIN known k ON k.token = t.token AND k.pos = t.pos AND k.k = 1"""
+   FROM tried c WHERE EXISTS (SELECT 1 FROM lexicon l WHERE l.surface = c.form AND l.lemma = c.form AND l.pos = c.pos)),
+ lemmas AS (SELECT t.token, t.pos, coalesce(k.form, t.token) AS lemma, t.n FROM tagged t
+   LEFT JOIN known k ON k.token = t.token AND k.pos = t.pos AND k.k = 1)"""
 
 SHUFFLED = f"md5(CAST(doc_id AS VARCHAR) || ':{SEED}')"
 
@@ -296,7 +297,11 @@ def all_oracles() -> dict[str, str]:
         "normalised_text": f"""SELECT doc_id, lower(array_to_string(
               list_filter(t, lambda x: lower(x) NOT IN ({stop})), ' ')) AS content
             FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""",
-        "lemmatize": LEMMAS,
+        "lemmatize": f"{LEMMAS} SELECT token, pos, lemma, n FROM lemmas",
+        "lemmatised_text": f"""{LEMMAS}, kept AS (
+              SELECT doc_id, lower(string_agg(lemma, ' ' ORDER BY i)) AS content
+              FROM rows JOIN lemmas USING (token) WHERE lower(lemma) NOT IN ({stop}) GROUP BY doc_id)
+            SELECT doc_id, coalesce(content, '') AS content FROM documents LEFT JOIN kept USING (doc_id)""",
         "ngrams": f"{TEXT_CTE} SELECT term, count(*) AS n FROM grams WHERE n > 1 GROUP BY term",
         "title_preview": f"""WITH {STUDIES} SELECT doc_id,
             CASE category WHEN 'removed' THEN 'REM' ELSE 'SEL' END || ' - ' || left(title, 60) AS preview FROM studies""",
