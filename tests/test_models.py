@@ -162,7 +162,7 @@ def test_bibliography_to_report(spark, tmp_path):
             for i in range(12):
                 text = " ".join(rng.choice([*words[category], "common", "words"], 12))
                 year = (2000 if split == "train" else 2015) + i % 6
-                f.write(f"@article{{k,\n\ttitle = {{item {len(name)}{split[1]} {i}}},\n\tabstract = {{{text}}},\n\tyear = {year}\n}}\n")
+                f.write(f"@article{{k,\n\ttitle = {{item {len(category)} {split[1]} {i}}},\n\tabstract = {{{text}}},\n\tyear = {year}\n}}\n")
     config = ScreeningConfig(k=20, validation="years", n_splits=2, classifiers=("dt",))
     lexicon = spark.createDataFrame([("word", "n", "word")], "surface string, pos string, lemma string")
     out = str(tmp_path / "report")
