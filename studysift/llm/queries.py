@@ -7,30 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studysift.llm import exact_dedup, sharding
+from studysift.llm import decontaminate, exact_dedup, packing, sharding, warc
 from studysift.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"), packing.vocabulary("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    back = warc.archive_pages(read(spark, folder, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     shards = sharding.shard_documents(read(spark, folder, "documents"))
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_packing": op1_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op8_warc": OP8}
 
 
 OP3 = r"""
@@ -42,3 +58,14 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), g AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM p JOIN g USING (payload_digest)
+"""
