@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from studysift.operators.storage import stored
 
-__all__ = ["read", "same", "stored", "text_of"]
+__all__ = ["keep_rows", "read", "same", "stored", "text_of"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,3 +30,24 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return condition
 
 
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows of ``docs`` named by ``(doc_id, name)`` in ``kept``, one for each name; ``key`` computes the name.
+
+    Only rows whose id and key both repeat are compared again, by a shuffle of those rows alone.
+    """
+    kept = stored(kept.select("doc_id", F.col(name).alias("__kept")).distinct(), "kept_rows")
+    keyed = docs.select(*[docs[c] for c in docs.columns], key.alias("__key"))
+
+    def matches(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].eqNullSafe(right["doc_id"]) & left["__key"].eqNullSafe(right["__kept"])
+
+    staying = keyed.join(kept, matches(keyed, kept), "left_semi")
+    names = docs.select("doc_id", key.alias("__kept")).groupBy("doc_id", "__kept").count().filter("count > 1")
+    repeated = stored(names.drop("count"), "repeated_rows")
+    if repeated.isEmpty():
+        return staying.drop("__key")
+    once = staying.join(repeated, matches(staying, repeated), "left_anti")
+    several = staying.join(repeated, matches(staying, repeated), "left_semi").dropDuplicates(["doc_id", "__key"])
+    return once.unionByName(several).drop("__key")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from studysift.llm.common import same, stored, text_of
+from studysift.llm.common import keep_rows, same, stored, text_of
 
 SHORTEST, LONGEST = 512, 4096
 SPACE = r"[\x20\x09-\x0D]+"
@@ -97,27 +97,6 @@ def exact_duplicates(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns.
-
-    Decisions are joined by id and digest; only where repeated rows compete for one place are rows compared again.
-    """
-    found = stored(exact_duplicates(docs), "exact_duplicates")
-    kept = found.filter("kept").select("doc_id", "text_sha256")
-    repeated = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("doc_id", "text_sha256")
-        .count()
-        .filter("count > 1")
-        .select("doc_id", "text_sha256")
-    )
-    digest = docs.select(*[docs[c] for c in docs.columns], F.sha2(normalised(), 256).alias("__sha"))
-
-    def matches(left: DataFrame, right: DataFrame):
-        return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["__sha"] == right["text_sha256"])
-
-    staying = digest.join(kept, matches(digest, kept), "left_semi")
-    if repeated.isEmpty():
-        return staying.drop("__sha")
-    single = staying.join(repeated, matches(staying, repeated), "left_anti")
-    several = staying.join(repeated, matches(staying, repeated), "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return single.unionByName(several).drop("__sha")
+    """The documents that stay, with all their columns."""
+    found = exact_duplicates(docs).filter("kept")
+    return keep_rows(docs, found, F.sha2(normalised(), 256), "text_sha256")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studysift.llm import decontaminate, exact_dedup, packing, sharding, warc
+from studysift.llm import decontaminate, exact_dedup, packing, sharding, simhash, toxicity, warc
 from studysift.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,18 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), packing.vocabulary("word_bpe_49k.json"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, folder, "documents")).drop("text_key")
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     back = warc.archive_pages(read(spark, folder, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,7 +46,9 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
         "op10_decontaminate": op10_decontaminate,
