@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from studysift.llm.common import stored
 from studysift.llm.toxicity import bucket
 
-DEPTH = 4
+DEPTH = 5
 FOLD, HELD_OUT = 7, 2
 COMMON_STRINGS = 1 << 20
 COMMON_WORDS = 300_000

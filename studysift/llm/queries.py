@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studysift.llm import decontaminate, exact_dedup, language_model, packing, sharding, simhash, toxicity, warc
+from studysift.llm import decontaminate, exact_dedup, language_model, packing, sharding, simhash, suffix_dedup, toxicity, warc
 from studysift.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.scores(read(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, folder, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -53,6 +57,7 @@ def all_queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_context_tree": op5_context_tree,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
