@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studysift.llm import decontaminate, exact_dedup, language_model, packing, sharding, simhash, suffix_dedup, toxicity, warc
+from studysift.llm import decontaminate, exact_dedup, language_model, packing, sanitise, sharding, simhash, suffix_dedup, toxicity, warc
 from studysift.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, folder, "documents"))
 
 
+def op4_sanitise(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.digest(sanitise.personal_data(read(spark, folder, "documents")))
+
+
 def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.scores(read(spark, folder, "documents"))
 
@@ -56,6 +60,7 @@ def all_queries() -> dict[str, Query]:
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_sanitise": op4_sanitise,
         "op5_context_tree": op5_context_tree,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_toxicity": op7_toxicity,
