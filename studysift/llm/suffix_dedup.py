@@ -2,7 +2,7 @@
 
 A passage of ``LENGTH`` bytes counts as repeated if it starts anywhere else too. Suffixes are taken at anchors only:
 the positions where the hash of ``CORE`` bytes is the least within some passage, so equal passages share an anchor at
-the same place. Anchors with a hash of their own are done with. Where one hash always comes with the same
+the same place; runs of one short unit rank last, for they would make an anchor of every unit. Anchors with a hash of their own are done with. Where one hash always comes with the same
 surroundings, all passages through it are repeated, and no text is looked at. For the others the surroundings are
 fetched and compared in groups of equal hash, each distinct one once: the suffixes are sorted, a stack scan over their
 common prefixes yields the intervals of the tree, and within each interval a second scan over the sorted left sides
@@ -26,41 +26,63 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studysift.llm.common import stored, text_of
 from studysift.llm.language_model import blocks
 
 LENGTH = 200
-CORE = 32
+CORE = 48
+PERIOD = 16  # cores that repeat within so many bytes are anchors of last resort
 REACH = LENGTH - CORE  # bytes a passage may begin before its anchor
 GROUP = 1000
+BROADCAST_BYTES = 64 << 20
+LAST = np.uint64((1 << 64) - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 # Anchors
 
 
-def anchor_positions(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of one run of bytes: the least hash of each passage, ties all."""
+def anchor_positions(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of one run of bytes, and how far to its left and right passages have it.
+
+    An anchor is the least hash of a passage, ties all. Its surroundings are the passages that have it as their least.
+    """
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashed = data.astype(np.uint64) + np.uint64(1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashed, short = data.astype(np.uint64) + np.uint64(1), None
     factor, width = MULTIPLIER, 1
-    while width < CORE:  # hash of twice as many bytes
+    while width < CORE - PERIOD:  # hash of twice as many bytes
+        short = hashed
         hashed = hashed[:-width] * factor + hashed[width:]
         factor, width = np.uint64(int(factor) ** 2 & (1 << 64) - 1 | 1), 2 * width
+    n = len(data) - CORE + 1
+    periodic = np.zeros(n, bool)
+    for shift in range(1, PERIOD + 1):
+        back = PERIOD - shift
+        periodic |= (hashed[:n] == hashed[shift : shift + n]) & (hashed[back : back + n] == hashed[PERIOD : PERIOD + n])
+    hashed = hashed[:n] * MULTIPLIER + short[width : width + n]
     hashed ^= hashed >> np.uint64(29)
     hashed *= MULTIPLIER
     hashed ^= hashed >> np.uint64(32)
+    hashed = hashed >> np.uint64(1) | periodic.astype(np.uint64) << np.uint64(63)
     least, width = hashed, 1
     while 2 * width <= REACH + 1:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     rest = REACH + 1 - width
     least = np.minimum(least[: len(least) - rest], least[rest:])  # of the passage that starts here
     found = np.flatnonzero(_is_least(hashed, least))
-    return found, hashed[found]
+    # Passages over an anchor start up to REACH before it; those with it as their least follow one another.
+    padded = np.concatenate([np.full(REACH, LAST), least, np.full(REACH, LAST)])
+    left, right = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    for at in range(0, len(found), 10_000):
+        part = slice(at, at + 10_000)
+        own = padded[found[part, None] + np.arange(REACH + 1)] == hashed[found[part], None]
+        left[part] = REACH - own.argmax(axis=1)
+        right[part] = LENGTH - own[:, ::-1].argmax(axis=1)
+    return found, hashed[found], left, right
 
 
 def _is_least(hashed: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -74,35 +96,44 @@ def _is_least(hashed: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, pos, core, around)`` of every anchor: its place, its hash and that of its surroundings."""
+    """``(doc_id, text_key, pos, core, around, left, right)`` of every anchor.
+
+    That is its place, its hash, the hash of its surroundings and how far these reach to either side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
         for batch in blocks(batches, "text"):
-            place, core, around = [], [], []
+            place, core, around, lefts, rights = [], [], [], [], []
             for text in batch.column("text"):
                 text = text.as_buffer()
-                at, hashes = anchor_positions(np.frombuffer(text, np.uint8))
+                at, hashes, left, right = anchor_positions(np.frombuffer(text, np.uint8))
                 view = memoryview(text)
                 place.append(at)
                 core.append(hashes)
-                around.append([digest(view[max(0, p - REACH) : p + LENGTH], min(p, REACH)) for p in at.tolist()])
+                lefts.append(left)
+                rights.append(right)
+                spots = zip(at.tolist(), left.tolist(), right.tolist())
+                around.append([digest(view[p - a : p + b], a) for p, a, b in spots])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in place])]).astype(np.int32)
             lists = [
                 np.concatenate(place).astype(np.int64),
                 np.concatenate(core).view(np.int64),
                 np.array([u for one in around for u in one], np.uint64).view(np.int64),
+                np.concatenate(lefts),
+                np.concatenate(rights),
             ]
             columns = [batch.column("doc_id"), batch.column("text_key")]
             columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "pos", "core", "around"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *names])
 
-    schema = "doc_id long, text_key long, pos array<bigint>, core array<bigint>, around array<bigint>"
+    names = ["pos", "core", "around", "left", "right"]
+    schema = "doc_id long, text_key long, " + ", ".join(f"{n} array<bigint>" for n in names)
     lists = stored(keyed(docs).mapInArrow(run, schema).filter("size(pos) > 0"), "anchors")
-    rows = lists.select("doc_id", "text_key", F.explode(F.arrays_zip("pos", "core", "around")).alias("a"))
-    return rows.select("doc_id", "text_key", "a.pos", "a.core", "a.around")
+    rows = lists.select("doc_id", "text_key", F.explode(F.arrays_zip(*names)).alias("a"))
+    return rows.select("doc_id", "text_key", "a.*")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -240,6 +271,13 @@ def covered_around(contexts: DataFrame, group: int = GROUP) -> DataFrame:
         rows = merged.select("first.core", "first.around", "n", "left", "span", *key)
 
 
+def _few(side: DataFrame, items: str, width: int) -> DataFrame:
+    """Stored, and marked for broadcast if its rows come to no more than ``BROADCAST_BYTES``; beyond, texts are shuffled."""
+    side = stored(side, "by_document")
+    size = side.agg(F.sum(F.size(items) * width + 64)).first()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+
+
 def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """``(doc_id, text_key, spans)``: for each document with repeated passages, what they cover, as byte ranges."""
     found = anchors(docs)
@@ -251,9 +289,11 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     mixed = shared.filter("NOT uniform")
     wanted = mixed.groupBy("core", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "pos")).alias("at")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "pos", "left", "right")).alias("at")
     )
-    asked = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct("at.pos", "core", "around", "n")).alias("asked"))
+    question = F.struct("at.pos", "core", "around", "n", "at.left", "at.right")
+    asked = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(question).alias("asked"))
+    asked = _few(asked, "asked", 56)
     texts = keyed(docs)
     here = texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_key"] == asked["text_key"])
     fetched = texts.join(asked, here).select("text", F.explode("asked").alias("q"))
@@ -261,25 +301,38 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
         "q.core",
         "q.around",
         "q.n",
-        F.least("q.pos", F.lit(REACH)).cast("long").alias("left"),
-        F.expr(
-            f"substring(text, CAST(q.pos - least(q.pos, {REACH}) + 1 AS INT), CAST(least(q.pos, {REACH}) + {LENGTH} AS INT))"
-        ).alias("span"),
+        "q.left",
+        F.expr("substring(text, CAST(q.pos - q.left + 1 AS INT), CAST(q.left + q.right AS INT))").alias("span"),
     ).dropDuplicates(["core", "around"])  # rows that repeat give theirs more than once
     around = covered_around(stored(contexts, "surroundings"), group)
     around = around.groupBy("core", "around").agg(F.collect_set(F.struct("left", "right")).alias("covers"))
 
-    whole = F.array(F.struct(F.least("pos", F.lit(REACH)).cast("long").alias("left"), F.lit(LENGTH).cast("long").alias("right")))
+    whole = F.array(F.struct("left", "right"))
     covered = shared.filter("uniform").select("doc_id", "text_key", "pos", whole.alias("covers")).unionByName(
         mixed.join(around, ["core", "around"]).select("doc_id", "text_key", "pos", "covers")
     )
     ranges = F.transform("covers", lambda c: F.struct((F.col("pos") - c["left"]).alias("a"), (F.col("pos") + c["right"]).alias("b")))
-    return covered.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(ranges)).alias("spans"))
+    spans = covered.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list(ranges))).alias("spans"))
+    return spans.select("doc_id", "text_key", _joined(F.col("spans")).alias("spans"))
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted ranges with overlapping and touching ones as one."""
+
+    def step(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], span["b"]).alias("b"))
+        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= span["a"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(span))
+        )
+
+    return F.aggregate(spans, F.array().cast("array<struct<a:bigint,b:bigint>>"), step)
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, on request ``kept``, the bytes left."""
-    spans, texts = repeated_spans(docs, group), keyed(docs)
+    spans, texts = _few(repeated_spans(docs, group), "spans", 24), keyed(docs)
     here = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["text_key"] == spans["text_key"])
     joined = texts.join(spans, here, "left").select(texts["doc_id"], "text", "spans.a", "spans.b")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept"] if with_text else [])
