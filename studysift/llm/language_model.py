@@ -36,8 +36,8 @@ FOLD, HELD_OUT = 7, 2
 COMMON_STRINGS = 1 << 20
 COMMON_WORDS = 300_000
 END = b"\xff"  # no byte of UTF-8
-BLOCK = 4 << 20
-HELD_ENTRIES = 4_000_000  # distinct strings a task merges before it hands them on
+BLOCK = 1 << 20
+HELD_ENTRIES = 1_500_000  # distinct strings a task merges before it hands them on
 LN10 = float(np.log(10))
 READY: dict[str, object] = {}  # lookup tables of this worker
 
@@ -157,81 +157,115 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - steps
 
 
+SMALL = 4096
+HALVES, WHOLES = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
 def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimator gives to any order of these bits."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    total = zeros + ones
+    out = np.zeros(len(total))
+    few = np.flatnonzero(total < SMALL)
+    out[few] = HALVES[zeros[few]] + HALVES[ones[few]] - WHOLES[total[few]]
+    many = np.flatnonzero(total >= SMALL)
+    z, o = zeros[many].astype(float), ones[many].astype(float)
+    out[many] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1.0)
+    return out - np.log(np.pi)
 
 
 class Nodes:
-    """All decisions under the contexts of one depth; a key is the context's bytes and the bits decided so far."""
-
-    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> None:
-        self.key, self.zeros, self.ones = key, zeros.astype(float), ones.astype(float)
-        own = kt_block(self.zeros, self.ones)
-        if below is None:
-            self.share, self.weighted = np.ones(len(key)), own
-        else:
-            self.share = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-            self.weighted = np.logaddexp(own, below) - np.log(2)
-
-    @staticmethod
-    def count(string: np.ndarray, learnt: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, zeros and ones of each decision at this depth."""
-        part, learnt, _ = _merged([(string & mask(depth + 1), learnt, learnt)])
-        found = []
+    """The decisions at one bit level under the contexts of one depth.
+
+    The key is the context's bytes and the bits decided so far under a leading one, in ascending order.
+    """
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        self.key, self.zeros, self.ones = key, zeros.astype(np.int64), ones.astype(np.int64)
+        self.own = self.weighted = kt_block(self.zeros, self.ones)
+        self.share = np.ones(len(key))  # of the estimate here against those under longer contexts
+
+    def over(self, key: np.ndarray, weighted: np.ndarray) -> Nodes:
+        """Take in the nodes under longer contexts, whose keys end in these."""
+        if len(self.key):
+            below = np.bincount(np.searchsorted(self.key, key), weights=weighted, minlength=len(self.key))
+            self.share = 1 / (1 + np.exp(np.clip(below - self.own, -700, 700)))
+            self.weighted = np.logaddexp(self.own, below) - np.log(2)
+        return self
+
+    def mix(self, at: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """Probability of the bit at these nodes, given that under longer contexts; NaN where none was met."""
+        zeros, ones, share = self.zeros[at], self.ones[at], self.share[at]
+        own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
+        both = np.where(np.isnan(deeper), own, share * own + (1 - share) * deeper)
+        return np.where(zeros + ones > 0, both, deeper)
+
+
+class Layer:
+    """All decisions at one depth over some strings, and each string's node at each bit level."""
+
+    def __init__(self, string: np.ndarray, learnt: np.ndarray, depth: int) -> None:
+        part = string & mask(depth + 1)
+        order = np.argsort(part, kind="stable")
+        ordered = part[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(part) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        self.of_string = np.zeros(len(part), np.int64)  # its place among the distinct ones
+        self.of_string[order] = np.cumsum(fresh) - 1
+        distinct = ordered[first]
+        count = np.add.reduceat(learnt[order], first) if len(first) else np.zeros(0, np.int64)
+        self.levels: list[Nodes] = []
+        self.of_distinct: list[np.ndarray] = []
         for level in range(8):
-            key = part & ~np.uint64(255) | prefix(part, level)
-            bit = (part >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
-            found.append((key, learnt * (1 - bit), learnt * bit))
-        return _merged(found)
-
-    def sums(self, deeper: Nodes, depth: int) -> np.ndarray:
-        """Of each decision here, the sum over longer contexts."""
-        at = np.searchsorted(self.key, deeper.key & mask(depth + 1))
-        return np.bincount(at, weights=deeper.weighted, minlength=len(self.key))
-
-    def mix(self, key: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Probability of the bit at these decisions, given that under longer contexts; NaN where none was met."""
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        if not len(self.key):
-            return deeper
-        total = self.zeros[at] + self.ones[at]
-        own = (np.where(bit == 1, self.ones[at], self.zeros[at]) + 0.5) / (total + 1)
-        both = np.where(np.isnan(deeper), own, self.share[at] * own + (1 - self.share[at]) * deeper)
-        return np.where((self.key[at] == key) & (total > 0), both, deeper)
+            key = distinct & ~np.uint64(255) | prefix(distinct, level)
+            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+            start = np.flatnonzero(new)
+            ones = count * bits(distinct, level)
+            sums = [np.add.reduceat(c, start) if len(start) else c for c in (count - ones, ones)]
+            self.levels.append(Nodes(key[start], *sums))
+            self.of_distinct.append(np.cumsum(new) - 1)
+
+    def at(self, level: int) -> np.ndarray:
+        return self.of_distinct[level][self.of_string]
 
 
 def mask(n: int) -> np.uint64:
     return np.uint64((1 << 8 * n) - 1)
 
 
+def bits(string: np.ndarray, level: int) -> np.ndarray:
+    return (string >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
+
+
 def prefix(string: np.ndarray, level: int) -> np.ndarray:
     """Bits of the last byte decided before this level, under a leading one."""
     return np.uint64(1 << level) | (string & np.uint64(255)) >> np.uint64(8 - level)
 
 
-def deep_nodes(string: np.ndarray, learnt: np.ndarray, depth: int) -> dict[int, Nodes]:
+def deep_layers(string: np.ndarray, learnt: np.ndarray, depth: int) -> dict[int, Layer]:
     """Decisions at depth 2 and below, of strings whose two bytes before the last lie together."""
-    made: dict[int, Nodes] = {}
+    made: dict[int, Layer] = {}
     for d in range(depth, 1, -1):
-        key, zeros, ones = Nodes.count(string, learnt, d)
-        below = None
+        made[d] = Layer(string, learnt, d)
         if d < depth:
-            here = Nodes(key, zeros, ones, None)
-            below = here.sums(made[d + 1], d)
-        made[d] = Nodes(key, zeros, ones, below)
+            for here, deeper in zip(made[d].levels, made[d + 1].levels):
+                here.over(deeper.key & mask(d + 1), deeper.weighted)
     return made
 
 
-def code_lengths(string: np.ndarray, nodes: dict[int, Nodes], depth: int) -> np.ndarray:
+def code_lengths(string: np.ndarray, layers: dict[int, Layer], shallow: dict[int, Nodes], depth: int) -> np.ndarray:
     """Natural log of the probability of each string's last byte after the others."""
     total = np.zeros(len(string))
     for level in range(8):
-        bit = (string >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
-        decided = prefix(string, level)
+        bit = bits(string, level)
         p = np.full(len(string), np.nan)
-        for d in range(depth, -1, -1):
-            p = nodes[d].mix(string & mask(d + 1) & ~np.uint64(255) | decided, bit, p)
+        for d in range(depth, 1, -1):
+            p = layers[d].levels[level].mix(layers[d].at(level), bit, p)
+        for d in (1, 0):  # all levels in one
+            key = string & mask(d + 1) & ~np.uint64(255) | prefix(string, level)
+            nodes = shallow[d]
+            at = np.minimum(np.searchsorted(nodes.key, key), max(len(nodes.key) - 1, 0))
+            if len(nodes.key):
+                p = np.where(nodes.key[at] == key, nodes.mix(at, bit, p), p)
         total += np.log(np.where(np.isnan(p), 0.5, p))
     return total
 
@@ -248,27 +282,27 @@ def string_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(string, seen, log_p)`` of every string that stands in any text."""
     dealt = counts.repartition(F.expr("shiftright(string, 8) & 65535"))
 
-    def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, learnt, _ = _columns(batches)
-        top = deep_nodes(string, learnt, depth)[2]
-        columns = [top.key.astype(np.int64), top.zeros, top.ones, top.weighted]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "weighted"])
-
-    kinds = "key long, zeros double, ones double, weighted double"
-    second = dealt.mapInArrow(shallow, kinds)
-    first = second.groupBy(F.expr("key & 65535").alias("key")).agg(
-        *[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]
-    )
-    rows = np.array([tuple(r) for r in first.orderBy("key").collect()], float).reshape(-1, 4)  # 65,280 at most
-    one = Nodes(rows[:, 0].astype(np.uint64), rows[:, 1], rows[:, 2], rows[:, 3])
-    key, zeros, ones = _merged([(one.key & np.uint64(255), one.zeros, one.ones)])
-    zero = Nodes(key, zeros, ones, None)
-    zero = Nodes(key, zeros, ones, zero.sums(one, 0))
+        for nodes in deep_layers(string, learnt, depth)[2].levels:
+            columns = [nodes.key.astype(np.int64), nodes.zeros, nodes.ones, nodes.weighted]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "weighted"])
+
+    names = ("zeros", "ones", "weighted")
+    first = dealt.mapInArrow(second, "key long, zeros long, ones long, weighted double")
+    first = first.groupBy(F.expr("key & 65535").alias("key")).agg(*[F.sum(c).alias(c) for c in names])
+    found = first.orderBy("key").toPandas()  # 65,280 rows at most
+    key = found["key"].to_numpy(np.int64).astype(np.uint64)
+    zeros, ones = found["zeros"].to_numpy(np.int64), found["ones"].to_numpy(np.int64)
+    one, root = Nodes(key, zeros, ones), _merged([(key & np.uint64(255), zeros, ones)])
+    # What lies below a node of depth 1 has been summed over its longer contexts already.
+    shallow = {1: one.over(key, found["weighted"].to_numpy(float))}
+    shallow[0] = Nodes(*root).over(key & np.uint64(255), one.weighted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, learnt, seen = _columns(batches)
-        nodes = {0: zero, 1: one} | deep_nodes(string, learnt, depth)
-        columns = [string.astype(np.int64), seen, code_lengths(string, nodes, depth)]
+        layers = deep_layers(string, learnt, depth)
+        columns = [string.astype(np.int64), seen, code_lengths(string, layers, shallow, depth)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["string", "seen", "log_p"])
 
     return dealt.mapInArrow(score, "string long, seen long, log_p double")
@@ -284,7 +318,7 @@ class Lookup:
     FREE = np.uint64((1 << 64) - 1)
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
-        bits = max(4, int(4 * len(key)).bit_length())
+        bits = max(4, int(2 * len(key)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.key, self.value = np.full(1 << bits, self.FREE), np.zeros(1 << bits)
         slot, left = self._slot(key), np.arange(len(key))
