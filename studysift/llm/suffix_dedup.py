@@ -61,8 +61,9 @@ def anchor_positions(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     n = len(data) - CORE + 1
     periodic = np.zeros(n, bool)
     for shift in range(1, PERIOD + 1):
-        back = PERIOD - shift
-        periodic |= (hashed[:n] == hashed[shift : shift + n]) & (hashed[back : back + n] == hashed[PERIOD : PERIOD + n])
+        again = hashed[: n + PERIOD - shift] == hashed[shift : n + PERIOD]
+        if again.any():
+            periodic |= again[:n] & again[PERIOD - shift :]
     hashed = hashed[:n] * MULTIPLIER + short[width : width + n]
     hashed ^= hashed >> np.uint64(29)
     hashed *= MULTIPLIER
@@ -95,45 +96,57 @@ def _is_least(hashed: np.ndarray, least: np.ndarray) -> np.ndarray:
     return np.maximum(most[: len(most) - rest], most[rest:]) == hashed
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, pos, core, around, left, right)`` of every anchor.
+def anchors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(row, doc_id, text_key)`` of documents with anchors, and ``(row, core, around, place)`` of the anchors.
 
-    That is its place, its hash, the hash of its surroundings and how far these reach to either side.
+    ``core`` and ``around`` are the hashes of an anchor and of its surroundings; ``place`` holds its position and how far
+    the surroundings reach to the left and to the right.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        from pyspark import TaskContext
 
         digest = xxhash.xxh64_intdigest
+        row = TaskContext.get().partitionId() << 33
         for batch in blocks(batches, "text"):
-            place, core, around, lefts, rights = [], [], [], [], []
+            place, core, around = [], [], []
             for text in batch.column("text"):
                 text = text.as_buffer()
                 at, hashes, left, right = anchor_positions(np.frombuffer(text, np.uint8))
                 view = memoryview(text)
-                place.append(at)
+                place.append((at << 20) | (left << 10) | right)
                 core.append(hashes)
-                lefts.append(left)
-                rights.append(right)
                 spots = zip(at.tolist(), left.tolist(), right.tolist())
                 around.append([digest(view[p - a : p + b], a) for p, a, b in spots])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in place])]).astype(np.int32)
             lists = [
-                np.concatenate(place).astype(np.int64),
                 np.concatenate(core).view(np.int64),
                 np.array([u for one in around for u in one], np.uint64).view(np.int64),
-                np.concatenate(lefts),
-                np.concatenate(rights),
+                np.concatenate(place),
             ]
-            columns = [batch.column("doc_id"), batch.column("text_key")]
+            columns = [pa.array(np.arange(row, row + len(batch))), batch.column("doc_id"), batch.column("text_key")]
             columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *names])
+            row += len(batch)
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_key", *names])
 
-    names = ["pos", "core", "around", "left", "right"]
-    schema = "doc_id long, text_key long, " + ", ".join(f"{n} array<bigint>" for n in names)
-    lists = stored(keyed(docs).mapInArrow(run, schema).filter("size(pos) > 0"), "anchors")
-    rows = lists.select("doc_id", "text_key", F.explode(F.arrays_zip(*names)).alias("a"))
-    return rows.select("doc_id", "text_key", "a.*")
+    names = ["core", "around", "place"]
+    schema = "row long, doc_id long, text_key long, " + ", ".join(f"{n} array<bigint>" for n in names)
+    lists = stored(keyed(docs).mapInArrow(run, schema).filter("size(core) > 0"), "anchors")
+    places = lists.select("row", F.explode(F.arrays_zip(*names)).alias("a")).select("row", "a.*")
+    return lists.select("row", "doc_id", "text_key"), places
+
+
+def position() -> Column:
+    return F.shiftright("place", 20)
+
+
+def to_left() -> Column:
+    return F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+
+
+def to_right() -> Column:
+    return F.col("place").bitwiseAND(F.lit(1023))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -191,15 +204,59 @@ def maximal_repeats(members: list[tuple[bytes, bytes]], length: int = LENGTH) ->
                 yield left, right, inside[low : high + 1]
 
 
+def coverage(members: list[tuple[bytes, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """``(member, left, right)``: how far repeats through the anchor cover each member, none within another.
+
+    As ``maximal_repeats``, with the left sides sorted once: within an interval a member's longest left extension is
+    with a neighbour in that order, and it is the least common prefix between their places there.
+    """
+    if len(members) == 2:
+        (left_a, right_a), (left_b, right_b) = members
+        left, right = common(left_a, left_b), common(right_a, right_b)
+        return [(0, left, right), (1, left, right)] if left + right >= length else []
+    order = sorted(range(len(members)), key=lambda i: members[i][1])
+    rights = [members[i][1] for i in order]
+    lefts_in_order = sorted(range(len(members)), key=lambda i: members[i][0])
+    rank = np.empty(len(members), np.int64)
+    rank[lefts_in_order] = np.arange(len(members))
+    rank = rank[order]
+    lefts = [members[i][0] for i in lefts_in_order]
+    table = [np.array([common(a, b) for a, b in zip(lefts, lefts[1:])], np.int64)]
+    while 2 ** len(table) < len(members):  # least of twice as many
+        step = 2 ** (len(table) - 1)
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+    most = int(table[0].max())
+    found = []
+    for right, first, last in intervals([0] + [common(a, b) for a, b in zip(rights, rights[1:])]):
+        if right + most < length:
+            continue
+        inside = np.sort(rank[first : last + 1])
+        width = np.diff(inside)
+        level = np.frexp(width)[1] - 1
+        shared = np.zeros(len(width), np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            shared[at] = np.minimum(table[k][inside[at]], table[k][inside[at + 1] - 2**k])
+        left = np.maximum(np.concatenate([[0], shared]), np.concatenate([shared, [0]]))
+        good = np.flatnonzero(left + right >= length)
+        found += [(lefts_in_order[i], a, right) for i, a in zip(inside[good].tolist(), left[good].tolist())]
+    kept, member, reach = [], -1, -1
+    for i, left, right in sorted(found, key=lambda f: (f[0], -f[2], -f[1])):
+        if i != member or left > reach:
+            kept.append((i, left, right))
+            member, reach = i, left
+    return kept
+
+
 def _tree(rows: DataFrame) -> DataFrame:
     """``(core, around, left, right)``: what the repeats of each group cover around its members."""
 
     def group(held: list[tuple]) -> list[tuple[int, int, int, int]]:
-        members = [(span[:left][::-1], span[left:]) for _, _, left, span in held]
-        covered = {
-            (held[i][0], held[i][1], left, right) for left, right, found in maximal_repeats(members) for i in found
-        }
-        return list(covered)
+        once = list({row[:2]: row for row in held}.values())  # documents that are the same row give theirs again
+        if len(once) < 2:
+            return []
+        found = coverage([(span[:left][::-1], span[left:]) for _, _, left, span in once])
+        return [(*once[i][:2], left, right) for i, left, right in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
@@ -223,7 +280,7 @@ def _tree(rows: DataFrame) -> DataFrame:
 
 
 def covered_around(contexts: DataFrame, group: int = GROUP) -> DataFrame:
-    """``(core, around, left, right)`` for distinct surroundings ``(core, around, n, left, span)``.
+    """``(core, around, left, right)`` for surroundings ``(core, around, n, m, left, span)``, m of them with that core.
 
     ``low`` and ``high`` bound how far before the anchor the passages in question start, ``shared`` is a hash of the
     bytes that all of them have in common.
@@ -233,17 +290,17 @@ def covered_around(contexts: DataFrame, group: int = GROUP) -> DataFrame:
     key = ["low", "high", "shared"]
     rows = contexts.select("*", F.lit(0).alias("low"), F.lit(REACH).alias("high"), F.col("core").alias("shared"))
     while True:
-        sizes = stored(rows.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1"), "group_sizes")
-        found.append(_tree(rows.join(sizes.filter(F.col("m") <= group).drop("m"), key)))
-        crowded = sizes.filter(F.col("m") > group).drop("m")
+        found.append(_tree(rows.filter(F.col("m").between(2, group))))
+        crowded = rows.filter(F.col("m") > group)
         if crowded.isEmpty():
             return reduce(DataFrame.unionByName, found).filter(f"left + right >= {LENGTH}")
+        crowded = crowded.dropDuplicates(["core", "around", "low", "high"])
         middle = F.expr("(low + high) div 2").cast("int")
         halves = F.array(
             F.struct(F.col("low").alias("low"), middle.alias("high")),
             F.struct((middle + 1).alias("low"), F.col("high").alias("high")),
         )
-        split = rows.join(crowded, key).withColumn("half", F.explode(halves))
+        split = crowded.withColumn("half", F.explode(halves))
         split = split.select("core", "around", "n", "left", "span", "half.low", "half.high")
         reach = F.least("left", "high").cast("long")
         split = split.filter(f"low <= left AND octet_length(span) - left >= {LENGTH} - high").select(
@@ -268,7 +325,10 @@ def covered_around(contexts: DataFrame, group: int = GROUP) -> DataFrame:
         )
         several = split.drop("n", "span").join(merged.filter("n > 1").select(*whole, "span"), whole)
         found.append(several.select("core", "around", "left", right))
-        rows = merged.select("first.core", "first.around", "n", "left", "span", *key)
+        sizes = merged.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1")
+        rows = stored(
+            merged.join(sizes, key).select("first.core", "first.around", "n", "m", "left", "span", *key), "halved_groups"
+        )
 
 
 def _few(side: DataFrame, items: str, width: int) -> DataFrame:
@@ -280,7 +340,7 @@ def _few(side: DataFrame, items: str, width: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """``(doc_id, text_key, spans)``: for each document with repeated passages, what they cover, as byte ranges."""
-    found = anchors(docs)
+    documents, found = anchors(docs)
     cores = found.groupBy("core").agg(
         F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most")
     )
@@ -288,31 +348,28 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     shared = stored(found.join(cores, "core"), "shared_anchors")
 
     mixed = shared.filter("NOT uniform")
-    wanted = mixed.groupBy("core", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "pos", "left", "right")).alias("at")
-    )
-    question = F.struct("at.pos", "core", "around", "n", "at.left", "at.right")
-    asked = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(question).alias("asked"))
-    asked = _few(asked, "asked", 56)
+    wanted = mixed.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("at"))
+    wanted = stored(wanted, "distinct_surroundings")
+    sizes = wanted.groupBy("core").agg(F.count("*").alias("m"))
+    questions = wanted.join(sizes, "core").select("at.row", "at.place", "core", "around", "n", "m")
+    asked = questions.groupBy("row").agg(F.collect_list(F.struct("place", "core", "around", "n", "m")).alias("asked"))
+    asked = _few(asked.join(documents, "row").drop("row"), "asked", 48)
     texts = keyed(docs)
     here = texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_key"] == asked["text_key"])
-    fetched = texts.join(asked, here).select("text", F.explode("asked").alias("q"))
-    contexts = fetched.select(
-        "q.core",
-        "q.around",
-        "q.n",
-        "q.left",
-        F.expr("substring(text, CAST(q.pos - q.left + 1 AS INT), CAST(q.left + q.right AS INT))").alias("span"),
-    ).dropDuplicates(["core", "around"])  # rows that repeat give theirs more than once
+    fetched = texts.join(asked, here).select("text", F.explode("asked").alias("q")).select("text", "q.*")
+    start, width = (position() - to_left() + 1).cast("int"), (to_left() + to_right()).cast("int")
+    contexts = fetched.select("core", "around", "n", "m", to_left().alias("left"), F.substring("text", start, width).alias("span"))
     around = covered_around(stored(contexts, "surroundings"), group)
     around = around.groupBy("core", "around").agg(F.collect_set(F.struct("left", "right")).alias("covers"))
 
-    whole = F.array(F.struct("left", "right"))
-    covered = shared.filter("uniform").select("doc_id", "text_key", "pos", whole.alias("covers")).unionByName(
-        mixed.join(around, ["core", "around"]).select("doc_id", "text_key", "pos", "covers")
+    whole = F.array(F.struct(to_left().alias("left"), to_right().alias("right")))
+    covered = shared.filter("uniform").select("row", "place", whole.alias("covers")).unionByName(
+        mixed.join(around, ["core", "around"]).select("row", "place", "covers")
     )
-    ranges = F.transform("covers", lambda c: F.struct((F.col("pos") - c["left"]).alias("a"), (F.col("pos") + c["right"]).alias("b")))
-    spans = covered.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list(ranges))).alias("spans"))
+    ranges = F.transform("covers", lambda c: F.struct((position() - c["left"]).alias("a"), (position() + c["right"]).alias("b")))
+    spans = covered.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(ranges))).alias("spans"))
+    # Rows that repeat have the same spans, each as an occurrence of the other.
+    spans = spans.join(documents, "row").dropDuplicates(["doc_id", "text_key"])
     return spans.select("doc_id", "text_key", _joined(F.col("spans")).alias("spans"))
 
 
