@@ -92,12 +92,17 @@ def links(prints: DataFrame) -> DataFrame:
     small = buckets.filter("n <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     small = small.filter((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b")))
 
-    # Members of a bucket agree but for one bit of a half, so of four or more two agree in all of it: only fingerprints
-    # that share a half with another one are looked up once more.
-    halves = prints.select("fp", F.explode(F.array(F.expr("fp & 4294967295L"), F.expr("~shiftrightunsigned(fp, 32)"))).alias("half"))
-    shared = stored(halves.groupBy("half").count().filter("count > 1").select("half"), "shared_halves")
-    likely = halves.join(shared, "half", "left_semi").select("fp").distinct()
-    crowded = variants(likely).join(buckets.filter("n > 3").select("key"), "key", "left_semi").select("fp").distinct()
+    # Members of a bucket have one of two values of its half, so they are found by a join on whole halves.
+    value, bit = "(key & 4294967295L)", "(shiftright(key, 32) & 31)"
+    either = F.expr(f"array({value}, {value} | shiftleft(1L, CAST({bit} AS INT)))")
+    upper = F.expr("shiftright(key, 37) = 1")
+    wanted = buckets.filter("n > 3").select(upper.alias("upper"), F.explode(either).alias("half")).distinct()
+    sides = F.array(
+        F.struct(F.lit(False).alias("upper"), F.expr("fp & 4294967295L").alias("half")),
+        F.struct(F.lit(True).alias("upper"), F.expr("shiftrightunsigned(fp, 32)").alias("half")),
+    )
+    halves = prints.select("fp", F.explode(sides).alias("s")).select("fp", "s.*")
+    crowded = halves.join(wanted, ["upper", "half"], "left_semi").select("fp").distinct()
     flips = F.sequence(F.lit(-1), F.lit(63))
     middle = F.expr("CASE WHEN n < 0 THEN fp ELSE fp ^ shiftleft(1L, n) END")
     around = crowded.withColumn("n", F.explode(flips)).select(middle.alias("middle"), "fp")
