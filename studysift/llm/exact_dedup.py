@@ -19,9 +19,10 @@ from pyspark.sql.window import Window
 
 from studysift.llm.common import keep_rows, same, stored, text_of
 
-SHORTEST, LONGEST = 512, 4096
+SHORTEST, LONGEST = 256, 4096
 SPACE = r"[\x20\x09-\x0D]+"
-CUT = r"(?<=[nrst] )(?=[a-f])"
+ODD, EVEN = "acegikmoqsuwy", "bdfhjlnprtvxz"  # letters by their place in the alphabet
+CUT = rf"(?<=[{EVEN}][{ODD}] )(?=[{ODD}][{EVEN}][{ODD}])"  # one word end in twenty or thirty
 
 
 def normalised(column: str = "text") -> Column:

@@ -352,7 +352,7 @@ def common(counts: DataFrame, most: int) -> DataFrame:
     """The entries seen at least as often as the lowest power of two that leaves no more than ``most`` of them."""
     power = F.floor(F.log2("seen")).cast("int")
     sizes = {r["p"]: r["n"] for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()}
-    floor, total = 63, 0
+    floor, total = 62, 0
     for p in sorted(sizes, reverse=True):
         total += sizes[p]
         if total > most:

@@ -173,10 +173,8 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema(
-        "path string, modificationTime timestamp, length long, content binary, archive string"
-    )
-    return files.load(path).select("archive", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True)
+    return files.load(path).select(F.regexp_extract("path", "archive=([^/]+)", 1).alias("archive"), "content")
 
 
 def header_fields(head: bytes) -> dict[str, str]:
