@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from studysift.operators.storage import stored
 
-__all__ = ["keep_rows", "read", "same", "stored", "text_of"]
+BROADCAST_BYTES = 64 << 20
+
+__all__ = ["keep_rows", "read", "same", "small", "stored", "text_of"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,22 +34,35 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, name: str) -> DataFrame:
-    """Rows of ``docs`` named by ``(doc_id, name)`` in ``kept``, one for each name; ``key`` computes the name.
+def small(side: DataFrame, width: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored side of a join, marked for broadcast if its rows of ``width`` bytes come to no more than ``most``.
+
+    Beyond that Spark shuffles both sides.
+    """
+    return F.broadcast(side) if side.count() * width <= most else side
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows of ``docs`` by the verdicts ``(doc_id, name, kept)``, one for each row; ``key`` computes the name.
 
-    Only rows whose id and key both repeat are compared again, by a shuffle of those rows alone.
+    Rows that share id and name share a text: one of them stays if any does. Only such rows are compared again; all
+    others are told apart by a join with what goes.
     """
-    kept = stored(kept.select("doc_id", F.col(name).alias("__kept")).distinct(), "kept_rows")
+    found = found.groupBy("doc_id", F.col(name).alias("__name")).agg(
+        F.max("kept").alias("stays"), F.count("*").alias("n")
+    )
+    found = stored(found.filter("NOT stays OR n > 1"), "verdicts")
     keyed = docs.select(*[docs[c] for c in docs.columns], key.alias("__key"))
 
     def matches(left: DataFrame, right: DataFrame) -> Column:
-        return left["doc_id"].eqNullSafe(right["doc_id"]) & left["__key"].eqNullSafe(right["__kept"])
+        return left["doc_id"].eqNullSafe(right["doc_id"]) & left["__key"].eqNullSafe(right["__name"])
 
-    staying = keyed.join(kept, matches(keyed, kept), "left_semi")
-    names = docs.select("doc_id", key.alias("__kept")).groupBy("doc_id", "__kept").count().filter("count > 1")
-    repeated = stored(names.drop("count"), "repeated_rows")
+    going = stored(found.filter("NOT stays").select("doc_id", "__name"), "going")
+    staying = keyed.join(small(going, 100), matches(keyed, going), "left_anti")
+    repeated = stored(found.filter("stays").select("doc_id", "__name"), "repeated_rows")
     if repeated.isEmpty():
         return staying.drop("__key")
+    repeated = small(repeated, 100)
     once = staying.join(repeated, matches(staying, repeated), "left_anti")
     several = staying.join(repeated, matches(staying, repeated), "left_semi").dropDuplicates(["doc_id", "__key"])
     return once.unionByName(several).drop("__key")

@@ -42,8 +42,10 @@ def _hash(chunk: Column, bits: int) -> Column:
 def _clashes(chunked: DataFrame) -> DataFrame:
     """``(hash, chunk, ordinal)`` of the texts beyond the first that share a hash; verified on the whole text."""
     texts = chunked.select(F.explode("pairs").alias("p")).select("p.hash", "p.chunk").distinct()
-    shared = texts.groupBy("hash").count().filter("count > 1").select("hash")
+    shared = stored(texts.groupBy("hash").count().filter("count > 1").select("hash"), "shared_hashes")
     order = Window.partitionBy("hash").orderBy("chunk")
+    if shared.isEmpty():
+        return shared.select("hash", F.lit("").alias("chunk"), F.lit(0).alias("ordinal"))
     ranked = texts.join(shared, "hash").withColumn("ordinal", F.row_number().over(order) - 1)
     return ranked.filter("ordinal > 0")
 
@@ -99,5 +101,5 @@ def exact_duplicates(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    found = exact_duplicates(docs).filter("kept")
+    found = exact_duplicates(docs)
     return keep_rows(docs, found, F.sha2(normalised(), 256), "text_sha256")

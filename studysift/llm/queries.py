@@ -18,7 +18,7 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, folder, "documents")).drop("text_key")
+    return simhash.near_duplicates(read(spark, folder, "documents")).drop("text_key", "root")
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

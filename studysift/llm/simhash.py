@@ -133,22 +133,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, text_key, fingerprint, component_id``."""
+    """One row per document: ``doc_id, text_key, fingerprint, component_id, root``, the last a fingerprint."""
     marked = stored(fingerprints(docs), "fingerprints")
     prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     roots = stored(components(links(prints.select("fp"))), "components")
     linked = prints.join(roots, prints["fp"] == roots["node"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = prints.join(linked.join(smallest, "root").select("fp", "component_id"), "fp", "left")
-    named = named.select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = prints.join(linked.join(smallest, "root").select("fp", "root", "component_id"), "fp", "left")
+    named = named.select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")
+    )
     fingerprint_text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(named, "fp").select("doc_id", "text_key", fingerprint_text, "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_key", fingerprint_text, "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest id, with all its columns."""
     found = stored(near_duplicates(docs), "near_duplicates")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows that share an id may stand in for one component more than once: the smallest text key decides.
-    first = kept.groupBy("component_id", "doc_id").agg(F.min("text_key").alias("text_key"))
-    return keep_rows(docs, first, F.xxhash64("text"), "text_key")
+    first = least.groupBy("root").agg(F.min("text_key").alias("first_key"))
+    joined = found.join(first, "root")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_key").eqNullSafe(F.col("first_key"))
+    return keep_rows(docs, joined.withColumn("kept", kept), F.xxhash64("text"), "text_key")
