@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 MAX_FEATURES = 5000
+SCORINGS = (
+    "f1", "accuracy", "precision", "recall", "f1_macro", "precision_macro", "recall_macro", "roc_auc", "average_precision",
+)
 
 
 @dataclass(frozen=True)
@@ -12,7 +15,8 @@ class ScreeningConfig:
     """Settings of :func:`studysift.plans.screening.run_screening`.
 
     ``validation`` is one of ``years``, ``series``, ``grid`` and ``none``; ``score`` names a scorer of
-    :data:`studysift.operators.selection.SCORERS`; ``classifiers`` names entries of the classifier registry.
+    :data:`studysift.operators.selection.SCORERS`; ``cv`` is the number of folds of a grid search, ``n_splits`` that of
+    the other validations; ``fit_partitions`` is the layout of every fit; ``classifiers`` names entries of the classifier registry.
     """
 
     k: int = 1200
@@ -23,6 +27,8 @@ class ScreeningConfig:
     validation: str = "grid"
     scoring: str = "f1"
     n_splits: int = 5
+    cv: int = 5
+    fit_partitions: int = 8
     seed: int = 42
     year_to_split: int = 2013
     classifiers: tuple[str, ...] = ("svm", "rforest")
@@ -35,7 +41,7 @@ class ScreeningConfig:
             raise ValueError(f"k must lie in 1..{MAX_FEATURES}, got {self.k}")
         if self.validation not in ("years", "series", "grid", "none"):
             raise ValueError(f"unknown validation mode {self.validation!r}")
-        if self.scoring not in ("f1", "recall_macro"):
+        if self.scoring not in SCORINGS:
             raise ValueError(f"unknown scoring {self.scoring!r}")
 
     def as_rows(self) -> list[tuple[str, str]]:

@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def significant(value: Column, digits: int = 9) -> Column:
+    """A double cut to so many significant digits, so that ties do not hang on the order of a sum."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))))
+    plain = (value == 0) | (F.abs(value) == float("inf"))
+    return F.when(plain, value).when(~F.isnan(value), F.round(value / power, digits - 1) * power)
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

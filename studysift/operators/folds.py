@@ -13,14 +13,19 @@ from studysift.operators.ranking import number_rows
 YEAR_ORDER = ("year", "label")
 
 
+def split_of(year: Column, last_train_year: int) -> Column:
+    """``train``, ``test``, or null for a study without a year."""
+    return F.when(year <= last_train_year, "train").when(year > last_train_year, "test")
+
+
 def temporal_split(studies: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
-    """(train, test): studies up to and after a year."""
+    """(train, test): studies up to and after a year; those without a year are in neither."""
     return studies.where(F.col("year") <= year), studies.where(F.col("year") > year)
 
 
 def with_temporal_split(studies: DataFrame, year: int, out: str = "part") -> DataFrame:
-    """The same as a column, in one pass."""
-    return studies.withColumn(out, F.when(F.col("year") <= year, "train").otherwise("test"))
+    """The same as a column, in one pass; null without a year."""
+    return studies.withColumn(out, split_of(F.col("year"), year))
 
 
 def year_order(studies: DataFrame, key: str = "entry_index", per: Sequence[str] = ("split",)) -> DataFrame:

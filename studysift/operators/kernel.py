@@ -33,6 +33,17 @@ def landmark_matrix(train: DataFrame, m: int = LANDMARKS, key: str = "doc_id") -
     return np.array([row["features"].toArray() for row in picked])
 
 
+def scaled_gamma(train: DataFrame) -> float:
+    """One over the width times the variance of all feature values."""
+    values = vector_to_array("features")
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    squares = F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v)
+    sums = train.agg(F.sum(total).alias("s"), F.sum(squares).alias("q"), F.sum(F.size(values)).alias("n")).first()
+    n, width = sums["n"] or 1, len((train.select("features").first() or [[0]])[0])
+    variance = (sums["q"] or 0.0) / n - ((sums["s"] or 0.0) / n) ** 2
+    return 1.0 / (width * variance) if variance > 0 else 1.0
+
+
 def whitening(marks: np.ndarray, kernel: str, gamma: float) -> np.ndarray:
     """Inverse square root of the landmarks' kernel matrix; directions without positive weight are dropped."""
     own = kernel_values(marks, marks, kernel, gamma)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 from typing import Any
 
@@ -33,12 +33,15 @@ from studysift.operators import folds as fd
 from studysift.operators import kernel as kn
 from studysift.operators import metrics as mt
 from studysift.operators import neighbours as nb
+from studysift.operators.ranking import running_sums
 from studysift.operators.storage import stored
 
 Params = dict[str, Any]
 MAX_TREE_DEPTH = 30
 CALIBRATION_FOLDS = 3
-ROWS_PER_TASK = 20_000
+MAX_ITERATIONS = 1000
+PARALLEL_FITS = 4
+FIT_PARTITIONS = 8
 
 
 class Fitted:
@@ -50,13 +53,20 @@ class Fitted:
 
 @dataclass(frozen=True)
 class Classifier:
-    """A registered classifier: how to fit it, its pinned best parameters, a small default grid and the full one."""
+    """A registered classifier.
+
+    ``default`` are the settings of an untuned model, ``best`` the pinned ones of an earlier search; ``grid`` is a small
+    grid and ``full_grid`` the whole one. ``effective`` gives what a candidate comes down to: candidates with the same
+    outcome are fitted once.
+    """
 
     name: str
     fit: Callable[[DataFrame, Params, int], Fitted]
     best: Params
     grid: dict[str, list] = field(default_factory=dict)
     full_grid: dict[str, list] = field(default_factory=dict)
+    default: Params = field(default_factory=dict)
+    effective: Callable[[Params], Params] = dict
 
 
 def candidates(grid: dict[str, list]) -> list[Params]:
@@ -76,7 +86,7 @@ def _from_probability(model: Any) -> Fitted:
 @contextmanager
 def _weighted(train: DataFrame, params: Params, features: str = "features") -> Iterator[DataFrame]:
     """Training rows with their class weight, kept for the passes of one fit."""
-    columns = train.select("doc_id", features, "label")
+    columns = _laid_out(train.select("doc_id", features, "label"), params)
     rows = mt.with_class_weight(columns, params.get("class_weight") == "balanced").persist()
     try:
         yield rows
@@ -87,24 +97,34 @@ def _weighted(train: DataFrame, params: Params, features: str = "features") -> I
 def _tree_settings(params: Params) -> Params:
     # there is no exact counterpart of a minimum split size; half of it as the smallest leaf comes closest
     depth = params.get("max_depth")
+    if depth is not None and depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth}: trees cannot be deeper than {MAX_TREE_DEPTH}")
     return {
         "impurity": params.get("criterion", "gini"),
-        "maxDepth": MAX_TREE_DEPTH if depth is None else min(depth, MAX_TREE_DEPTH),
+        "maxDepth": MAX_TREE_DEPTH if depth is None else depth,
         "minInstancesPerNode": max(1, params.get("min_samples_split", 2) // 2),
         "weightCol": "weight",
     }
 
 
-def _few_tasks(rows: DataFrame, n: int) -> DataFrame:
-    """Merge the partitions of a small table: a fit passes over it many times and each task costs."""
-    wanted = max(1, -(-n // ROWS_PER_TASK))
-    return rows.coalesce(wanted) if wanted < rows.sparkSession.sparkContext.defaultParallelism else rows
+def _effective_tree(params: Params) -> Params:
+    rest = {k: v for k, v in params.items() if k not in ("criterion", "max_depth", "min_samples_split")}
+    return rest | _tree_settings(params)
+
+
+def _laid_out(rows: DataFrame, params: Params) -> DataFrame:
+    """Training rows in a layout of their own, dealt by key and sorted, so that a seed gives one model however they came.
+
+    The number of partitions is the setting ``fit_partitions``; it never follows from the number of rows.
+    """
+    n = params.get("fit_partitions", FIT_PARTITIONS)
+    return rows.repartition(n, "doc_id").sortWithinPartitions("doc_id")
 
 
 def fit_tree(train: DataFrame, params: Params, seed: int) -> Fitted:
     tree = DecisionTreeClassifier(seed=seed, **_tree_settings(params))
     with _weighted(train, params) as rows:
-        return _from_probability(tree.fit(_few_tasks(rows, rows.count())))
+        return _from_probability(tree.fit(rows))
 
 
 def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -117,7 +137,7 @@ def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
         **_tree_settings(params),
     )
     with _weighted(train, params) as rows:
-        return _from_probability(forest.fit(_few_tasks(rows, trees * rows.count())))
+        return _from_probability(forest.fit(rows))
 
 
 def fit_logistic(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -126,16 +146,16 @@ def fit_logistic(train: DataFrame, params: Params, seed: int) -> Fitted:
         n = rows.count()
         penalty = 1.0 / (params.get("C", 1.0) * max(1, n))
         model = LogisticRegression(regParam=penalty, standardization=False, weightCol="weight")
-        return _from_probability(model.fit(_few_tasks(rows, n)))
+        return _from_probability(model.fit(rows))
 
 
 def fit_bayes(train: DataFrame, params: Params, seed: int) -> Fitted:
-    return _from_probability(NaiveBayes(modelType="gaussian").fit(train))
+    return _from_probability(NaiveBayes(modelType="gaussian").fit(_laid_out(train, params)))
 
 
 def fit_linear(train: DataFrame, params: Params, seed: int) -> Fitted:
     """Least squares on the 0/1 label; the fitted value cut at 0 and 1 stands in for a probability."""
-    model = LinearRegression(solver="l-bfgs", regParam=params.get("alpha", 1e-6)).fit(_few_tasks(train, train.count()))
+    model = LinearRegression(solver="l-bfgs", regParam=params.get("alpha", 1e-6)).fit(_laid_out(train, params))
 
     def transform(df: DataFrame) -> DataFrame:
         value = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
@@ -149,7 +169,7 @@ def _margins(model: Any, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("margin", F.get(vector_to_array("rawPrediction"), 1))
 
 
-def _platt(margins: DataFrame, n: int) -> Any:
+def _platt(margins: DataFrame) -> Any:
     """Logistic map from margin to probability with Platt's smoothed targets, each given as two weighted rows."""
     sizes = margins.agg(
         F.struct(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).alias("s")
@@ -167,7 +187,7 @@ def _platt(margins: DataFrame, n: int) -> Any:
         ),
     )
     assembled = VectorAssembler(inputCols=["margin"], outputCol="m").transform(soft)
-    return LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0).fit(_few_tasks(assembled, n))
+    return LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0).fit(assembled)
 
 
 def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -175,7 +195,8 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
 
     Label and probability can disagree near the boundary; both are kept.
     """
-    kernel, gamma = params.get("kernel", "rbf"), params.get("gamma", 1.0)
+    kernel, gamma = params.get("kernel", "rbf"), params.get("gamma", "scale")
+    gamma = kn.scaled_gamma(train) if gamma == "scale" else gamma
     marks = kn.landmark_matrix(train, params.get("landmarks", kn.LANDMARKS))
     white = kn.whitening(marks, kernel, gamma)
 
@@ -185,11 +206,11 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
         return LinearSVC(
             featuresCol="kernel_features",
             regParam=penalty,
-            maxIter=50,
-            tol=min(params.get("tol", 1e-3), 1e-2),
+            maxIter=params.get("max_iter", MAX_ITERATIONS),
+            tol=params.get("tol", 1e-3),
             weightCol="weight",
             standardization=False,
-        ).fit(_few_tasks(rows, n))
+        ).fit(rows)
 
     mapped = kn.kernel_features(train.select("doc_id", "features", "label"), marks, white, kernel, gamma)
     with _weighted(mapped, params, "kernel_features") as rows:
@@ -199,7 +220,7 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
             _margins(machine(rows.where(fold != i)), rows.where(fold == i)).select("label", "margin")
             for i in range(CALIBRATION_FOLDS)
         ]
-        calibration = _platt(reduce(DataFrame.unionByName, held_out), rows.count())
+        calibration = _platt(reduce(DataFrame.unionByName, held_out))
     slope, offset = float(calibration.coefficients[0]), float(calibration.intercept)
 
     def transform(df: DataFrame) -> DataFrame:
@@ -231,14 +252,10 @@ def fit_neighbours(train: DataFrame, params: Params, seed: int) -> Fitted:
     return Fitted(transform)
 
 
-def _steps(first: float, last: float, step: float) -> list[float]:
-    return [round(first + i * step, 4) for i in range(round((last - first) / step) + 1)]
-
-
 _BALANCE = [None, "balanced"]
 _SPLITS = [2, 10, 25, 50, 75, 100]
 
-# The pinned best parameters and the full grids of the four tuned classifiers.
+# The pinned best parameters, the full grids and the defaults of the four tuned classifiers.
 REGISTRY: dict[str, Classifier] = {
     "dt": Classifier(
         "dt",
@@ -252,6 +269,8 @@ REGISTRY: dict[str, Classifier] = {
             "min_samples_split": _SPLITS,
             "class_weight": _BALANCE,
         },
+        {"criterion": "gini", "max_depth": None, "min_samples_split": 2, "class_weight": None},
+        _effective_tree,
     ),
     "svm": Classifier(
         "svm",
@@ -260,11 +279,16 @@ REGISTRY: dict[str, Classifier] = {
         {"kernel": ["rbf", "sigmoid"], "C": [0.65], "gamma": [1], "tol": [0.8], "class_weight": ["balanced"]},
         {
             "kernel": ["rbf", "sigmoid"],
-            "C": _steps(0.5, 3.35, 0.15),
+            "C": [
+                0.5, 0.65, 0.8, 0.95, 1.1, 1.25, 1.4, 1.55, 1.7, 1.85, 2.0, 2.15, 2.3, 2.45, 2.6, 2.75, 2.9, 3.05, 3.2, 3.35,
+            ],
             "gamma": [1, 0.1, 0.01, 0.001, 0.0001],
-            "tol": _steps(0.05, 1.0, 0.05),
+            "tol": [
+                0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0,
+            ],
             "class_weight": ["balanced", None],
         },
+        {"kernel": "rbf", "C": 1.0, "gamma": "scale", "tol": 1e-3, "class_weight": None},
     ),
     "knn": Classifier(
         "knn",
@@ -272,10 +296,11 @@ REGISTRY: dict[str, Classifier] = {
         {"n_neighbors": 5, "metric": "euclidean", "weights": "uniform"},
         {"n_neighbors": [3, 5], "metric": ["euclidean"], "weights": ["uniform", "distance"]},
         {
-            "n_neighbors": list(range(1, 22, 2)),
+            "n_neighbors": [1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 21],
             "metric": ["euclidean", "manhattan", "minkowski"],
             "weights": ["uniform", "distance"],
         },
+        {"n_neighbors": 5, "metric": "minkowski", "weights": "uniform"},
     ),
     "rforest": Classifier(
         "rforest",
@@ -295,8 +320,10 @@ REGISTRY: dict[str, Classifier] = {
             "min_samples_split": _SPLITS,
             "class_weight": _BALANCE,
         },
+        {"n_estimators": 100, "criterion": "gini", "max_depth": None, "min_samples_split": 2, "class_weight": None},
+        _effective_tree,
     ),
-    "log_reg": Classifier("log_reg", fit_logistic, {"C": 1.0}, {"C": [0.1, 1.0]}),
+    "log_reg": Classifier("log_reg", fit_logistic, {"C": 1.0}, {"C": [0.1, 1.0]}, default={"C": 1.0}),
     "gaussianNB": Classifier("gaussianNB", fit_bayes, {}),
     "lin_reg": Classifier("lin_reg", fit_linear, {}),
 }
@@ -307,11 +334,32 @@ def _in_parallel(work: Sequence[Callable[[], Any]], parallelism: int) -> list[An
         return [f.result() for f in [pool.submit(inheritable_thread_target(w)) for w in work]]
 
 
+def average_precision(df: DataFrame) -> float:
+    """Sum of the precision at each score, weighted by the recall it adds."""
+    points = df.groupBy("proba").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    summed = running_sums(points, "proba", {"_tp": F.col("_p"), "_all": F.col("_n")}, descending=True)
+    found = summed.agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_all")).alias("s"), F.sum("_p").alias("t")).first()
+    return float(found["s"] or 0.0) / float(found["t"]) if found["t"] else 0.0
+
+
+def roc_auc(df: DataFrame) -> float:
+    """Share of (selected, removed) pairs that the probability orders rightly, ties as one half."""
+    points = df.groupBy("proba").agg(
+        F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q")
+    )
+    summed = running_sums(points, "proba", {"_above": F.col("_p")}, descending=True)
+    pairs = F.col("_q") * (F.col("_above") - F.col("_p") / 2.0)
+    found = summed.agg(F.sum(pairs).alias("s"), F.sum("_p").alias("p"), F.sum("_q").alias("q")).first()
+    return float(found["s"]) / (found["p"] * found["q"]) if found["p"] and found["q"] else float("nan")
+
+
 def score_predictions(df: DataFrame, scoring: str) -> float:
-    if scoring == "f1":
-        counts = df.agg(*mt.confusion_counts("label", F.col("pred")))
-        return mt.add_metrics(counts).first()["f1"]
-    return mt.macro_metrics(df).first()["recall_macro"]
+    """One of ``SCORINGS`` for rows with ``label, pred, proba``."""
+    if scoring in ("roc_auc", "average_precision"):
+        return {"roc_auc": roc_auc, "average_precision": average_precision}[scoring](df)
+    if scoring.endswith("_macro"):
+        return mt.macro_metrics(df).first()[scoring]
+    return mt.add_metrics(df.agg(*mt.confusion_counts("label", F.col("pred")))).first()[scoring]
 
 
 def grid_search(
@@ -324,9 +372,12 @@ def grid_search(
 ) -> tuple[DataFrame, Params]:
     """(results, best parameters) over the folds marked in ``train``; the first candidate wins ties.
 
-    The driver holds one number per candidate and fold. Fits run as concurrent Spark jobs.
+    The driver holds one number per candidate and fold. Fits run as concurrent Spark jobs, one for each fold and each
+    set of candidates that come down to the same settings.
     """
     tried = candidates(grid or spec.grid) or [spec.best]
+    alike = [repr(sorted(spec.effective(p).items(), key=str)) for p in tried]
+    once = {name: p for name, p in reversed(list(zip(alike, tried)))}
     folds = sorted(row["fold"] for row in train.select("fold").distinct().collect())
 
     def one(params: Params, fold: int) -> Callable[[], float]:
@@ -336,11 +387,12 @@ def grid_search(
 
         return run
 
-    scores = _in_parallel([one(p, f) for p in tried for f in folds], parallelism)
+    fits = [(name, f) for name in once for f in folds]
+    scores = dict(zip(fits, _in_parallel([one(once[name], f) for name, f in fits], parallelism)))
     rows = [
-        (spec.name, c, {k: str(v) for k, v in params.items()}, int(fold), scores[c * len(folds) + i])
+        (spec.name, c, {k: str(v) for k, v in params.items()}, int(fold), scores[alike[c], fold])
         for c, params in enumerate(tried)
-        for i, fold in enumerate(folds)
+        for fold in folds
     ]
     results = train.sparkSession.createDataFrame(
         rows, "classifier STRING, candidate INT, params MAP<STRING,STRING>, fold INT, score DOUBLE"
@@ -354,13 +406,13 @@ def cross_validate_years(
 ) -> DataFrame:
     """Macro metrics of each year fold, newest block first; every fold trains on earlier years only."""
     marked = stored(fd.year_folds(train, n_splits), "year-folds")
-    params = spec.best if params is None else params
+    params = spec.default if params is None else params
 
     def run(fold: int) -> DataFrame:
         rest, held = fd.year_fold_parts(marked, fold)
         return spec.fit(rest, params, seed).transform(held).select("label", "pred", F.lit(fold).alias("fold"))
 
-    tested = [run(fold) for fold in range(1, n_splits + 1)]
+    tested = _in_parallel([partial(run, fold) for fold in range(1, n_splits + 1)], PARALLEL_FITS)
     rows = reduce(DataFrame.unionByName, tested)
     return mt.macro_metrics(rows, ("fold",))
 
@@ -370,7 +422,7 @@ def cross_validate_series(
 ) -> DataFrame:
     """``(fold, threshold, f1)`` over expanding folds; each uses the threshold that keeps all its training hits."""
     marked = stored(fd.time_series_folds(train, n_splits), "series-folds")
-    params = spec.best if params is None else params
+    params = spec.default if params is None else params
 
     def run(fold: int) -> DataFrame:
         rest, held = fd.fold_parts(marked, fold, expanding=True)
@@ -385,7 +437,7 @@ def cross_validate_series(
             ms.unless_below(F.col("proba"), F.col("threshold")).alias("pred"),
         )
 
-    tested = [run(fold) for fold in range(1, n_splits + 1)]
+    tested = _in_parallel([partial(run, fold) for fold in range(1, n_splits + 1)], PARALLEL_FITS)
     rows = reduce(DataFrame.unionByName, tested)
     counts = rows.groupBy("fold", "threshold").agg(*mt.confusion_counts("label", F.col("pred")))
     return mt.add_metrics(counts).select("fold", "threshold", "f1")

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studysift.functions.measures import significant
+from studysift.operators.ranking import number_rows
+
 # A scorer maps the per-term sums (columns d1 d0 s1 s0 q1 q0) and the class sizes (n1, n0) to a score.
 Scorer = Callable[[Column, Column], Column]
 
@@ -80,26 +83,23 @@ def pearson(n1: Column, n0: Column) -> Column:
 SCORERS: dict[str, Scorer] = {"affinity": affinity, "chi2": chi2, "anova": anova, "pearson": pearson}
 
 
-def score_terms(stats: DataFrame, sizes: Column, score: str | Scorer, digits: int = 6) -> DataFrame:
-    """``(term, score)``; a score that is not a number becomes null, which ranks lowest.
-
-    Scores are rounded so that ties do not hang on the order in which doubles were summed.
-    """
+def score_terms(stats: DataFrame, sizes: Column, score: str | Scorer) -> DataFrame:
+    """``(term, score)`` at full precision; a score that is not a number becomes null, which ranks lowest."""
     scorer = SCORERS[score] if isinstance(score, str) else score
     with_sizes = stats.withColumn("_n", sizes)
     raw = scorer(F.col("_n.n1").cast("double"), F.col("_n.n0").cast("double"))
     scored = with_sizes.select("term", raw.alias("score"))
-    endless = F.col("score") == float("inf")
-    rounded = F.when(endless, F.col("score")).when(~F.isnan("score"), F.round("score", digits))
-    return scored.select("term", rounded.alias("score"))
+    return scored.select("term", F.when(~F.isnan("score"), F.col("score")).alias("score"))
 
 
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """``(rank, term, score)`` of the k best terms; among ties the last term in code-point order comes first.
 
+    Scores are compared at nine significant digits, so small ones are told apart as well as large ones.
+
     The limit keeps k rows per task before anything meets, so the numbering sees k rows at most.
     """
-    order = [F.col("score").desc_nulls_last(), F.col("term").desc()]
+    order = [significant(F.col("score")).desc_nulls_last(), F.col("term").desc()]
     best = scores.orderBy(*order).limit(k)
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "term", "score")
 
@@ -113,12 +113,24 @@ def sparse_vector(indices: Column, values: Column, size: int) -> Column:
     return F.from_json(F.to_json(F.struct(parts.alias("vector"))), holder)["vector"]
 
 
-def feature_vectors(studies: DataFrame, features: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """Studies with a ``features`` vector over the k best terms; a study with none of them gets an empty vector.
+def all_terms(features: DataFrame) -> DataFrame:
+    """``(rank, term, score)`` of every term, numbered in digest order; the score is its number of documents."""
+    counted = features.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    keyed = counted.withColumn("_k", F.md5("term"))
+    numbered = number_rows(keyed, ("_k", "term"), bucket=F.substring("_k", 1, 3), out="rank")
+    return numbered.select(F.col("rank").cast("int").alias("rank"), "term", "score")
+
+
+def feature_vectors(
+    studies: DataFrame, features: DataFrame, best: DataFrame, k: int, bounded: bool = True
+) -> DataFrame:
+    """Studies with a ``features`` vector over k terms; a study with none of them gets an empty vector.
 
-    ``best`` has at most k rows and k is bounded, so it is broadcast; weights are not normalised again.
+    The best terms are k at most and k is bounded, so they are broadcast; a whole vocabulary is joined by term
+    instead (``bounded=False``). Weights are not normalised again.
     """
-    index = F.broadcast(best.select("term", (F.col("rank") - 1).alias("_i")))
+    index = best.select("term", (F.col("rank") - 1).alias("_i"))
+    index = F.broadcast(index) if bounded else index
     packed = (
         features.select("doc_id", "term", "v")
         .join(index, "term")

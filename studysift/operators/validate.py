@@ -27,7 +27,10 @@ def missing_fields(names: Sequence[str] = ("abstract", "year", "title")) -> Colu
 
 def check_required(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) of entries with title, abstract and year; rejects carry a ``reasons`` array."""
-    checked = entries.withColumn("reasons", missing_fields())
+    reasons = missing_fields()
+    if "unread" in entries.columns:  # a field that does not close may be one of those, or swallow them
+        reasons = F.concat(reasons, F.when(F.col("unread").isNotNull(), F.array(F.lit("unread"))).otherwise(F.array().cast("array<string>")))
+    checked = entries.withColumn("reasons", reasons)
     ok = F.size("reasons") == 0
     return checked.where(ok).drop("reasons"), checked.where(~ok)
 

@@ -303,11 +303,11 @@ def _train_scores(spark: SparkSession, folder: str, score: str) -> DataFrame:
 
 
 def score_query(score: str) -> Query:
-    return lambda spark, folder: _train_scores(spark, folder, score)
+    return lambda spark, folder: rounded(_train_scores(spark, folder, score))
 
 
 def select_k_best(spark: SparkSession, folder: str) -> DataFrame:
-    return sel.select_k_best(_train_scores(spark, folder, "anova"), TOP_K)
+    return rounded(sel.select_k_best(_train_scores(spark, folder, "anova"), TOP_K))
 
 
 # folds and orders

@@ -18,7 +18,7 @@ STUDIES = (
     + """, studies AS (
   SELECT doc_id, title, content, year, quality AS label,
          CASE WHEN quality = 1 THEN 'selected' ELSE 'removed' END AS category,
-         CASE WHEN year <= 2013 THEN 'train' ELSE 'test' END AS split
+         CASE WHEN year <= 2013 THEN 'train' WHEN year > 2013 THEN 'test' END AS split
   FROM docs JOIN labels USING (doc_id)), train AS (SELECT * FROM studies WHERE split = 'train')"""
 )
 
@@ -213,22 +213,23 @@ MACRO = f"""WITH {SCORED}, per_class AS (
 
 LEMMAS = f"""WITH rows AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS token
    FROM (SELECT doc_id, {TOKENS} AS t FROM documents)),
- tagged AS (SELECT token, CASE WHEN lower(token) LIKE '%ly' THEN 'r'
+ tagged AS MATERIALIZED (SELECT token, CASE WHEN lower(token) LIKE '%ly' THEN 'r'
    WHEN regexp_matches(lower(token), '(ed|ing|is|are|was|be)$') THEN 'v' ELSE 'n' END AS pos, count(*) AS n
    FROM rows GROUP BY 1, 2),
  lexicon(surface, pos, lemma) AS (VALUES {_lexicon()}),
  rules(pos, i, ending, replacement) AS (VALUES {_rules()}),
- listed AS (SELECT t.token, t.pos, l.lemma FROM tagged t JOIN lexicon l
+ listed AS MATERIALIZED (SELECT t.token, t.pos, l.lemma FROM tagged t JOIN lexicon l
    ON l.surface = t.token AND l.pos = t.pos WHERE l.surface <> l.lemma),
- tried AS (
+ tried AS MATERIALIZED (
    SELECT token, pos, 0 AS i, token AS form FROM tagged
    UNION ALL SELECT token, pos, 1, lemma FROM listed
    UNION ALL SELECT t.token, t.pos, r.i, left(t.token, length(t.token) - length(r.ending)) || r.replacement
    FROM tagged t JOIN rules r ON r.pos = t.pos AND suffix(t.token, r.ending)
-   WHERE NOT EXISTS (SELECT 1 FROM listed x WHERE x.token = t.token AND x.pos = t.pos)),
+   WHERE (t.token, t.pos) NOT IN (SELECT (token, pos) FROM listed)),
  known AS (SELECT c.token, c.pos, c.form,
      row_number() OVER (PARTITION BY c.token, c.pos ORDER BY length(c.form), c.i, c.form) AS k
-   FROM tried c WHERE EXISTS (SELECT 1 FROM lexicon l WHERE l.surface = c.form AND l.lemma = c.form AND l.pos = c.pos)),
+   FROM tried c JOIN (SELECT DISTINCT surface, pos FROM lexicon WHERE surface = lemma) l
+     ON l.surface = c.form AND l.pos = c.pos),
  lemmas AS (SELECT t.token, t.pos, coalesce(k.form, t.token) AS lemma, t.n FROM tagged t
    LEFT JOIN known k ON k.token = t.token AND k.pos = t.pos AND k.k = 1)"""
 
@@ -320,9 +321,12 @@ def all_oracles() -> dict[str, str]:
             SELECT term, round(d1 / (n1 + d1 + d0 - d1) - d0 / (n0 + d1 + d0 - d0), 6) + 0e0 AS score
             FROM held, sizes""",
         "select_k_best": f"""{SCORE_CTE}, scored_terms AS (
-              SELECT term, round({SCORES["anova"]}, 6) + 0e0 AS score FROM sums, sizes)
-            SELECT CAST(row_number() OVER (ORDER BY score DESC, term DESC) AS INTEGER) AS rank, term, score
-            FROM scored_terms QUALIFY rank <= {TOP_K}""",
+              SELECT term, {SCORES["anova"]} AS score FROM sums, sizes), powers AS (
+              SELECT term, score, CASE WHEN score = 0 OR isinf(score) THEN 1e0 ELSE pow(1e1, floor(log10(abs(score)))) END AS p
+              FROM scored_terms)
+            SELECT CAST(row_number() OVER (ORDER BY round(score / p, 8) * p DESC NULLS LAST, term DESC) AS INTEGER) AS rank,
+                   term, round(score, 6) + 0e0 AS score
+            FROM powers QUALIFY rank <= {TOP_K}""",
         "seeded_shuffle": f"""SELECT doc_id, row_number() OVER (ORDER BY {SHUFFLED}, doc_id) AS position
             FROM documents""",
         "quota_split": f"WITH {QUOTA} SELECT doc_id, category, year, part AS split FROM resplit",

@@ -14,7 +14,7 @@ from studysift.operators.storage import stored
 from studysift.operators.validate import Validation, validate
 from studysift.plans.screening import run_screening
 from studysift.sources import bib
-from studysift.sources.tables import REPORT_TABLES, write_report
+from studysift.sources.tables import REPORT_TABLES, refuse_existing, write_report
 
 STOPWORDS_ONLY = (tx.drop_stopwords(),)
 
@@ -55,6 +55,8 @@ def screen_bibliography(
     strict: bool = False,
 ) -> dict[str, DataFrame]:
     """Load, validate, normalise, screen, and write the report tables when ``out`` is given."""
+    if out is not None:
+        refuse_existing(spark, out)
     loaded = load_bibliography(spark, folder)
     if strict:
         loaded.require_valid()

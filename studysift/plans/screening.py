@@ -43,15 +43,11 @@ def weighted_terms(studies: DataFrame, config: ScreeningConfig, store: bool = Fa
 
 
 def select_terms(studies: DataFrame, features: DataFrame, config: ScreeningConfig) -> DataFrame:
-    """The k terms to use: the best by score on the training split, or without selection the most common ones.
-
-    A vector over the whole vocabulary grows with the data, so the width stays bounded by k either way.
-    """
+    """The terms to use: the k best by score on the training split, or without selection the whole vocabulary."""
     train = features.where(F.col("split") == "train")
     sizes = sel.class_sizes(studies.where(F.col("split") == "train"))
     if not config.select_features:
-        common = train.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("score"))
-        return sel.select_k_best(common, config.k)
+        return sel.all_terms(train)
     scores = sel.score_terms(sel.term_statistics(train), sizes, config.score)
     return sel.select_k_best(scores, config.k)
 
@@ -60,15 +56,21 @@ def build_vectors(studies: DataFrame, config: ScreeningConfig) -> Vectors:
     """Vectors of both splits; the small vector table is what all model fits read."""
     features = weighted_terms(studies, config, store=True)
     best = stored(select_terms(studies, features, config), "best-terms")
-    kept = studies.select("doc_id", "entry_index", "title", "year", "category", "label", "split")
-    vectors = stored(sel.feature_vectors(kept, features, best, config.k), "vectors")
+    width = config.k if config.select_features else best.count()
+    kept = studies.select(
+        "doc_id", "entry_index", "title", "year", "category", "label", "split", *[c for c in ("uuid",) if c in studies.columns]
+    )
+    vectors = stored(sel.feature_vectors(kept, features, best, width, config.select_features), "vectors")
     return Vectors(vectors.where(F.col("split") == "train"), vectors.where(F.col("split") == "test"), best)
 
 
 def screen(
     vectors: Vectors, classifier: str, params: md.Params | None = None, seed: int = 42
 ) -> DataFrame:
-    """Hold-out predictions of one classifier with its pinned parameters unless others are given."""
+    """Hold-out predictions of one classifier with its pinned parameters unless others are given.
+
+    Validated runs without a search use the classifier's defaults instead.
+    """
     spec = md.REGISTRY[classifier]
     model = spec.fit(vectors.train, spec.best if params is None else params, seed)
     return model.transform(vectors.test)
@@ -90,12 +92,12 @@ def run_screening(
     validation: list[DataFrame] = []
     for name in config.classifiers:
         spec = md.REGISTRY[name]
-        params = spec.best
+        params = spec.default
         if config.validation == "grid":
             grid = (grids or {}).get(name, spec.grid)
-            marked = stored(fd.stratified_folds(vectors.train, config.n_splits), "stratified")
+            marked = stored(fd.stratified_folds(vectors.train, config.cv), "stratified")
             results, params = md.grid_search(marked, spec, grid, config.scoring, config.seed)
-            tried[name] = {**grid, "cv": [config.n_splits], "scoring": [config.scoring]}
+            tried[name] = {**grid, "cv": [config.cv], "scoring": [config.scoring]}
             validation.append(
                 results.select("classifier", "fold", F.lit(config.scoring).alias("metric"), "candidate", "score")
             )
@@ -105,6 +107,7 @@ def run_screening(
         elif config.validation == "series":
             scores = md.cross_validate_series(vectors.train, spec, params, config.n_splits, config.seed)
             validation.append(_long(scores, name, ("threshold", "f1")))
+        params = {**params, "fit_partitions": config.fit_partitions}
         chosen[name] = params
         predicted[name] = stored(screen(vectors, name, params, config.seed), f"scored-{name}")
     tables = report_tables(vectors.test, predicted)
@@ -125,11 +128,12 @@ def _long(scores: DataFrame, classifier: str, metrics: tuple[str, ...]) -> DataF
 
 def report_tables(test: DataFrame, predicted: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Scores, analysis, predictions and probabilities of the hold-out studies."""
-    base = test.select("doc_id", "title", F.col("label").alias("was_selected"))
+    names = [c for c in ("doc_id", "uuid", "title") if c in test.columns]
+    base = test.select(*names, F.col("label").alias("was_selected"))
     wide = md.attach_predictions(base, predicted)
     labels = [name.upper() for name in predicted]
     columns = {label: f"{label}_pred" for label in labels}
-    kept = ("doc_id", "title", "was_selected")
+    kept = (*names, "was_selected")
     return {
         "scores": mt.binary_metrics(wide, columns, "was_selected"),
         "analysis": mt.confusion(wide, columns, "was_selected"),

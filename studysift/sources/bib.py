@@ -1,47 +1,90 @@
 """Bibliography files as tables of entries.
 
-The file is split at line starts with ``@``, so a large file is read by many tasks. A value may span lines, be quoted,
-braced (nested up to three deep) or bare. A value line that itself starts with ``@`` ends its entry early; the required
-field check then rejects that entry.
+Large files are split at line starts with ``@``, so many tasks read them; a piece that is no start of an entry belongs to
+the value before it and is put back. A value may span lines, be braced to any depth, quoted or bare, or be joined from
+parts by ``#``. A field whose braces or quotes do not close is reported by ``unread``, not dropped in silence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studysift.operators.validate import check_required, keep_first, to_studies
 
-# Fixed patterns of an entry: "type{key," and then fields "name = value".
+# Fixed patterns: the head of an entry "type{key," and the marks that matter within it (a braced
+# part with none inside is taken as one).
 _HEAD = r"^\s*@?(\w+)\s*\{\s*([^,\s]*)\s*,"
-_INNER = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-_BRACED = r"\{[^{}]*+(?:" + _INNER + r"[^{}]*+)*+\}"
-_FIELD = r'[A-Za-z_][\w\-]*\s*=\s*(?:' + _BRACED + r'|"[^"]*+"|[^\s,{}"]++)(?=\s*(?:,|\}|$))'
+_MARKS = r"(?s)\\.|\{[^{}\\]*+\}|[{}\",#]|[^{}\",#\\]+|\\"
+_NAME = r"^\s*([A-Za-z_][\w\-]*)\s*="
+_JOIN = "\u0001"  # stands for a "#" outside braces and quotes
 
 
-def _name_and_value(found: Column) -> Column:
-    raw = F.trim(F.substr(found, F.instr(found, "=") + 1))
-    enclosed = F.substr(raw, F.lit(1), F.lit(1)).isin("{", '"')
-    bare = F.when(enclosed, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.struct(F.lower(F.trim(F.substring_index(found, "=", 1))).alias("n"), F.trim(bare).alias("v"))
+def _scan(entry: Column) -> Column:
+    """Parts of an entry's body between its top-level commas, and whether its braces and quotes close.
+
+    A fold over braces, quotes, commas and the text between them; ``depth`` is -1 once the entry has ended.
+    """
+    body = F.regexp_replace(entry, _HEAD, "")
+
+    def step(s: Column, mark: Column) -> Column:
+        open_, over = s["depth"], s["depth"] < 0
+        top = (open_ == 0) & ~s["quoted"]
+        ends = top & (mark == "}")
+        cuts = top & (mark == ",")
+        depth = F.when(over | ends, -1).when(mark == "{", open_ + 1).when((mark == "}") & (open_ > 0), open_ - 1)
+        text = F.when(top & (mark == "#"), _JOIN).otherwise(mark)
+        return F.struct(
+            F.coalesce(depth, open_).alias("depth"),
+            F.when((mark == '"') & (open_ == 0), ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            F.when(over, s["text"]).when(cuts | ends, "").otherwise(F.concat(s["text"], text)).alias("text"),
+            F.when(cuts | ends, F.concat(s["parts"], F.array(s["text"]))).otherwise(s["parts"]).alias("parts"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"),
+        F.lit(False).alias("quoted"),
+        F.lit("").alias("text"),
+        F.array().cast("array<string>").alias("parts"),
+    )
+    marks = F.regexp_extract_all(body, F.lit(_MARKS), F.lit(0))
+    return F.aggregate(marks, start, step)
+
+
+def _name_and_value(part: Column) -> Column:
+    def bare(piece: Column) -> Column:
+        raw = F.regexp_replace(piece, r"^\s+|\s+$", "")
+        enclosed = F.substr(raw, F.lit(1), F.lit(1)).isin("{", '"') & (F.length(raw) > 1)
+        return F.when(enclosed, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+
+    pieces = F.split(F.regexp_replace(part, _NAME, ""), _JOIN)
+    value = F.trim(F.array_join(F.transform(pieces, bare), ""))
+    return F.struct(F.lower(F.regexp_extract(part, _NAME, 1)).alias("n"), value.alias("v"))
 
 
 def parse_entry(entry: Column) -> Column:
-    """Struct ``(entry_type, key, fields)`` of an entry's text; of a repeated field the last value counts."""
-    # one pass finds the fields; cutting each one at its "=" needs no further pattern
-    found = F.regexp_extract_all(entry, F.lit(_FIELD), F.lit(0))
+    """Struct ``(entry_type, key, fields, unread)`` of an entry's text; of a repeated field the last value counts.
+
+    ``unread`` holds what is left of a body that does not close, and parts that are no field; null when there is none.
+    """
+    scan = _scan(entry)
+    found = F.filter(scan["parts"], lambda p: F.regexp_like(p, F.lit(_NAME)))
     pairs = F.transform(found, _name_and_value)
     names = F.transform(pairs, lambda p: p["n"])
     last = F.transform(
         F.array_distinct(names),
         lambda n: F.struct(n, F.element_at(F.filter(pairs, lambda p: p["n"] == n), -1)["v"]),
     )
+    odd = F.filter(scan["parts"], lambda p: ~F.regexp_like(p, F.lit(_NAME)) & F.regexp_like(p, F.lit(r"\S")))
+    rest = F.concat(odd, F.when(scan["depth"] >= 0, F.array(scan["text"])).otherwise(F.array().cast("array<string>")))
     return F.struct(
         F.lower(F.regexp_extract(entry, _HEAD, 1)).alias("entry_type"),
         F.regexp_extract(entry, _HEAD, 2).alias("key"),
         F.map_from_entries(last).alias("fields"),
+        F.when(F.size(rest) > 0, F.array_join(rest, ",")).alias("unread"),
     )
 
 
@@ -52,27 +95,46 @@ def render_entry(key: Column, fields: dict[str, Column]) -> Column:
 
 
 def read_bib(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, entry_index, entry_type, key, fields)`` of bibliography files or folders.
+    """``(file, entry_index, entry_type, key, fields, unread)`` of bibliography files or folders.
 
-    ``entry_index`` grows in file order: the byte offset of the split first, then the row inside the task.
+    ``entry_index`` grows in file order: the byte offset of the split, plus the number of entries before in the split,
+    of which there are never more than bytes. A value that holds ``@`` at a line start is put together again unless a
+    split begins just there; the entry then shows what is missing in ``unread``.
     """
     raw = spark.read.text(path, lineSep="\n@").select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    row_bits = 2**27
-    entries = raw.select(
-        "file",
-        (F.col("_at") * row_bits + F.col("_row") % row_bits).alias("entry_index"),
-        parse_entry(F.col("value")).alias("e"),
-        F.regexp_like("value", F.lit(_HEAD)).alias("_is_entry"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
     )
-    bibliographic = F.col("_is_entry") & ~F.col("e.entry_type").isin("comment", "preamble", "string")
+    pieces = raw.select("value", "file", "at", F.regexp_like("value", F.lit(_HEAD)).alias("is_head"))
+    whole = pieces.mapInArrow(_rejoin, "file STRING, entry_index BIGINT, value STRING")
+    entries = whole.select("file", "entry_index", parse_entry(F.col("value")).alias("e"), F.col("value").alias("_v"))
+    bibliographic = F.regexp_like("_v", F.lit(_HEAD)) & ~F.col("e.entry_type").isin("comment", "preamble", "string")
     return entries.where(bibliographic).select("file", "entry_index", "e.*")
 
 
+def _rejoin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append pieces that start no entry to the piece before them in the same split of a file."""
+    place, n, held = None, 0, []
+
+    def rows() -> list[tuple[str, int, str]]:
+        return [(place[0], place[1] + n, "\n@".join(held))] if held else []
+
+    for batch in batches:
+        out: list[tuple[str, int, str]] = []
+        for value, file, at, is_head in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, at) != place or is_head:
+                out += rows()
+                n = 0 if (file, at) != place else n + 1
+                place, held = (file, at), []
+            held.append(value)
+        yield _as_batch(out)
+    yield _as_batch(rows())
+
+
+def _as_batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=["file", "entry_index", "value"])
+
+
 def study_fields(entries: DataFrame) -> DataFrame:
     """Entries with the fields a study needs as columns."""
     wanted = ("uuid", "title", "abstract", "year")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studysift.functions import text as tx
+from studysift.operators.folds import split_of
 
 YEAR_TO_SPLIT = 2013
 
@@ -62,6 +63,6 @@ def studies(
             "year",
             F.when(F.col("label") == 1, "selected").otherwise("removed").alias("category"),
             "label",
-            F.when(F.col("year") <= year_to_split, "train").otherwise("test").alias("split"),
+            split_of(F.col("year"), year_to_split).alias("split"),
         )
     )

@@ -9,7 +9,9 @@ from studysift.operators.validate import drop_unnamed
 REVIEWER_SCHEMA = "uuid STRING, Titles STRING, `Was Selected?` INT, R1 DOUBLE, R2 DOUBLE, R3 DOUBLE"
 
 # Fixed names of the report tables.
-REPORT_TABLES = ("scores", "analysis", "predictions", "probabilities", "parameters", "test_configuration")
+REPORT_TABLES = (
+    "scores", "analysis", "predictions", "probabilities", "parameters", "test_configuration", "validation",
+)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -33,6 +35,14 @@ def read_result(spark: SparkSession, run: str, table: str = "probabilities", fmt
     return drop_unnamed(spark.read.parquet(path) if fmt == "parquet" else read_csv(spark, path))
 
 
+def refuse_existing(spark: SparkSession, out: str) -> None:
+    """Raise before any work is done if one of the report tables is there already."""
+    for name in REPORT_TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise FileExistsError(f"{path.toString()} exists already")
+
+
 def write_report(tables: dict[str, DataFrame], out: str, fmt: str = "parquet") -> None:
     """Write the report tables under one folder; an existing table is refused, never overwritten."""
     unknown = set(tables) - set(REPORT_TABLES)

@@ -170,3 +170,61 @@ def test_bibliography_to_report(spark, tmp_path):
     assert read_result(spark, out, "predictions").count() == 24
     assert read_result(spark, out, "scores").first()["f1"] > 0.9
     assert tables["validation"].count() == 6
+
+
+def test_forest_is_the_same_in_any_layout(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, Vectors.dense([rng.random() for _ in range(6)]), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label"])
+    found = []
+    for n in (1, 3, 8):
+        model = md.fit_forest(df.repartition(n), {"n_estimators": 10, "max_depth": 4}, 7)
+        found.append({r.doc_id: r.proba for r in model.transform(df).select("doc_id", "proba").collect()})
+    assert found[0] == found[1] == found[2]
+
+
+def test_tolerance_reaches_the_machine(spark, monkeypatch):
+    seen = []
+
+    class Machine(md.LinearSVC):
+        def __init__(self, **settings):
+            seen.append((settings["tol"], settings["maxIter"]))
+            super().__init__(**settings)
+
+    monkeypatch.setattr(md, "LinearSVC", Machine)
+    rows = [(i, Vectors.dense([i % 2 + 0.1 * (i % 3), 1.0]), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label"])
+    md.fit_kernel_machine(df, {"tol": 0.8, "gamma": 1, "max_iter": 5}, 1)
+    md.fit_kernel_machine(df, {"tol": 0.05, "gamma": "scale"}, 1)
+    assert set(seen[:4]) == {(0.8, 5)} and set(seen[4:]) == {(0.05, md.MAX_ITERATIONS)}
+
+
+def test_depth_beyond_the_limit_is_refused():
+    with pytest.raises(ValueError):
+        md._tree_settings({"max_depth": 31})
+
+
+def test_equal_candidates_are_fitted_once(spark):
+    fits = []
+
+    def fit(train, params, seed):
+        fits.append(params)
+        return md.Fitted(lambda df: df.withColumn("pred", F.col("label")).withColumn("proba", F.col("label") * 1.0))
+
+    rows = [(i, i % 2, i % 2 + 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id INT, label INT, fold INT")
+    spec = md.Classifier("x", fit, {}, effective=md._effective_tree)
+    results, best = md.grid_search(df, spec, {"min_samples_split": [2, 3, 8]}, parallelism=1)
+    assert len(fits) == 4 and results.count() == 6 and best == {"min_samples_split": 2}
+
+
+@pytest.mark.parametrize("scoring, expected", [
+    ("accuracy", 4 / 6), ("precision", 2 / 3), ("recall", 2 / 3), ("f1", 2 / 3), ("precision_macro", 2 / 3),
+    ("recall_macro", 2 / 3), ("f1_macro", 2 / 3), ("roc_auc", 6.5 / 9), ("average_precision", (1 + 2 / 3 + 3 / 5) / 3),
+])
+def test_scorings_by_hand(spark, scoring, expected):
+    rows = [(1, 1, 0.9), (0, 1, 0.8), (1, 1, 0.8), (0, 0, 0.3), (1, 0, 0.3), (0, 0, 0.1)]
+    df = spark.createDataFrame(rows, "label INT, pred INT, proba DOUBLE")
+    assert md.score_predictions(df, scoring) == pytest.approx(expected)

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from studysift.config import ScreeningConfig
 from studysift.functions import measures as ms
 from studysift.operators import lexicon as lx
+from studysift.operators.folds import temporal_split, with_temporal_split
+from studysift.operators.validate import check_required
 from studysift.plans.analysis import reviewer_agreement, sweep
+from studysift.plans.preparation import screen_bibliography
 from studysift.sources import bib, tables
 
 BIB = """@comment{made up for the tests}
@@ -154,3 +157,50 @@ def test_tags_fall_back_to_noun(spark):
 def test_duration_of_aware_timestamps(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2, 1))], "a timestamp, z timestamp")
     assert df.select(ms.duration_label(F.col("a"), F.col("z"))).first()[0] == "01h:00m:00s"
+
+
+HARD = r"""@article{a,
+  title = {{A {\"{o}} {B {C {D {E}}}} title}},
+  abstract = {A hook {\v{c}}, and a "quote"},
+  year = 2001
+}
+@article{b,
+  title = "A" # " joined " # {title},
+  abstract = {Writes to
+@someone on a line of its own, and
+@another one},
+  year = 2002,
+}
+@article{c,
+  title = {Never closed,
+  abstract = {x},
+  year = 2003
+}
+@article{d, title = {Last}, abstract = {y}, year = 2004}
+"""
+
+
+def test_no_field_is_lost(spark, tmp_path):
+    (tmp_path / "hard.bib").write_text(HARD, encoding="utf-8")
+    rows = {r.key: r for r in bib.read_bib(spark, str(tmp_path / "hard.bib")).collect()}
+    assert rows["a"].fields["title"] == r'{A {\"{o}} {B {C {D {E}}}} title}'
+    assert rows["a"].fields["abstract"] == r'A hook {\v{c}}, and a "quote"'
+    assert rows["b"].fields["title"] == "A joined title"
+    assert rows["b"].fields["abstract"] == "Writes to\n@someone on a line of its own, and\n@another one"
+    assert rows["b"].fields["year"] == "2002" and rows["d"].fields["title"] == "Last"
+    assert [rows[k].unread is None for k in "abcd"] == [True, True, False, True]
+    _, rejects = check_required(bib.study_fields(bib.read_bib(spark, str(tmp_path / "hard.bib"))))
+    assert {r.key: "unread" in r.reasons for r in rejects.collect()} == {"c": True}
+
+
+def test_existing_report_is_refused_before_any_work(spark, tmp_path):
+    (tmp_path / "validation").mkdir()
+    with pytest.raises(FileExistsError):
+        screen_bibliography(spark, "/nowhere", ScreeningConfig(), out=str(tmp_path))
+
+
+def test_no_year_is_in_no_split(spark):
+    df = spark.createDataFrame([(1, 2000), (2, 2020), (3, None)], "doc_id INT, year INT")
+    train, test = temporal_split(df, 2013)
+    assert [train.count(), test.count()] == [1, 1]
+    assert {r.doc_id: r.part for r in with_temporal_split(df, 2013).collect()} == {1: "train", 2: "test", 3: None}

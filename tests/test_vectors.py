@@ -154,3 +154,17 @@ def test_vectors_are_sparse_and_not_renormalised(spark):
     got = {r.doc_id: r.features for r in sel.feature_vectors(studies, features, best, 5).collect()}
     assert got[1].size == 5 and dict(zip(got[1].indices, got[1].values)) == {0: 0.8}
     assert got[2].numNonzeros() == 0
+
+
+def test_small_scores_are_told_apart(spark):
+    scores = spark.createDataFrame([("a", 3e-9), ("b", 5e-9), ("z", 1e-9), ("y", None), ("x", 5e-9)], "term STRING, score DOUBLE")
+    assert [r.term for r in sel.select_k_best(scores, 4).collect()] == ["x", "b", "a", "z"]
+
+
+def test_whole_vocabulary_without_selection(spark):
+    features = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "c", 1.0)], "doc_id INT, term STRING, v DOUBLE")
+    best = sel.all_terms(features)
+    assert sorted(r["rank"] for r in best.collect()) == [1, 2, 3]
+    studies = spark.createDataFrame([(1,), (2,), (3,)], "doc_id INT")
+    rows = sel.feature_vectors(studies, features, best, 3, bounded=False).collect()
+    assert sorted((r.doc_id, round(float(sum(r.features.toArray())), 3)) for r in rows) == [(1, 0.75), (2, 1.0), (3, 0.0)]
