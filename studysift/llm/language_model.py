@@ -201,7 +201,7 @@ class Nodes:
 
 
 class Layer:
-    """All decisions at one depth over some strings, and each string's node at each bit level."""
+    """The distinct strings at one depth, from which the nodes of each bit level follow."""
 
     def __init__(self, string: np.ndarray, learnt: np.ndarray, depth: int) -> None:
         part = string & mask(depth + 1)
@@ -209,23 +209,19 @@ class Layer:
         ordered = part[order]
         fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(part) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
-        self.of_string = np.zeros(len(part), np.int64)  # its place among the distinct ones
+        self.of_string = np.zeros(len(part), np.int32)  # its place among the distinct ones
         self.of_string[order] = np.cumsum(fresh) - 1
-        distinct = ordered[first]
-        count = np.add.reduceat(learnt[order], first) if len(first) else np.zeros(0, np.int64)
-        self.levels: list[Nodes] = []
-        self.of_distinct: list[np.ndarray] = []
-        for level in range(8):
-            key = distinct & ~np.uint64(255) | prefix(distinct, level)
-            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
-            ones = count * bits(distinct, level)
-            sums = [np.add.reduceat(c, start) if len(start) else c for c in (count - ones, ones)]
-            self.levels.append(Nodes(key[start], *sums))
-            self.of_distinct.append(np.cumsum(new) - 1)
+        self.distinct = ordered[first]
+        self.count = np.add.reduceat(learnt[order], first) if len(first) else np.zeros(0, np.int64)
 
-    def at(self, level: int) -> np.ndarray:
-        return self.of_distinct[level][self.of_string]
+    def nodes(self, level: int) -> tuple[Nodes, np.ndarray]:
+        """The nodes of a level, and each string's node."""
+        key = self.distinct & ~np.uint64(255) | prefix(self.distinct, level)
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        ones = self.count * bits(self.distinct, level)
+        sums = [np.add.reduceat(c, start) if len(start) else c for c in (self.count - ones, ones)]
+        return Nodes(key[start], *sums), (np.cumsum(new, dtype=np.int32) - 1)[self.of_string]
 
 
 def mask(n: int) -> np.uint64:
@@ -242,24 +238,30 @@ def prefix(string: np.ndarray, level: int) -> np.ndarray:
 
 
 def deep_layers(string: np.ndarray, learnt: np.ndarray, depth: int) -> dict[int, Layer]:
-    """Decisions at depth 2 and below, of strings whose two bytes before the last lie together."""
-    made: dict[int, Layer] = {}
-    for d in range(depth, 1, -1):
-        made[d] = Layer(string, learnt, d)
-        if d < depth:
-            for here, deeper in zip(made[d].levels, made[d + 1].levels):
-                here.over(deeper.key & mask(d + 1), deeper.weighted)
+    """Depth 2 and below, of strings whose two bytes before the last lie together."""
+    return {d: Layer(string, learnt, d) for d in range(depth, 1, -1)}
+
+
+def deep_nodes(layers: dict[int, Layer], level: int) -> dict[int, tuple[Nodes, np.ndarray]]:
+    """The nodes of a bit level at all these depths, longest contexts first, and each string's node."""
+    made: dict[int, tuple[Nodes, np.ndarray]] = {}
+    for d, layer in layers.items():
+        nodes, at = layer.nodes(level)
+        if d + 1 in made:
+            deeper = made[d + 1][0]
+            nodes.over(deeper.key & mask(d + 1), deeper.weighted)
+        made[d] = nodes, at
     return made
 
 
-def code_lengths(string: np.ndarray, layers: dict[int, Layer], shallow: dict[int, Nodes], depth: int) -> np.ndarray:
+def code_lengths(string: np.ndarray, layers: dict[int, Layer], shallow: dict[int, Nodes]) -> np.ndarray:
     """Natural log of the probability of each string's last byte after the others."""
     total = np.zeros(len(string))
     for level in range(8):
         bit = bits(string, level)
         p = np.full(len(string), np.nan)
-        for d in range(depth, 1, -1):
-            p = layers[d].levels[level].mix(layers[d].at(level), bit, p)
+        for nodes, at in deep_nodes(layers, level).values():
+            p = nodes.mix(at, bit, p)
         for d in (1, 0):  # all levels in one
             key = string & mask(d + 1) & ~np.uint64(255) | prefix(string, level)
             nodes = shallow[d]
@@ -284,7 +286,9 @@ def string_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, learnt, _ = _columns(batches)
-        for nodes in deep_layers(string, learnt, depth)[2].levels:
+        layers = deep_layers(string, learnt, depth)
+        for level in range(8):
+            nodes = deep_nodes(layers, level)[2][0]
             columns = [nodes.key.astype(np.int64), nodes.zeros, nodes.ones, nodes.weighted]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "weighted"])
 
@@ -302,7 +306,7 @@ def string_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, learnt, seen = _columns(batches)
         layers = deep_layers(string, learnt, depth)
-        columns = [string.astype(np.int64), seen, code_lengths(string, layers, shallow, depth)]
+        columns = [string.astype(np.int64), seen, code_lengths(string, layers, shallow)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["string", "seen", "log_p"])
 
     return dealt.mapInArrow(score, "string long, seen long, log_p double")

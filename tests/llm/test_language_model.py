@@ -106,7 +106,7 @@ def test_probabilities_of_next_byte_sum_to_one():
     learnt = np.concatenate([np.ones(len(strings), np.int64), np.zeros(256, np.int64)])
     layers = lm.deep_layers(string, learnt, 2)
     none = {d: lm.Nodes(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for d in (0, 1)}
-    logs = lm.code_lengths(string, layers, none, 2)[-256:]
+    logs = lm.code_lengths(string, layers, none)[-256:]
     assert np.exp(logs).sum() == pytest.approx(1)
 
 
