@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from studysift.config import ScreeningConfig
@@ -12,6 +13,7 @@ from studysift.operators import models as md
 from studysift.operators import neighbours as nb
 from studysift.operators.stages import TermVectoriser
 from studysift.plans import screening as sc
+from studysift.plans.analysis import reviewer_agreement, sweep
 from studysift.plans.pool import resplit
 from studysift.plans.preparation import screen_bibliography
 from studysift.sources.bib import LABELLED_FILES
@@ -124,7 +126,7 @@ def test_config_checks():
 @pytest.mark.parametrize("validation,select", [("none", False), ("grid", True)])
 def test_whole_run(spark, small, validation, select):
     config = ScreeningConfig(
-        k=50, validation=validation, select_features=select, classifiers=("dt", "gaussianNB"), n_splits=2
+        k=50, validation=validation, select_features=select, classifiers=("dt", "gaussianNB"), cv=2
     )
     grids = {"dt": {"max_depth": [2, 3]}, "gaussianNB": {}}
     out = sc.run_screening(studies(spark, small), config, grids)
@@ -162,13 +164,18 @@ def test_bibliography_to_report(spark, tmp_path):
             for i in range(12):
                 text = " ".join(rng.choice([*words[category], "common", "words"], 12))
                 year = (2000 if split == "train" else 2015) + i % 6
-                f.write(f"@article{{k,\n\ttitle = {{item {len(category)} {split[1]} {i}}},\n\tabstract = {{{text}}},\n\tyear = {year}\n}}\n")
-    config = ScreeningConfig(k=20, validation="years", n_splits=2, classifiers=("dt",))
+                f.write(f"@article{{k,\n\ttitle = {{item {len(category)} {split[1]} {i}}},\n\tabstract = {{{text}}},\n\tyear = {year},\n\tuuid = {{{split}-{category}-{i}}}\n}}\n")
+    config = ScreeningConfig(k=20, validation="years", n_splits=2, classifiers=("rforest",))
     lexicon = spark.createDataFrame([("word", "n", "word")], "surface string, pos string, lemma string")
     out = str(tmp_path / "report")
     tables = screen_bibliography(spark, str(tmp_path), config, out, lexicon, strict=True)
     assert read_result(spark, out, "predictions").count() == 24
     assert read_result(spark, out, "scores").first()["f1"] > 0.9
+    assert read_result(spark, out, "validation").count() == 6
+    probabilities = read_result(spark, out)
+    assert sweep(probabilities).count() == 4
+    verdicts = probabilities.select("uuid", "title", "was_selected", *[(F.col("was_selected") * 2.0).alias(r) for r in ("R1", "R2", "R3")])
+    assert reviewer_agreement(probabilities, verdicts).count() > 0
     assert tables["validation"].count() == 6
 
 
@@ -222,7 +229,7 @@ def test_equal_candidates_are_fitted_once(spark):
 
 @pytest.mark.parametrize("scoring, expected", [
     ("accuracy", 4 / 6), ("precision", 2 / 3), ("recall", 2 / 3), ("f1", 2 / 3), ("precision_macro", 2 / 3),
-    ("recall_macro", 2 / 3), ("f1_macro", 2 / 3), ("roc_auc", 6.5 / 9), ("average_precision", (1 + 2 / 3 + 3 / 5) / 3),
+    ("recall_macro", 2 / 3), ("f1_macro", 2 / 3), ("roc_auc", 7 / 9), ("average_precision", (1 + 2 / 3 + 3 / 5) / 3),
 ])
 def test_scorings_by_hand(spark, scoring, expected):
     rows = [(1, 1, 0.9), (0, 1, 0.8), (1, 1, 0.8), (0, 0, 0.3), (1, 0, 0.3), (0, 0, 0.1)]
