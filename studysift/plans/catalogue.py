@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,6 +311,14 @@ def select_k_best(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sel.select_k_best(_train_scores(spark, folder, "anova"), TOP_K))
 
 
+def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Non-zero entries of the vectors over the best terms, of both splits."""
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
+    both = vectors.train.unionByName(vectors.test)
+    entries = both.select("doc_id", F.posexplode(vector_to_array("features")).alias("position", "v"))
+    return rounded(entries.where("v <> 0"))
+
+
 # folds and orders
 
 
@@ -483,6 +492,7 @@ def all_queries() -> dict[str, Query]:
         reviewer_join, agreement_distance, proba_bins, model_disagreement, year_profile_pivot,
         tokenize, stopword_filter, normalised_text, lemmatize, lemmatised_text, ngrams, title_preview, duration_label,
         term_frequency, document_frequency, vocabulary_size, idf, tfidf, select_k_best,
+        feature_vectors,
         seeded_shuffle, quota_split, resplit_profile, year_order, year_folds, time_series_folds, stratified_folds,
         head_n, confusion, binary_metrics, macro_metrics, threshold_sweep, full_recall_threshold, pr_curve,
         class_weights, best_candidate, knn_neighbours, knn_vote, knn_vote_weighted,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from studysift.functions.text import ENGLISH_STOPWORDS
 from studysift.operators.lexicon import DETACHMENTS
 from studysift.operators.validate import COMPARISONS
-from studysift.plans.catalogue import FOLDS, LEXICON, SEED, TOP_K
+from studysift.plans.catalogue import CONFIG, FOLDS, LEXICON, SEED, TOP_K
 
 DOCS = """docs AS (
   SELECT doc_id, split_part(text, chr(10), 1) AS title,
@@ -83,6 +83,13 @@ SCORES = {
     "pearson": """(n * s1 - s * n1) / (sqrt(n * q - s * s) * sqrt(n * n1 - n1 * n1))""",
 }
 
+# Terms in the order of their ANOVA score at nine significant digits.
+RANKED = f"""{SCORE_CTE}, scored_terms AS (SELECT term, {SCORES["anova"]} AS score FROM sums, sizes),
+powers AS (SELECT term, score,
+  CASE WHEN score = 0 OR isinf(score) THEN 1e0 ELSE pow(1e1, floor(log10(abs(score)))) END AS p FROM scored_terms),
+ranked AS (SELECT term, score, CAST(row_number() OVER (
+  ORDER BY round(score / p, 8) * p DESC NULLS LAST, term DESC) AS INTEGER) AS rank FROM powers)"""
+
 TOKENS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]')"
 
 
@@ -320,13 +327,9 @@ def all_oracles() -> dict[str, str]:
               FROM tf WHERE split = 'train' GROUP BY term)
             SELECT term, round(d1 / (n1 + d1 + d0 - d1) - d0 / (n0 + d1 + d0 - d0), 6) + 0e0 AS score
             FROM held, sizes""",
-        "select_k_best": f"""{SCORE_CTE}, scored_terms AS (
-              SELECT term, {SCORES["anova"]} AS score FROM sums, sizes), powers AS (
-              SELECT term, score, CASE WHEN score = 0 OR isinf(score) THEN 1e0 ELSE pow(1e1, floor(log10(abs(score)))) END AS p
-              FROM scored_terms)
-            SELECT CAST(row_number() OVER (ORDER BY round(score / p, 8) * p DESC NULLS LAST, term DESC) AS INTEGER) AS rank,
-                   term, round(score, 6) + 0e0 AS score
-            FROM powers QUALIFY rank <= {TOP_K}""",
+        "select_k_best": f"{RANKED} SELECT rank, term, round(score, 6) + 0e0 AS score FROM ranked WHERE rank <= {TOP_K}",
+        "feature_vectors": f"""{RANKED} SELECT doc_id, rank - 1 AS position, round(v, 6) AS v
+            FROM features JOIN ranked USING (term) WHERE rank <= {CONFIG.k}""",
         "seeded_shuffle": f"""SELECT doc_id, row_number() OVER (ORDER BY {SHUFFLED}, doc_id) AS position
             FROM documents""",
         "quota_split": f"WITH {QUOTA} SELECT doc_id, category, year, part AS split FROM resplit",
