@@ -331,11 +331,11 @@ def covered_around(contexts: DataFrame, group: int = GROUP) -> DataFrame:
         )
 
 
-def _few(side: DataFrame, items: str, width: int) -> DataFrame:
-    """Stored, and marked for broadcast if its rows come to no more than ``BROADCAST_BYTES``; beyond, texts are shuffled."""
-    side = stored(side, "by_document")
-    size = side.agg(F.sum(F.size(items) * width + 64)).first()[0] or 0
-    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+def _few(spans: DataFrame) -> DataFrame:
+    """Stored, and marked for broadcast if it comes to no more than ``BROADCAST_BYTES``; beyond, texts are shuffled."""
+    spans = stored(spans, "spans")
+    size = spans.agg(F.sum(F.size("spans") * 24 + 64)).first()[0] or 0
+    return F.broadcast(spans) if size <= BROADCAST_BYTES else spans
 
 
 def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -353,7 +353,7 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     sizes = wanted.groupBy("core").agg(F.count("*").alias("m"))
     questions = wanted.join(sizes, "core").select("at.row", "at.place", "core", "around", "n", "m")
     asked = questions.groupBy("row").agg(F.collect_list(F.struct("place", "core", "around", "n", "m")).alias("asked"))
-    asked = _few(asked.join(documents, "row").drop("row"), "asked", 48)
+    asked = asked.join(documents, "row").drop("row")
     texts = keyed(docs)
     here = texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_key"] == asked["text_key"])
     fetched = texts.join(asked, here).select("text", F.explode("asked").alias("q")).select("text", "q.*")
@@ -389,7 +389,7 @@ def _joined(spans: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, group: int = GROUP, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, on request ``kept``, the bytes left."""
-    spans, texts = _few(repeated_spans(docs, group), "spans", 24), keyed(docs)
+    spans, texts = _few(repeated_spans(docs, group)), keyed(docs)
     here = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["text_key"] == spans["text_key"])
     joined = texts.join(spans, here, "left").select(texts["doc_id"], "text", "spans.a", "spans.b")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept"] if with_text else [])
