@@ -28,8 +28,8 @@ from studysift.llm.common import stored
 SEQUENCE = 4096
 END = 1
 GROUP = 16_384
-BATCH = 512
-REMEMBERED = 250_000  # words whose ids a task keeps at hand; others are looked up anew
+BATCH = 2048
+REMEMBERED = 500_000  # words whose ids a task keeps at hand; others are looked up anew
 BREAK = "<|endoftext|>"  # a special token of the vocabulary, put between words that are tokenised in one call
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
