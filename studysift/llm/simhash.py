@@ -132,24 +132,39 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, text_key, fingerprint, component_id, root``, the last a fingerprint."""
-    marked = stored(fingerprints(docs), "fingerprints")
-    prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    roots = stored(components(links(prints.select("fp"))), "components")
+def distinct_prints(marked: DataFrame) -> DataFrame:
+    return stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
+
+
+def named(marked: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, text_key, fp, component_id, root`` of rows ``(doc_id, text_key, fp)`` by links between their ``fp``."""
+    roots = stored(components(edges), "components")
     linked = prints.join(roots, prints["fp"] == roots["node"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = prints.join(linked.join(smallest, "root").select("fp", "root", "component_id"), "fp", "left")
-    named = named.select(
+    known = prints.join(linked.join(smallest, "root").select("fp", "root", "component_id"), "fp", "left")
+    known = known.select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")
     )
+    return marked.join(known, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id, text_key, fingerprint, component_id, root``, the last a fingerprint."""
+    marked = stored(fingerprints(docs), "fingerprints")
+    prints = distinct_prints(marked)
+    found = named(marked, prints, links(prints.select("fp")))
     fingerprint_text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(named, "fp").select("doc_id", "text_key", fingerprint_text, "component_id", "root")
+    return found.select("doc_id", "text_key", fingerprint_text, "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each component the document with the smallest id, with all its columns."""
-    found = stored(near_duplicates(docs), "near_duplicates")
+    return first_of_each(docs, near_duplicates(docs))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component of ``(doc_id, text_key, component_id, root)`` the document with the smallest id."""
+    found = stored(found, "near_duplicates")
     least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows that share an id may stand in for one component more than once: the smallest text key decides.
     first = least.groupBy("root").agg(F.min("text_key").alias("first_key"))
