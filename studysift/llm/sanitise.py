@@ -4,15 +4,16 @@ E-mail addresses, IP addresses, card and phone numbers are found by pattern; the
 that stands near an entity gives it away to the degree that it tells which entity it is: with document frequencies over
 the whole corpus, the pointwise mutual information of term and entity is set against the information content of the
 entity, which it reaches when the term is met with that entity only. From ``GENERALISE`` on a term is replaced by its
-kind, from ``REMOVE`` on it is taken out, provided that ``SUPPORT`` different texts speak for it.
+kind, from ``REMOVE`` on it is taken out. No support is asked for: a term met only beside an entity that is met once
+tells most of all.
 
 Only DataFrame functions are used. Texts are read once for the patterns and once for document frequencies, which are
 combined within tasks before the shuffle; nothing but narrow rows is shuffled. Patterns never go back over what they
 have read, so that very long runs of one character take linear time.
 
-Defined results: a null text is empty and has no spans; repeated rows are returned each and count as documents, but as
-one text of support; a null ``doc_id`` is carried along; an entity in every document has no information and nothing
-gives it away; an empty table gives an empty result.
+Defined results: a null text is empty and has no spans; repeated rows are returned each and count as documents; a null
+``doc_id`` is carried along; an entity in every document has no information and nothing gives it away; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from studysift.llm.common import stored, text_of
 
 NEAR = 80  # characters on either side of an entity
-SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"\p{L}{4,}"
 LOCAL = "A-Za-z0-9._%+-"
@@ -132,10 +132,7 @@ def disclosing(contexts: DataFrame, documents: int, frequency: DataFrame) -> Dat
     ``contexts`` has a row for each document, entity and term near it; ``frequency`` says in how many documents a term
     stands at all.
     """
-    pairs = contexts.groupBy("entity", "term").agg(
-        F.count("*").alias("together"), F.count_distinct("text_key").alias("texts")
-    )
-    pairs = pairs.filter(F.col("texts") >= SUPPORT)
+    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("together"))
     with_entity = contexts.select("doc_id", "text_key", "row", "entity").distinct().groupBy("entity").count()
     known = pairs.join(with_entity.withColumnRenamed("count", "entity_df"), "entity").join(frequency, "term")
     content = F.log(F.lit(float(documents)) / F.col("entity_df"))

@@ -73,3 +73,15 @@ def test_disclosure_by_hand(spark):
     rows = sanitise.digest(sanitise.personal_data(docs)).collect()
     # D = 16, df(c) = 4, df(t) = 5, together 4: log(4 * 16 / 20) / log(4) = 0.839
     assert rows[0]["spans"] == "generalise:2:10,email:11:16" and rows[4]["spans"] == ""
+
+
+def test_entities_of_a_single_document(spark):
+    """A name met once, beside an address met once, is taken out; a term of two documents is judged, not passed over."""
+    texts = ["Xanthippe Quill wrote from x@y.example today", "Quill wrote from home"]
+    texts += [f"wrote from town{i} today" for i in range(62)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in sanitise.sanitised(docs).collect()}
+    # D = 64: df 1 gives 1, df 2 gives log(32) / log(64) = 0.833, df 63 and 64 next to nothing
+    assert out[0] == " [TERM] wrote from [EMAIL] today"
+    rows = sanitise.digest(sanitise.personal_data(docs)).collect()
+    assert rows[0]["spans"].startswith("remove:0:9,")
