@@ -13,8 +13,10 @@ repeated rows are packed each; an empty table gives an empty result. Texts of an
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,12 @@ SEQUENCE = 4096
 END = 1
 GROUP = 16_384
 BATCH = 2048
-REMEMBERED = 500_000  # words whose ids a task keeps at hand; others are looked up anew
+REMEMBERED = 500_000  # words whose ids a worker keeps at hand; others are looked up anew
 BREAK = "<|endoftext|>"  # a special token of the vocabulary, put between words that are tokenised in one call
+WORD_END = "</w>"  # the vocabulary's last token of a word ends with it
+MARKS = ".,;:!?"
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,56 +48,114 @@ def vocabulary(name: str) -> str:
 
 
 class Words:
-    """Token ids of a text by way of its words: each distinct word is tokenised once and remembered."""
+    """Token ids of a text by way of its words: each distinct word is tokenised once and remembered.
+
+    Words of Latin letters, with or without a mark behind them, are the most: they are kept in lower case and without
+    the mark, which this vocabulary reads as a token of its own. The last token of such a word ends with the
+    vocabulary's word end, so many can be tokenised in one line. All other words are kept as they stand.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.mark = tokenizer.encode_batch_fast, tokenizer.token_to_id(BREAK)
+        self.encode, self.break_id = tokenizer.encode_batch_fast, tokenizer.token_to_id(BREAK)
+        self.last = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.last[[number for token, number in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.mark_ids = np.array([0] + [self._encoded([mark])[0] for mark in MARKS], np.uint32)
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after another, and how many each has."""
-        blocks = [BREAK.join(words[i : i + 64]) + BREAK for i in range(0, len(words), 64)]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.encode(blocks, add_special_tokens=False)])
-        ends = np.flatnonzero(flat == self.mark)
-        return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if BREAK not in w]
-        odd = [w for w in words if BREAK in w]
-        parts = [self._tokens(plain)] if plain else []
-        if odd:
-            got = [e.ids for e in self.encode(odd, add_special_tokens=False)]
-            parts.append((np.concatenate([np.array(g, np.uint32) for g in got]), np.array([len(g) for g in got])))
-        count = np.concatenate([c for _, c in parts])
-        self.number.update(zip(plain + odd, range(len(self.count), len(self.count) + len(count))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, *[f for f, _ in parts]])
+        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _encoded(self, lines: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, np.uint32) for e in self.encode(lines, add_special_tokens=False)])
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters one after another, and how many each has."""
+        flat = self._encoded([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)])
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = self._encoded([BREAK.join(words[i : i + 64]) + BREAK for i in range(0, len(words), 64)])
+        ends = np.flatnonzero(flat == self.break_id)
+        return flat[flat != self.break_id], np.diff(ends, prepend=-1) - 1
+
+    def _odd(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.encode(words, add_special_tokens=False)]
+        return np.concatenate([np.array(g, np.uint32) for g in got]), np.array([len(g) for g in got])
+
+    def _learn(self, words: list[str]) -> None:
+        kinds: dict[str, list[str]] = {"_plain": [], "_others": [], "_odd": []}
+        for word in words:
+            kinds["_plain" if PLAIN(word) else "_odd" if BREAK in word else "_others"].append(word)
+        for name, own in kinds.items():
+            if own:
+                flat, count = getattr(self, name)(own)
+                at, end = len(self.number), len(self.number) + len(own)
+                self.number.update(zip(own, range(at, end)))
+                self.first, self.count = _room(self.first, end), _room(self.count, end)
+                self.flat = _room(self.flat, self.used + len(flat))
+                self.first[at:end], self.count[at:end] = self.used + np.cumsum(count) - count, count
+                self.flat[self.used : self.used + len(flat)] = flat
+                self.used += len(flat)
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given words one after another, and where each begins; one place more than words."""
+        keys, marks = [], np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            found = MARKED(word)
+            if found:
+                word = found[1].lower()
+                if found[2]:
+                    marks[i] = MARKS.index(found[2]) + 1
+            keys.append(word)
+        fresh = [key for key in dict.fromkeys(keys) if key not in self.number]
+        if fresh:
+            if len(self.number) + len(fresh) > REMEMBERED:
+                self.clear()
+                fresh = list(dict.fromkeys(keys))
+            self._learn(fresh)
+        at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        begin = np.concatenate([[0], np.cumsum(self.count[at] + (marks > 0))])
+        flat = np.empty(begin[-1], np.uint32)
+        bare = np.ones(begin[-1], bool)
+        bare[begin[1:][marks > 0] - 1] = False
+        flat[bare] = _runs(self.flat, self.first[at], self.count[at])
+        flat[~bare] = self.mark_ids[marks[marks > 0]]
+        return flat, begin
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and where each text's end."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        fresh = {w for w in known if w not in self.number}
-        if fresh:
-            if len(self.number) + len(fresh) > REMEMBERED:
-                self.clear()
-                fresh = set(known)
-            self._learn(fresh)
-        at = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
-        count = self.count[at]
+        flat, begin = self._known(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        count = np.diff(begin)[at]
         end = np.concatenate([[0], np.cumsum(count)])
-        flat = self.flat[np.arange(end[-1]) + np.repeat(self.first[at] - end[:-1], count)]
-        return flat, end[split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]]
+        return _runs(flat, begin[at], count), end[split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]]
+
+
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, doubled until it holds ``size`` values."""
+    if size <= len(values):
+        return values
+    return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+
+
+def _runs(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``count`` values from ``first`` on, one after another."""
+    end = np.cumsum(count)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + count, count)]
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """One memory of words for each Python worker, whatever number of tasks it runs."""
+    return Words(path)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, limit: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -99,22 +163,30 @@ def tokenised(docs: DataFrame, tokenizer: str, limit: int = SEQUENCE, with_ids:
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = _words(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 flat, ends = words.ids(part.column(1).fill_null(""))
-                rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), np.split(flat, ends[:-1])):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for i, start in enumerate(range(0, len(ids), limit)):
-                        own = ids[start : start + limit]
-                        rows.append((doc_id, i, start, len(own), zlib.crc32(own.tobytes()), own.astype(np.int32)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 6 if with_ids else 5
-                columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays(columns, names=names[:n])
+                flat = np.insert(flat, ends, END).astype("<u4", copy=False)
+                ends = ends + np.arange(1, len(ends) + 1)
+                size = np.diff(ends, prepend=0)
+                pieces = -(-size // limit)
+                row = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * limit
+                length = np.minimum(size[row] - start, limit)
+                first = (ends - size)[row] + start
+                data = memoryview(flat)
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+                columns = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length)]
+                columns.append(pa.array(crc, pa.int64()))
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    offsets = np.append(first, len(flat)).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
