@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studysift.llm import decontaminate, exact_dedup, packing, similar, toxicity
+from studysift.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from studysift.llm.common import read, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,8 +25,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles the one with the smallest id stays."""
-    return similar.drop_similar(docs)
+    """Of documents whose SimHash fingerprints are linked, as in ``op2_simhash``, the one with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
