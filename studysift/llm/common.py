@@ -48,21 +48,24 @@ def keep_rows(docs: DataFrame, found: DataFrame, key: Column, name: str) -> Data
     Rows that share id and name share a text: one of them stays if any does. Only such rows are compared again; all
     others are told apart by a join with what goes.
     """
-    found = found.groupBy("doc_id", F.col(name).alias("__name")).agg(
+    own = "key"
+    while own.lower() in {c.lower() for c in docs.columns}:
+        own += "_"
+    found = found.groupBy("doc_id", F.col(name).alias("name")).agg(
         F.max("kept").alias("stays"), F.count("*").alias("n")
     )
     found = stored(found.filter("NOT stays OR n > 1"), "verdicts")
-    keyed = docs.select(*[docs[c] for c in docs.columns], key.alias("__key"))
+    keyed = docs.select(*[docs[c] for c in docs.columns], key.alias(own))
 
     def matches(left: DataFrame, right: DataFrame) -> Column:
-        return left["doc_id"].eqNullSafe(right["doc_id"]) & left["__key"].eqNullSafe(right["__name"])
+        return left["doc_id"].eqNullSafe(right["doc_id"]) & left[own].eqNullSafe(right["name"])
 
-    going = stored(found.filter("NOT stays").select("doc_id", "__name"), "going")
+    going = stored(found.filter("NOT stays").select("doc_id", "name"), "going")
     staying = keyed.join(small(going, 100), matches(keyed, going), "left_anti")
-    repeated = stored(found.filter("stays").select("doc_id", "__name"), "repeated_rows")
+    repeated = stored(found.filter("stays").select("doc_id", "name"), "repeated_rows")
     if repeated.isEmpty():
-        return staying.drop("__key")
+        return staying.drop(own)
     repeated = small(repeated, 100)
     once = staying.join(repeated, matches(staying, repeated), "left_anti")
-    several = staying.join(repeated, matches(staying, repeated), "left_semi").dropDuplicates(["doc_id", "__key"])
-    return once.unionByName(several).drop("__key")
+    several = staying.join(repeated, matches(staying, repeated), "left_semi").dropDuplicates(["doc_id", own])
+    return once.unionByName(several).drop(own)

@@ -120,8 +120,8 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def arc_records(data: bytes, name: str) -> Iterator[tuple[int, int, list[str], bytes]]:
-    """``(offset, version, header fields, block)`` of each record, the version block first."""
-    at, version = 0, 0
+    """``(offset, version, header fields, block)`` of each record, the version block first and at offset 0."""
+    at, version, first = 0, 0, True
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
@@ -138,8 +138,8 @@ def arc_records(data: bytes, name: str) -> Iterator[tuple[int, int, list[str], b
         if len(fields) != FIELDS[version] or not fields[-1].isdigit() or stop + 1 + int(fields[-1]) > len(data):
             raise ValueError(f"{name}: broken record at byte {at}")
         end = stop + 1 + int(fields[-1])
-        yield at, version, fields, data[stop + 1 : end]
-        at = end
+        yield 0 if first else at, version, fields, data[stop + 1 : end]
+        at, first = end, False
 
 
 RECORD = "archive string, place long, version int, page_id long, url string, ip string, date string, mime string, http binary, payload_bytes long, payload_digest string"
@@ -186,14 +186,10 @@ def header_fields(head: bytes) -> dict[str, str]:
 
 
 def repeated_payloads(records: DataFrame) -> DataFrame:
-    """``(payload_digest, first_page)`` of payloads that several records share."""
-    return (
-        records.filter((F.col("payload_bytes") >= REVISIT_BYTES) & ~F.col("url").startswith("filedesc://"))
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .drop("n")
-    )
+    """``(payload_digest, first)`` of payloads that several records share: page, archive and place of their first."""
+    first = F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "archive", "place")).alias("first")
+    pages = records.filter((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("place") > 0))
+    return pages.groupBy("payload_digest").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
 
 
 def iso_date(arc_date: Column) -> Column:
@@ -203,36 +199,43 @@ def iso_date(arc_date: Column) -> Column:
     return F.regexp_replace(full, groups, "$1-$2-$3T$4:$5:$6Z")
 
 
-def record_id(page: Column, url: Column, date: Column) -> Column:
-    """A name-based identifier, the same whenever the same record is converted."""
-    name = F.md5(F.concat_ws(" ", F.coalesce(page.cast("string"), F.lit("-")), url, date))
+def record_id(archive: Column, place: Column) -> Column:
+    """A name-based identifier from where the record stands, the same whenever the same archive is converted."""
+    name = F.md5(F.concat_ws(" ", archive, place.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
 def to_warc(records: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``(archive, place, value)``: WARC records equivalent to the ARC records."""
+    """``(archive, place, value)``: WARC records equivalent to the ARC records.
+
+    The version block is the record at the start of its archive, whatever the urls of other records look like.
+    """
     joined = records.join(repeated, "payload_digest", "left")
-    page, first, url = F.col("page_id"), F.col("first_page"), F.col("url")
-    info = url.startswith("filedesc://")
-    revisit = ~info & first.isNotNull() & ~page.eqNullSafe(first)
+    page, first, url, info = F.col("page_id"), F.col("first.page_id"), F.col("url"), F.col("place") == 0
+    revisit = ~info & F.col("first").isNotNull() & ~page.eqNullSafe(first)
     web = F.octet_length("http") > 0
     kind = F.when(info, "warcinfo").when(revisit, "revisit").when(web, "response").otherwise("resource")
-    block = F.concat("http", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
+    about = F.format_string("format: WARC File Format 1.0\r\ndescription: converted from %s, ARC version %d\r\n", url, "version")
+    block = F.when(info, about.cast("binary")).otherwise(
+        F.concat("http", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
+    )
     mime = F.when(info, "application/warc-fields").when(web, "application/http; msgtype=response").otherwise(F.col("mime"))
-    joined = joined.select("archive", "place", "page_id", "first_page", "url", "ip", "payload_digest", "payload_bytes",
+    joined = joined.select("archive", "place", "page_id", "first", "url", "ip", "payload_digest", "payload_bytes",
                            F.col("date").alias("arc_date"), block.alias("block"), kind.alias("kind"), mime.alias("type"))
+    again, info = F.col("kind") == "revisit", F.col("kind") == "warcinfo"
     named = [
         ("WARC-Type", F.col("kind")),
-        ("WARC-Record-ID", record_id(page, url, F.col("arc_date"))),
+        ("WARC-Record-ID", record_id(F.col("archive"), F.col("place"))),
         ("WARC-Date", iso_date(F.col("arc_date"))),
-        ("WARC-Target-URI", F.when(F.col("kind") != "warcinfo", url)),
-        ("WARC-IP-Address", F.when(F.col("ip") != "0.0.0.0", F.col("ip"))),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
+        ("WARC-Target-URI", F.when(~info, url)),
+        ("WARC-Refers-To", F.when(again, record_id(F.col("first.archive"), F.col("first.place")))),
+        ("WARC-IP-Address", F.when(~info & (F.col("ip") != "0.0.0.0"), F.col("ip"))),
+        ("WARC-Payload-Digest", F.when(~info, F.concat(F.lit("sha256:"), "payload_digest"))),
         ("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2("block", 256))),
-        ("WARC-Profile", F.when(F.col("kind") == "revisit", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
-        ("X-Refers-To-Page-Id", F.when(F.col("kind") == "revisit", first)),
+        ("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
+        ("X-Refers-To-Page-Id", F.when(again, first)),
         ("X-Page-Id", page),
-        ("X-Payload-Length", F.col("payload_bytes")),
+        ("X-Payload-Length", F.when(~info, F.col("payload_bytes"))),
         ("Content-Type", F.col("type")),
         ("Content-Length", F.octet_length("block")),
     ]

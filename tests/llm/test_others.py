@@ -87,6 +87,28 @@ def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_pages_that_look_like_version_blocks_and_repeated_rows(spark):
+    """No page is lost for its url, every record has its own identifier, and revisits name the record they refer to."""
+    body = "<p>" + "x" * 200
+    rows = [(1, "filedesc://odd", body), (2, "http://a/b", body), (2, "http://a/b", body), (3, "filedesc://odd", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    arcs, warcs = warc.new_folder(spark, "arc"), warc.new_folder(spark, "warc")
+    warc.write_arc(pages.coalesce(1), arcs)
+    warc.convert(spark, arcs, warcs)
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, warcs).collect())
+    assert got == [(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None)]
+    found = []
+    for name, content in warc._archives(spark, warcs).collect():
+        found += warc.warc_records(gzip.decompress(bytes(content)), name)
+    ids = {f["warc-record-id"]: f for f, _ in found}
+    assert len(ids) == len(found) == 5
+    for fields, block in found:
+        if fields["warc-type"] == "revisit":
+            assert ids[fields["warc-refers-to"]]["x-page-id"] == "1"
+        if fields["warc-type"] == "warcinfo":
+            assert b"format: WARC" in block and all(b": " in line for line in block.split(b"\r\n") if line)
+
+
 def test_arc_versions_by_hand():
     one = b"filedesc://x 0.0.0.0 19990102 text/plain 8\n1 0 org\nhttp://h/a b 1.2.3.4 19990102030405 text/html 5\nhello\n"
     found = list(warc.arc_records(one, "x"))
