@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studysift.llm import decontaminate, exact_dedup, language_model, packing, sanitise, sharding, simhash, suffix_dedup, toxicity, warc
+from studysift.llm import decontaminate, exact_dedup, language_model, minhash, packing, sanitise, sharding, simhash
+from studysift.llm import spelling, suffix_dedup, toxicity, trie, warc
 from studysift.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,19 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, folder, "documents"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, folder, "documents")).drop("text_key", "root")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, folder, "conversations"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -67,6 +81,9 @@ def all_queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
         "op10_decontaminate": op10_decontaminate,
+        "op11_spelling": op11_spelling,
+        "op12_minhash": op12_minhash,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
