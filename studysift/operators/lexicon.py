@@ -1,7 +1,8 @@
 """Lemmas by joining tokens with a lexicon table ``(surface, pos, lemma)`` that the user supplies.
 
-The join works on the distinct (token, pos) pairs, so no frequent token crowds a task. A base form is a lexicon row
-whose lemma equals its surface; ``pos`` is n, v or r and everything else counts as n.
+Each distinct (token, pos) is resolved once. Where whole texts are lemmatised only the tokens that change travel, as one
+replacement map per document; everything else stays in the document's own row. A base form is a lexicon row whose lemma
+equals its surface; ``pos`` is n, v or r and everything else counts as n.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studysift.operators.joins import join_split
+from studysift.operators.storage import stored
+
 MAX_BROADCAST_LEMMAS = 200_000
-SALTS = 64
 
 # Endings and their replacements when looking for a base form, by part of speech.
 DETACHMENTS = {
@@ -66,22 +69,53 @@ def lemma_table(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def lemmatise(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _is_small(lexicon: DataFrame) -> bool:
+    """Whether a lemma table may be broadcast: it has at most one row per lexicon surface and ending rule."""
+    return lexicon.limit(MAX_BROADCAST_LEMMAS + 1).count() <= MAX_BROADCAST_LEMMAS
+
+
+def lemmatise(tokens: DataFrame, lexicon: DataFrame, rows_per_key: int | None = None) -> DataFrame:
     """Add ``lemma`` to token rows ``(doc_id, position, token, pos)``; unknown tokens stay as they are.
 
-    A lemma table has at most one row per lexicon surface and rule, so a small lexicon proves it small and it is
-    broadcast. Beyond that each pair gets a sub-key per document, which spreads a frequent token over tasks.
+    The lemmas of a small lexicon are broadcast. Otherwise they are joined by token, a frequent one split by document.
     """
-    lemmas = lemma_table(tokens, lexicon)
-    if lexicon.limit(MAX_BROADCAST_LEMMAS + 1).count() <= MAX_BROADCAST_LEMMAS:
+    sizes = stored(tokens.groupBy("token", "pos").agg(F.count(F.lit(1)).alias("n")), "token-sizes")
+    lemmas = lemma_table(sizes, lexicon)
+    if _is_small(lexicon):
         joined = tokens.join(F.broadcast(lemmas), ["token", "pos"], "left")
     else:
-        salted = tokens.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        copies = lemmas.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, ["token", "pos", "_salt"], "left").drop("_salt")
+        joined = join_split(tokens, lemmas, ["token", "pos"], sizes, rows_per_key=rows_per_key, how="left")
     return joined.withColumn("lemma", F.coalesce("lemma", "token"))
 
 
+def lemma_counts(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(token, pos, lemma, n)`` of distinct tokens ``(token, pos, n)``, a stored table."""
+    lemmas = lemma_table(counts, lexicon)
+    lemmas = F.broadcast(lemmas) if _is_small(lexicon) else lemmas
+    return counts.join(lemmas, ["token", "pos"], "left").withColumn("lemma", F.coalesce("lemma", "token"))
+
+
+def lemmatised_tokens(
+    tokens: DataFrame, lexicon: DataFrame, pos: Column, key: str = "doc_id", rows_per_key: int | None = None
+) -> DataFrame:
+    """Rows ``(key, tokens)``, a stored table, with every token replaced by its lemma.
+
+    ``pos`` is the part of speech as an expression of the column ``token``, so a token has one lemma. Documents meet
+    only those of their distinct tokens that change, gathered as a map that is no larger than the document.
+    """
+    held = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
+    sizes = stored(held.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-sizes")
+    lemmas = lemma_table(sizes.select("token", pos.alias("pos")), lexicon).select("token", "lemma")
+    if _is_small(lexicon):
+        changed = held.join(F.broadcast(lemmas), "token")
+    else:
+        changed = join_split(held, lemmas, ["token"], sizes, spread=key, rows_per_key=rows_per_key)
+    maps = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_m"))
+    joined = tokens.join(maps, key, "left")
+    swapped = F.transform("tokens", lambda t: F.coalesce(F.col("_m")[t], t))
+    return joined.withColumn("tokens", F.when(F.col("_m").isNull(), F.col("tokens")).otherwise(swapped)).drop("_m")
+
+
 def token_rows(df: DataFrame, toks: Column, key: str = "doc_id") -> DataFrame:
     """One row per token with its position (from 0)."""
     return df.select(key, toks.alias("_t")).select(key, F.posexplode_outer("_t").alias("position", "token")).where(

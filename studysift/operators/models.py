@@ -19,20 +19,22 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
-    NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studysift.functions import measures as ms
 from studysift.operators import folds as fd
 from studysift.operators import kernel as kn
 from studysift.operators import metrics as mt
+from studysift.operators import moments as mo
 from studysift.operators import neighbours as nb
+from studysift.operators import sparse_neighbours as sn
+from studysift.operators import trees as tr
 from studysift.operators.ranking import running_sums
 from studysift.operators.storage import stored
 
@@ -57,7 +59,9 @@ class Classifier:
 
     ``default`` are the settings of an untuned model, ``best`` the pinned ones of an earlier search; ``grid`` is a small
     grid and ``full_grid`` the whole one. ``effective`` gives what a candidate comes down to: candidates with the same
-    outcome are fitted once.
+    outcome are fitted once. ``fit_axis`` fits candidates that differ only in the effective setting ``axis`` together;
+    ``shared`` makes the models of all folds and candidates from one pass over the marked rows. ``prepare`` maps all rows
+    once for the candidates that agree in the parameters ``prepared_by``.
     """
 
     name: str
@@ -67,6 +71,11 @@ class Classifier:
     full_grid: dict[str, list] = field(default_factory=dict)
     default: Params = field(default_factory=dict)
     effective: Callable[[Params], Params] = dict
+    axis: str = ""
+    fit_axis: Callable[[DataFrame, Sequence[Params], int], list[Fitted]] | None = None
+    shared: Callable[[DataFrame], Any] | None = None
+    prepare: Callable[[DataFrame, Params], DataFrame] | None = None
+    prepared_by: tuple[str, ...] = ()
 
 
 def candidates(grid: dict[str, list]) -> list[Params]:
@@ -127,6 +136,20 @@ def fit_tree(train: DataFrame, params: Params, seed: int) -> Fitted:
         return _from_probability(tree.fit(rows))
 
 
+def fit_tree_depths(train: DataFrame, tried: Sequence[Params], seed: int) -> list[Fitted]:
+    """Trees that differ in depth only, from the deepest one read to each depth."""
+    settings = [_tree_settings(p) for p in tried]
+    deepest = max(settings, key=lambda s: s["maxDepth"])
+    tree = DecisionTreeClassifier(seed=seed, **deepest)
+    with _weighted(train, tried[0]) as rows:
+        nodes = tr.node_table(tree.fit(rows))
+
+    def read(depth: int) -> Fitted:
+        return Fitted(lambda df: tr.with_probability(df, tr.to_depth(nodes, depth)))
+
+    return [read(s["maxDepth"]) for s in settings]
+
+
 def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
     trees = params.get("n_estimators", 100)
     forest = RandomForestClassifier(
@@ -149,8 +172,39 @@ def fit_logistic(train: DataFrame, params: Params, seed: int) -> Fitted:
         return _from_probability(model.fit(rows))
 
 
+def _smoothing(params: Params) -> float:
+    return params.get("var_smoothing", mo.SMOOTHING)
+
+
 def fit_bayes(train: DataFrame, params: Params, seed: int) -> Fitted:
-    return _from_probability(NaiveBayes(modelType="gaussian").fit(_laid_out(train, params)))
+    sums = mo.fold_sums(train, None).of(lambda mark: True)
+    table = mo.coefficient_table(train, [(0, sums, _smoothing(params))])
+
+    def transform(df: DataFrame) -> DataFrame:
+        scored = mo.with_probability(df.withColumn("_m", table.select("m").scalar()), F.col("_m"))
+        return scored.drop("_m")
+
+    return Fitted(transform)
+
+
+class BayesFolds:
+    """Naive Bayes of many training sets from one pass over the rows; ``fold`` marks them."""
+
+    def __init__(self, marked: DataFrame):
+        self.marked, self.sums = marked, mo.fold_sums(marked)
+
+    def scored(
+        self, models: Sequence[tuple[Params, Callable[[int], bool]]], numbers: Column
+    ) -> DataFrame:
+        """Rows with ``model``, ``pred`` and ``proba``: each by the models whose numbers the array ``numbers`` holds.
+
+        A model is its parameters and the marks it is trained on.
+        """
+        table = mo.coefficient_table(
+            self.marked, [(i, self.sums.of(chosen), _smoothing(params)) for i, (params, chosen) in enumerate(models)]
+        )
+        asked = self.marked.withColumn("model", F.explode(numbers)).join(F.broadcast(table), "model")
+        return mo.with_probability(asked, F.col("m")).drop("m")
 
 
 def fit_linear(train: DataFrame, params: Params, seed: int) -> Fitted:
@@ -190,15 +244,31 @@ def _platt(margins: DataFrame) -> Any:
     return LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0).fit(assembled)
 
 
-def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
-    """Kernel machine on landmark features; label from the margin, probability from out-of-fold calibration.
-
-    Label and probability can disagree near the boundary; both are kept.
-    """
+def _kernel_map(train: DataFrame, params: Params) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``kernel_features`` by the landmarks of the training rows."""
     kernel, gamma = params.get("kernel", "rbf"), params.get("gamma", "scale")
     gamma = kn.scaled_gamma(train) if gamma == "scale" else gamma
     marks = kn.landmark_matrix(train, params.get("landmarks", kn.LANDMARKS))
     white = kn.whitening(marks, kernel, gamma)
+    return partial(kn.kernel_features, marks=marks, white=white, kernel=kernel, gamma=gamma)
+
+
+def with_kernel_features(rows: DataFrame, params: Params) -> DataFrame:
+    """All rows of a search with their kernel features, for every candidate with this kernel and gamma.
+
+    The landmarks are rows of the whole set; no label takes part in choosing them.
+    """
+    return _kernel_map(rows, params)(rows)
+
+
+def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
+    """Kernel machine on landmark features; label from the margin, probability from out-of-fold calibration.
+
+    Label and probability can disagree near the boundary; both are kept. Rows that bring ``kernel_features`` are used
+    as they are.
+    """
+    ready = "kernel_features" in train.columns
+    mapping = (lambda df: df) if ready else _kernel_map(train, params)
 
     def machine(rows: DataFrame) -> Any:
         n = rows.count()
@@ -212,7 +282,7 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
             standardization=False,
         ).fit(rows)
 
-    mapped = kn.kernel_features(train.select("doc_id", "features", "label"), marks, white, kernel, gamma)
+    mapped = mapping(train.select("doc_id", "kernel_features" if ready else "features", "label"))
     with _weighted(mapped, params, "kernel_features") as rows:
         model = machine(rows)
         fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_FOLDS))
@@ -224,7 +294,7 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
     slope, offset = float(calibration.coefficients[0]), float(calibration.intercept)
 
     def transform(df: DataFrame) -> DataFrame:
-        scored = _margins(model, kn.kernel_features(df, marks, white, kernel, gamma))
+        scored = _margins(model, mapping(df))
         proba = 1.0 / (1.0 + F.exp(-(slope * F.col("margin") + offset)))
         return scored.select(*df.columns, F.col("prediction").cast("int").alias("pred"), proba.alias("proba"))
 
@@ -232,13 +302,18 @@ def fit_kernel_machine(train: DataFrame, params: Params, seed: int) -> Fitted:
 
 
 def fit_neighbours(train: DataFrame, params: Params, seed: int) -> Fitted:
-    known = train.select("doc_id", "label", vector_to_array("features").alias("_a"))
+    """Vote of the k nearest; rows that carry their ``entries`` are compared by the inverted index, never made dense."""
+    k, metric = params.get("n_neighbors", 5), params.get("metric", "euclidean")
+    sparse = "entries" in train.columns
+    known = train.select("doc_id", "label", "entries" if sparse else vector_to_array("features").alias("_a"))
 
     def transform(df: DataFrame) -> DataFrame:
-        asked = df.select("doc_id", vector_to_array("features").alias("_a"))
-        near = nb.k_nearest(
-            known, asked, params.get("n_neighbors", 5), "doc_id", "_a", params.get("metric", "euclidean")
-        )
+        if sparse:
+            near = sn.k_nearest_sparse(known, df.select("doc_id", "entries"), k, "doc_id", metric)
+        else:
+            asked = df.select("doc_id", vector_to_array("features").alias("_a"))
+            search = nb.k_nearest_approx if params.get("approximate") else nb.k_nearest
+            near = search(known, asked, k, "doc_id", "_a", metric)
         labels = known.select(F.col("doc_id").alias("neighbour"), "label")
         shares = nb.vote_shares(near, labels, params.get("weights", "uniform"))
         one = shares.groupBy("query").agg(
@@ -271,6 +346,8 @@ REGISTRY: dict[str, Classifier] = {
         },
         {"criterion": "gini", "max_depth": None, "min_samples_split": 2, "class_weight": None},
         _effective_tree,
+        "maxDepth",
+        fit_tree_depths,
     ),
     "svm": Classifier(
         "svm",
@@ -289,6 +366,8 @@ REGISTRY: dict[str, Classifier] = {
             "class_weight": ["balanced", None],
         },
         {"kernel": "rbf", "C": 1.0, "gamma": "scale", "tol": 1e-3, "class_weight": None},
+        prepare=with_kernel_features,
+        prepared_by=("kernel", "gamma", "landmarks"),
     ),
     "knn": Classifier(
         "knn",
@@ -324,7 +403,7 @@ REGISTRY: dict[str, Classifier] = {
         _effective_tree,
     ),
     "log_reg": Classifier("log_reg", fit_logistic, {"C": 1.0}, {"C": [0.1, 1.0]}, default={"C": 1.0}),
-    "gaussianNB": Classifier("gaussianNB", fit_bayes, {}),
+    "gaussianNB": Classifier("gaussianNB", fit_bayes, {}, shared=BayesFolds),
     "lin_reg": Classifier("lin_reg", fit_linear, {}),
 }
 
@@ -362,6 +441,30 @@ def score_predictions(df: DataFrame, scoring: str) -> float:
     return mt.add_metrics(df.agg(*mt.confusion_counts("label", F.col("pred")))).first()[scoring]
 
 
+def _fold_scores(rows: DataFrame, models: Sequence[int], scoring: str) -> dict[int, float]:
+    """The score of each model over its rows ``(model, label, pred, proba)``; counts of all models come from one pass."""
+    if scoring in ("roc_auc", "average_precision"):
+        return {m: score_predictions(rows.where(F.col("model") == m), scoring) for m in models}
+    if scoring.endswith("_macro"):
+        found = mt.macro_metrics(rows, ("model",))
+    else:
+        found = mt.add_metrics(rows.groupBy("model").agg(*mt.confusion_counts("label", F.col("pred"))))
+    return {r["model"]: r[scoring] for r in found.select("model", scoring).collect()}
+
+
+def _shared_search(
+    train: DataFrame, spec: Classifier, tried: dict[str, Params], folds: list[int], scoring: str
+) -> dict[tuple[str, int], float]:
+    """Scores of a classifier whose models come from shared sums: one pass fits all, a second one scores all."""
+    names = list(tried)
+    models = [(tried[name], lambda mark, f=f: mark != f) for f in folds for name in names]
+    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold")).cast("int") - 1
+    numbers = F.sequence(place * len(names), place * len(names) + len(names) - 1)
+    rows = stored(spec.shared(train).scored(models, numbers).select("model", "label", "pred", "proba"), "scored-folds")
+    got = _fold_scores(rows, range(len(models)), scoring)
+    return {(name, f): float(got[i * len(names) + j]) for i, f in enumerate(folds) for j, name in enumerate(names)}
+
+
 def grid_search(
     train: DataFrame,
     spec: Classifier,
@@ -372,23 +475,47 @@ def grid_search(
 ) -> tuple[DataFrame, Params]:
     """(results, best parameters) over the folds marked in ``train``; the first candidate wins ties.
 
-    The driver holds one number per candidate and fold. Fits run as concurrent Spark jobs, one for each fold and each
-    set of candidates that come down to the same settings.
+    The driver holds one number per candidate and fold. Candidates that come down to the same settings are fitted
+    once, those that differ only along the classifier's axis in one fit, and all of them from one pass where the
+    classifier has shared sums. Otherwise fits run as concurrent Spark jobs.
     """
     tried = candidates(grid or spec.grid) or [spec.best]
     alike = [repr(sorted(spec.effective(p).items(), key=str)) for p in tried]
     once = {name: p for name, p in reversed(list(zip(alike, tried)))}
     folds = sorted(row["fold"] for row in train.select("fold").distinct().collect())
 
-    def one(params: Params, fold: int) -> Callable[[], float]:
-        def run() -> float:
-            rest, held = fd.fold_parts(train, fold, expanding=False)
-            return float(score_predictions(spec.fit(rest, params, seed).transform(held), scoring))
+    def together(name: str) -> str:
+        rest = {k: v for k, v in spec.effective(once[name]).items() if k != spec.axis}
+        return repr(sorted(rest.items(), key=str)) if spec.fit_axis else name
+
+    groups: dict[str, list[str]] = {}
+    for name in once:
+        groups.setdefault(together(name), []).append(name)
+
+    def mapped_as(params: Params) -> tuple:
+        return tuple(params.get(k) for k in spec.prepared_by)
+
+    ready = {(): train}
+    for params in once.values():
+        if spec.prepare and mapped_as(params) not in ready:
+            ready[mapped_as(params)] = stored(spec.prepare(train, params), "prepared")
+
+    def one(names: list[str], fold: int) -> Callable[[], dict[tuple[str, int], float]]:
+        def run() -> dict[tuple[str, int], float]:
+            rest, held = fd.fold_parts(ready[mapped_as(once[names[0]])], fold, expanding=False)
+            if spec.fit_axis:
+                models = spec.fit_axis(rest, [once[n] for n in names], seed)
+            else:
+                models = [spec.fit(rest, once[n], seed) for n in names]
+            return {(n, fold): float(score_predictions(m.transform(held), scoring)) for n, m in zip(names, models)}
 
         return run
 
-    fits = [(name, f) for name in once for f in folds]
-    scores = dict(zip(fits, _in_parallel([one(once[name], f) for name, f in fits], parallelism)))
+    if spec.shared:
+        scores = _shared_search(train, spec, once, folds, scoring)
+    else:
+        parts = _in_parallel([one(names, f) for names in groups.values() for f in folds], parallelism)
+        scores = {key: value for part in parts for key, value in part.items()}
     rows = [
         (spec.name, c, {k: str(v) for k, v in params.items()}, int(fold), scores[alike[c], fold])
         for c, params in enumerate(tried)
@@ -412,33 +539,46 @@ def cross_validate_years(
         rest, held = fd.year_fold_parts(marked, fold)
         return spec.fit(rest, params, seed).transform(held).select("label", "pred", F.lit(fold).alias("fold"))
 
-    tested = _in_parallel([partial(run, fold) for fold in range(1, n_splits + 1)], PARALLEL_FITS)
-    rows = reduce(DataFrame.unionByName, tested)
+    if spec.shared:
+        models = [(params, lambda mark, f=f: mark > f) for f in range(1, n_splits + 1)]
+        tested = F.when(F.col("fold").isNotNull(), F.array(F.col("fold") - 1))
+        rows = spec.shared(marked).scored(models, tested).select("label", "pred", "fold")
+    else:
+        rows = reduce(
+            DataFrame.unionByName, _in_parallel([partial(run, fold) for fold in range(1, n_splits + 1)], PARALLEL_FITS)
+        )
     return mt.macro_metrics(rows, ("fold",))
 
 
 def cross_validate_series(
     train: DataFrame, spec: Classifier, params: Params | None = None, n_splits: int = 5, seed: int = 42
 ) -> DataFrame:
-    """``(fold, threshold, f1)`` over expanding folds; each uses the threshold that keeps all its training hits."""
+    """``(fold, threshold, f1)`` over expanding folds; each uses the threshold that keeps all its training hits.
+
+    Probabilities are compared at nine decimals.
+    """
     marked = stored(fd.time_series_folds(train, n_splits), "series-folds")
     params = spec.default if params is None else params
+    proba = F.round("proba", 9).alias("proba")
 
-    def run(fold: int) -> DataFrame:
+    def run(fold: int) -> tuple[DataFrame, DataFrame]:
         rest, held = fd.fold_parts(marked, fold, expanding=True)
         model = spec.fit(rest, params, seed)
-        seen = model.transform(rest).select("label", "proba", F.lit(fold).alias("fold"))
-        cut = mt.full_recall_threshold(seen, ("fold",)).select("threshold").scalar()
-        scored = model.transform(held).select("label", "proba").withColumn("threshold", cut)
-        return scored.select(
-            F.lit(fold).alias("fold"),
-            "threshold",
-            "label",
-            ms.unless_below(F.col("proba"), F.col("threshold")).alias("pred"),
-        )
-
-    tested = _in_parallel([partial(run, fold) for fold in range(1, n_splits + 1)], PARALLEL_FITS)
-    rows = reduce(DataFrame.unionByName, tested)
+        return tuple(model.transform(part).select(F.lit(fold).alias("fold"), "label", proba) for part in (rest, held))
+
+    if spec.shared:
+        # model i, from 0, is that of fold i + 1: it scores its own fold and all earlier rows
+        models = [(params, lambda mark, f=f: mark < f) for f in range(1, n_splits + 1)]
+        from_own = F.sequence(F.greatest(F.col("fold"), F.lit(1)) - 1, F.lit(n_splits - 1))
+        scored = spec.shared(marked).scored(models, from_own)
+        scored = stored(scored.select((F.col("model") + 1).alias("fold"), F.col("fold").alias("mark"), "label", proba), "scored-folds")
+        seen, held = scored.where("mark < fold").drop("mark"), scored.where("mark = fold").drop("mark")
+    else:
+        parts = _in_parallel([partial(run, fold) for fold in range(1, n_splits + 1)], PARALLEL_FITS)
+        seen, held = (reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    cuts = mt.full_recall_threshold(seen, ("fold",))
+    rows = held.join(F.broadcast(cuts), "fold")  # one row per fold
+    rows = rows.withColumn("pred", ms.unless_below(F.col("proba"), F.col("threshold")))
     counts = rows.groupBy("fold", "threshold").agg(*mt.confusion_counts("label", F.col("pred")))
     return mt.add_metrics(counts).select("fold", "threshold", "f1")
 

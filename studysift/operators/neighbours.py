@@ -1,21 +1,28 @@
-"""Exact k nearest neighbours and their vote.
+"""k nearest neighbours, exact and approximate, and their vote.
 
 Training vectors are grouped around pivots. From the distances to the pivots each query gets a bound on its k-th
 distance, and by the triangle inequality only the cells within that bound can hold a neighbour. A crowded cell is cut
 into blocks of bounded size and so are the queries, which makes every task bounded whatever the data looks like. Each
 task returns its k best per query, never all pairs.
+
+The approximate form looks only into buckets of vectors that fall on the same sides of random hyperplanes, in several
+tables of such buckets. A bucket that is too large takes further hyperplanes until it is not; vectors that no plane
+tells apart are dealt into blocks, and a query visits all blocks of its bucket.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from studysift.operators.storage import stored
+
 MAX_PIVOTS = 256
 BLOCK_VALUES = 2_000_000
 METRICS = ("euclidean", "manhattan", "minkowski")
@@ -35,6 +42,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
+def _best_in_block(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest rows ``(_id, _v)`` of one block for each query ``(_q, _v)`` that visits it."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
+    b = b.sort_values("_id")
+    ids, vectors, asked = b["_id"].to_numpy(), _matrix(b["_v"]), a["_q"].to_numpy()
+    d = _distances(_matrix(a["_v"]), vectors, metric)
+    if exclude_self:
+        d[ids[None, :] == asked[:, None]] = np.inf
+    # a stable sort over ascending keys settles equal distances by key
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    near = np.take_along_axis(d, best, axis=1)
+    pairs = pd.DataFrame(
+        {"query": np.repeat(asked, best.shape[1]), "neighbour": ids[best].ravel(), "distance": near.ravel()}
+    )
+    return pairs[np.isfinite(pairs["distance"])]
+
+
 def k_nearest(
     train: DataFrame,
     queries: DataFrame,
@@ -110,28 +135,101 @@ def k_nearest(
         "_id", "_v", "_cell", "_block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
     )
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        b = b.sort_values("_id")
-        ids, vectors, asked = b["_id"].to_numpy(), _matrix(b["_v"]), a["_q"].to_numpy()
-        d = _distances(_matrix(a["_v"]), vectors, metric)
-        if exclude_self:
-            d[ids[None, :] == asked[:, None]] = np.inf
-        # a stable sort over ascending keys settles equal distances by key
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, best, axis=1)
-        pairs = pd.DataFrame(
-            {"query": np.repeat(asked, best.shape[1]), "neighbour": ids[best].ravel(), "distance": near.ravel()}
-        )
-        return pairs[np.isfinite(pairs["distance"])]
-
+    compare = partial(_best_in_block, k=k, metric=metric, exclude_self=exclude_self)
     keys = ["_cell", "_block", "_slice"]
     pairs = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(compare, "query LONG, neighbour LONG, distance DOUBLE")
+        .applyInPandas(lambda a, b: compare(a, b), "query LONG, neighbour LONG, distance DOUBLE")
+    )
+    best = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+TABLES = 16
+BUCKET_ROWS = 512
+SAMPLE_ROWS = 20_000
+LEVELS = 40
+STEP = 2
+
+
+def k_nearest_approx(
+    train: DataFrame,
+    queries: DataFrame,
+    k: int,
+    key: str,
+    vector: str,
+    metric: str = "euclidean",
+    exclude_self: bool = False,
+    tables: int = TABLES,
+    bucket_rows: int = BUCKET_ROWS,
+    seed: int = 42,
+) -> DataFrame:
+    """The same rows as :func:`k_nearest`, found in random-projection buckets; some true neighbours may be missed.
+
+    Only the planes' offsets are fitted, as medians over about ``SAMPLE_ROWS`` training rows chosen by a hash; every
+    row is indexed. A query whose buckets hold fewer than k rows in all is answered exactly.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    train = stored(train.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")), "vectors")
+    queries = stored(queries.select(F.col(key).cast("long").alias("_q"), F.col(vector).cast("array<double>").alias("_v")), "asked")
+    n = train.count()
+    share = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n)))
+    sample = train.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share).select("_v").limit(2 * SAMPLE_ROWS).collect()
+    if not sample:
+        return k_nearest(train.withColumnRenamed("_id", key), queries.withColumnRenamed("_q", key), k, key, "_v", metric, exclude_self)
+    known = np.array([row["_v"] for row in sample], dtype=float)
+    planes = np.random.default_rng(seed).normal(size=(tables * LEVELS, known.shape[1]))
+    offsets = np.median(known @ planes.T, axis=0)
+    bits = np.left_shift(np.int64(1), np.arange(LEVELS - 1, -1, -1, dtype=np.int64))
+
+    def to_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                side = (_matrix(pdf["_v"]) @ planes.T > offsets).reshape(len(pdf), tables, LEVELS)
+                yield pdf.drop(columns="_v").assign(_codes=list((side * bits).sum(axis=2)))
+
+    def coded(rows: DataFrame, name: str) -> DataFrame:
+        codes = rows.mapInPandas(to_codes, f"{name} LONG, _codes ARRAY<LONG>")
+        return codes.select(name, F.posexplode("_codes").alias("_table", "_code")).withColumn("_depth", F.lit(first))
+
+    first = min(LEVELS, max(0, math.floor(math.log2(max(1, n / bucket_rows)))))
+    sides = {name: stored(coded(rows, name), "codes") for name, rows in (("_id", train), ("_q", queries))}
+    bucket = ["_table", "_depth", "_prefix"]
+
+    def prefixed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_prefix", F.expr(f"shiftright(_code, CAST({LEVELS} - _depth AS INT))"))
+
+    def sizes() -> DataFrame:
+        return prefixed(sides["_id"]).groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+
+    for depth in range(first, LEVELS, STEP):
+        crowded = stored(sizes().where((F.col("_n") > bucket_rows) & (F.col("_depth") == depth)).drop("_n"), "crowded")
+        if crowded.isEmpty():
+            break
+        deeper = F.when(F.col("_more"), F.least(F.col("_depth") + STEP, F.lit(LEVELS))).otherwise(F.col("_depth"))
+        for name, rows in sides.items():
+            # at most one crowded bucket for each bucket_rows rows and table
+            joined = prefixed(rows).join(crowded.withColumn("_more", F.lit(True)), bucket, "left")
+            sides[name] = stored(joined.select(name, "_table", "_code", deeper.alias("_depth")), "codes")
+
+    blocks = sizes().select(*bucket, F.ceil(F.col("_n") / bucket_rows).alias("_blocks"))
+    block = F.pmod(F.xxhash64("_id"), F.col("_blocks"))
+    right = prefixed(sides["_id"]).join(blocks, bucket).select("_id", *bucket, block.alias("_block")).join(train, "_id")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    left = prefixed(sides["_q"]).join(blocks, bucket).select("_q", *bucket, every.alias("_block")).join(queries, "_q")
+    keys = [*bucket, "_block"]
+    compare = partial(_best_in_block, k=k, metric=metric, exclude_self=exclude_self)
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        lambda a, b: compare(a, b), "query LONG, neighbour LONG, distance DOUBLE"
     )
+    pairs = stored(pairs.dropDuplicates(["query", "neighbour"]), "near-pairs")
+    found = pairs.groupBy("query").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, n - exclude_self))
+    short = queries.join(found, queries["_q"] == found["query"], "left_anti")
+    if not short.isEmpty():
+        rest = k_nearest(train.withColumnRenamed("_id", key), short.withColumnRenamed("_q", key), k, key, "_v", metric, exclude_self)
+        pairs = pairs.unionByName(rest.drop("rank")).dropDuplicates(["query", "neighbour"])
     best = Window.partitionBy("query").orderBy("distance", "neighbour")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studysift.functions.measures import significant
+from studysift.functions.measures import significant, smooth_idf
+from studysift.operators.joins import join_split
 from studysift.operators.ranking import number_rows
+from studysift.operators.storage import stored
 
 # A scorer maps the per-term sums (columns d1 d0 s1 s0 q1 q0) and the class sizes (n1, n0) to a score.
 Scorer = Callable[[Column, Column], Column]
@@ -45,6 +47,22 @@ def term_statistics(features: DataFrame, label: str = "label", value: str | None
     )
 
 
+def class_sums(
+    store: DataFrame, norms: DataFrame, n_docs: int, in_train: Column, min_df: int = 1, label: str = "label"
+) -> DataFrame:
+    """The same statistics from a term store and its norms, in one hash aggregate over the training documents.
+
+    A weight is count times idf over norm and the idf belongs to the term, so it is put in after the sums; the term's
+    document frequency is one of them.
+    """
+    rows = store.where(in_train).select("doc_id", label, "grams").join(norms, "doc_id")
+    rows = rows.select(label, "norm", F.inline("grams")).select(label, "term", (F.col("tf") / F.col("norm")).alias("u"))
+    sums = term_statistics(rows, label, "u").withColumn("df", F.col("d1") + F.col("d0"))
+    idf = smooth_idf(F.lit(n_docs), F.col("df"))
+    scaled = {"idf": idf, **{c: F.col(c) * idf for c in ("s1", "s0")}, **{c: F.col(c) * idf * idf for c in ("q1", "q0")}}
+    return sums.where(F.col("df") >= max(1, min_df)).withColumns(scaled)
+
+
 def affinity(n1: Column, n0: Column) -> Column:
     """Difference of the Jaccard overlaps of a term's documents with the two classes."""
     d1, d0 = F.col("d1"), F.col("d0")
@@ -113,10 +131,9 @@ def sparse_vector(indices: Column, values: Column, size: int) -> Column:
     return F.from_json(F.to_json(F.struct(parts.alias("vector"))), holder)["vector"]
 
 
-def all_terms(features: DataFrame) -> DataFrame:
-    """``(rank, term, score)`` of every term, numbered in digest order; the score is its number of documents."""
-    counted = features.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    keyed = counted.withColumn("_k", F.md5("term"))
+def all_terms(frequencies: DataFrame) -> DataFrame:
+    """``(rank, term, score)`` of every term of ``(term, df)``, numbered in digest order; the score is its frequency."""
+    keyed = frequencies.select("term", F.col("df").cast("double").alias("score"), F.md5("term").alias("_k"))
     numbered = number_rows(keyed, ("_k", "term"), bucket=F.substring("_k", 1, 3), out="rank")
     return numbered.select(F.col("rank").cast("int").alias("rank"), "term", "score")
 
@@ -124,19 +141,42 @@ def all_terms(features: DataFrame) -> DataFrame:
 def feature_vectors(
     studies: DataFrame, features: DataFrame, best: DataFrame, k: int, bounded: bool = True
 ) -> DataFrame:
-    """Studies with a ``features`` vector over k terms; a study with none of them gets an empty vector.
+    """Studies with ``entries`` and their ``features`` vector over k terms; a study with none of them has empty ones.
 
     The best terms are k at most and k is bounded, so they are broadcast; a whole vocabulary is joined by term
     instead (``bounded=False``). Weights are not normalised again.
     """
     index = best.select("term", (F.col("rank") - 1).alias("_i"))
     index = F.broadcast(index) if bounded else index
-    packed = (
-        features.select("doc_id", "term", "v")
-        .join(index, "term")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("_p"))
+    return _packed(studies, features.select("doc_id", "term", "v").join(index, "term"), k)
+
+
+def chosen_vectors(
+    studies: DataFrame, store: DataFrame, norms: DataFrame, vocabulary: DataFrame, best: DataFrame, k: int, bounded: bool = True
+) -> DataFrame:
+    """The same from a term store: only counts of the chosen terms are weighed, no weight of another term is formed."""
+    chosen = best.select("term", (F.col("rank") - 1).alias("_i"))
+    rows = store.select("doc_id", F.inline("grams"))
+    if bounded:
+        index = F.broadcast(vocabulary.select("term", "idf").join(F.broadcast(chosen), "term"))
+        rows = rows.join(index, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    else:
+        known = vocabulary.join(chosen, "term").select("term", "idf", "_i", "n")
+        rows = join_split(rows, known.drop("n"), ["term"], stored(known.select("term", "n"), "term-sizes"))
+        rows = rows.withColumn("w", F.col("tf") * F.col("idf"))
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_i", F.col("w").alias("v")))).alias("_p"))
+    parts = parts.join(norms, "doc_id")
+    scaled = F.transform("_p", lambda p: F.struct(p["_i"].alias("_i"), (p["v"] / F.col("norm")).alias("v")))
+    return _with_vector(studies, parts.select("doc_id", scaled.alias("_p")), k)
+
+
+def _packed(studies: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    return _with_vector(
+        studies, entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("_p")), k
     )
+
+
+def _with_vector(studies: DataFrame, packed: DataFrame, k: int) -> DataFrame:
     empty = F.array().cast("array<struct<_i:int,v:double>>")
-    joined = studies.join(packed, "doc_id", "left").withColumn("_p", F.coalesce("_p", empty))
-    return joined.withColumn("features", sparse_vector(F.col("_p._i"), F.col("_p.v"), k)).drop("_p")
+    joined = studies.join(packed, "doc_id", "left").withColumn("entries", F.coalesce("_p", empty)).drop("_p")
+    return joined.withColumn("features", sparse_vector(F.col("entries._i"), F.col("entries.v"), k))

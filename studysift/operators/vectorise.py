@@ -1,4 +1,9 @@
-"""Term counts, document frequency and TF-IDF in long form: one row per document and term."""
+"""Term counts, document frequency and TF-IDF.
+
+Whole runs read the text once: the term store has one narrow row per document with its n-grams and their counts, and
+vocabulary, norms and class sums are aggregates over it. The long form, one row per document and term, is what joins
+and results use.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +14,8 @@ from pyspark.sql import functions as F
 
 from studysift.functions import measures as ms
 from studysift.functions import text as tx
-
-HOT_TERMS = 1000
-SPREAD_KEYS = 4096
+from studysift.operators.joins import frequent_keys, join_split
+from studysift.operators.storage import stored
 
 
 def _grams(df: DataFrame, text: str, keep: Sequence[str], ngram_range: tuple[int, int]) -> DataFrame:
@@ -19,19 +23,37 @@ def _grams(df: DataFrame, text: str, keep: Sequence[str], ngram_range: tuple[int
     return words.select(*keep, tx.ngrams(F.col("_w"), *ngram_range).alias("_g"))
 
 
+def _counted(
+    df: DataFrame, text: str, keep: Sequence[str], ngram_range: tuple[int, int]
+) -> tuple[DataFrame, Column]:
+    """A document is one row, so its n-grams are sorted and counted inside that row and no shuffle is needed."""
+    ordered = _grams(df, text, keep, ngram_range).select(*keep, F.sort_array("_g").alias("_s"))
+    runs = ordered.select(*keep, "_s", tx.run_starts(F.col("_s")).alias("_at"))
+    return runs, tx.run_lengths(F.col("_s"), F.col("_at"))
+
+
 def term_counts(
     df: DataFrame, text: str = "content", keep: Sequence[str] = ("doc_id",), ngram_range: tuple[int, int] = (1, 3)
 ) -> DataFrame:
     """``(keep..., term, tf)``: how often each n-gram occurs in each document.
 
-    A document is one row, so its n-grams are sorted and counted inside that row and no shuffle is needed.
     ``inline_outer`` rather than ``inline``: the optimizer would otherwise copy the whole tokenisation into a filter.
     """
-    ordered = _grams(df, text, keep, ngram_range).select(*keep, F.sort_array("_g").alias("_s"))
-    runs = ordered.select(*keep, "_s", tx.run_starts(F.col("_s")).alias("_at"))
-    return runs.select(*keep, F.inline_outer(tx.run_lengths(F.col("_s"), F.col("_at")))).where(
-        F.col("term").isNotNull()
-    )
+    runs, counts = _counted(df, text, keep, ngram_range)
+    return runs.select(*keep, F.inline_outer(counts)).where(F.col("term").isNotNull())
+
+
+def term_store(
+    df: DataFrame, text: str = "content", keep: Sequence[str] = ("doc_id",), ngram_range: tuple[int, int] = (1, 3)
+) -> DataFrame:
+    """``(keep..., grams)``, written once: the n-grams of each document with their counts."""
+    runs, counts = _counted(df, text, keep, ngram_range)
+    return stored(runs.select(*keep, counts.alias("grams")), "term-store")
+
+
+def exploded(store: DataFrame) -> DataFrame:
+    """``(keep..., term, tf)`` of a term store."""
+    return store.select(*[c for c in store.columns if c != "grams"], F.inline("grams"))
 
 
 def document_terms(
@@ -68,37 +90,36 @@ def fit_idf(
     return with_idf(document_frequency(terms, min_df), n_docs)
 
 
-def _join_terms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Inner join on term that stays even when a term occurs in most documents.
+def vocabulary_of(store: DataFrame, in_train: Column, min_df: int = 1) -> DataFrame:
+    """``(term, df, idf, n)`` of a term store, written once: document frequency in training, and rows in all."""
+    n_docs = store.where(in_train).count()
+    counted = exploded(store).groupBy("term").agg(F.count_if(in_train).alias("df"), F.count(F.lit(1)).alias("n"))
+    kept = counted.where(F.col("df") >= max(1, min_df))
+    return stored(with_idf(kept, F.lit(n_docs)).select("term", "df", "idf", "n"), "vocabulary")
+
 
-    The most frequent terms (a fixed number of them, so the broadcast is bounded) bring their weight along. Their rows
-    go through the shuffle under made-up keys, which no word can equal, spread by document. Every other term occurs
-    less often than each of those, hence in under a thousandth of all rows.
+def weighed(counts: DataFrame, vocabulary: DataFrame, rows_per_key: int | None = None) -> DataFrame:
+    """Term counts with ``w``, the count times the term's weight; terms outside the vocabulary drop out.
+
+    Frequent terms are split by document. Where the vocabulary does not carry ``n``, the rows of each term, a sketch
+    tells which terms are frequent.
     """
-    others = [c for c in counts.columns if c != "term"]
-    hot = F.broadcast(
-        vocabulary.orderBy(F.col("df").desc(), "term").limit(HOT_TERMS).select("term", F.col("idf").alias("_hot"))
-    )
-    is_hot = F.col("_hot").isNotNull()
-    stand_in = F.concat(F.lit("#"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD_KEYS)).cast("string"))
-    keyed = counts.join(hot, "term", "left").select(
-        *others, "_hot", F.when(is_hot, F.col("term")).alias("_t"), F.when(is_hot, stand_in).otherwise(F.col("term")).alias("_k")
-    )
-    known = vocabulary.select(F.col("term").alias("_k"), F.col("idf").alias("_idf"))
-    return (
-        keyed.join(known, "_k", "left")
-        .select(*others, F.coalesce("_t", "_k").alias("term"), F.coalesce("_hot", "_idf").alias("idf"))
-        .where(F.col("idf").isNotNull())
-    )
-
-
-def tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    sizes = vocabulary.select("term", "n") if "n" in vocabulary.columns else frequent_keys(counts, "term", rows_per_key)
+    joined = join_split(counts, vocabulary.select("term", "idf"), ["term"], sizes, rows_per_key=rows_per_key)
+    return joined.select(*counts.columns, (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def norms(store: DataFrame, vocabulary: DataFrame, rows_per_key: int | None = None) -> DataFrame:
+    """``(doc_id, norm)`` of a term store, written once; only sums per document are kept of the weights."""
+    rows = weighed(exploded(store.select("doc_id", "grams")), vocabulary, rows_per_key)
+    return stored(rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
+
+
+def tfidf(counts: DataFrame, vocabulary: DataFrame, rows_per_key: int | None = None) -> DataFrame:
     """Add ``v``, the L2-normalised TF-IDF weight, to term counts; terms outside the vocabulary drop out.
 
     The norm is a window over a document, so the long table is shuffled once by term and once by document.
     """
-    weighed = _join_terms(counts, vocabulary.select("term", "df", "idf")).withColumn(
-        "_w", F.col("tf") * F.col("idf")
-    )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
-    return weighed.select(*counts.columns, (F.col("_w") / norm).alias("v"))
+    rows = weighed(counts, vocabulary, rows_per_key)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return rows.select(*counts.columns, (F.col("w") / norm).alias("v"))

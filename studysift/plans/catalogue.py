@@ -22,6 +22,7 @@ from studysift.operators import metrics as mt
 from studysift.operators import models as md
 from studysift.operators import neighbours as nb
 from studysift.operators import selection as sel
+from studysift.operators import sparse_neighbours as sn
 from studysift.operators import validate as vd
 from studysift.operators import vectorise as vz
 from studysift.operators.storage import stored
@@ -35,19 +36,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
 FOLDS = 5
+CV_FOLDS = 3
 TOP_K = 500
+SMOOTHINGS = (1e-9, 1e-4, 1e-2)
 CONFIG = ScreeningConfig(k=200)
 
-# A small lexicon for the lemma query: irregular forms and base forms of frequent test words.
-LEXICON = [
-    ("is", "v", "be"), ("are", "v", "be"), ("was", "v", "be"), ("be", "v", "be"), ("the", "n", "the"),
-    ("edge", "n", "edge"), ("ston", "n", "ston"), ("thing", "n", "thing"), ("ed", "v", "ed"), ("on", "n", "on"),
-    ("ha", "n", "ha"), ("th", "n", "th"), ("ea", "n", "ea"), ("sh", "v", "sh"), ("le", "n", "le"), ("de", "n", "de"),
-    ("la", "n", "la"), ("au", "n", "au"), ("er", "v", "er"), ("st", "v", "st"), ("re", "v", "re"), ("ess", "n", "ess"),
-    ("ti", "v", "ti"), ("ou", "n", "ou"), ("those", "n", "that"), ("these", "n", "this"), ("that", "n", "that"),
-]
-
-
 def round6(column: Column | str) -> Column:
     return F.round(column, 6)
 
@@ -236,20 +229,40 @@ def _tag() -> Column:
     return F.when(F.endswith(t, F.lit("ly")), "r").when(t.rlike("(ed|ing|is|are|was|be)$"), "v").otherwise("n")
 
 
-def _lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "surface STRING, pos STRING, lemma STRING")
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``(token, pos, n)`` over all documents, written once."""
+    rows = lx.token_rows(texts(spark, folder), tx.tokens(F.col("text")))
+    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return stored(counted.select("token", _tag().alias("pos"), "n"), "token-counts")
+
+
+def _lexicon(counts: DataFrame) -> DataFrame:
+    """A lexicon as large as the corpus makes it: words met at least three times are base forms, except that one on
+    ``-on`` is an irregular form of the one on ``-an`` with the same beginning."""
+    words = counts.where(F.col("token").rlike("^[a-z]{2,}$") & (F.col("n") >= 3))
+    other = F.concat(F.expr("left(token, length(token) - 2)"), F.lit("an"))
+    known = words.select(F.col("token").alias("lemma"), "pos")
+    irregular = (
+        words.where(F.endswith("token", F.lit("on")))
+        .select(F.col("token").alias("surface"), "pos", other.alias("lemma"))
+        .join(known, ["lemma", "pos"])
+        .select("surface", "pos", "lemma")
+    )
+    irregular = stored(irregular, "irregular-forms")
+    base = words.select(F.col("token").alias("surface"), "pos").join(irregular, ["surface", "pos"], "left_anti")
+    return stored(base.withColumn("lemma", F.col("surface")).unionByName(irregular), "lexicon")
 
 
 def lemmatize(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of each (token, part of speech, lemma)."""
-    rows = lx.token_rows(texts(spark, folder), tx.tokens(F.col("text"))).withColumn("pos", _tag())
-    return lx.lemmatise(rows, _lexicon(spark)).groupBy("token", "pos", "lemma").agg(F.count(F.lit(1)).alias("n"))
+    counts = _token_counts(spark, folder)
+    return lx.lemma_counts(counts, _lexicon(counts))
 
 
 def lemmatised_text(spark: SparkSession, folder: str) -> DataFrame:
     """The whole chain: tokens, lemmas, stop words, joined and lower-cased."""
     rows = texts(spark, folder).select("doc_id", F.col("text").alias("content"))
-    return pp.normalise_studies(rows, _lexicon(spark), _tag())
+    return pp.normalise_studies(rows, _lexicon(_token_counts(spark, folder)), _tag())
 
 
 def ngrams(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,14 +306,11 @@ def tfidf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _train_scores(spark: SparkSession, folder: str, score: str) -> DataFrame:
-    rows = studies(spark, folder, text_work=True)
-    train = train_of(rows)
-    sizes = sel.class_sizes(train)
+    train = train_of(studies(spark, folder, text_work=True))
     if score == "affinity":
         terms = vz.document_terms(train, keep=("doc_id", "label"))
-        return sel.score_terms(sel.term_statistics(terms, value=None), sizes, score)
-    features = sc.weighted_terms(train, CONFIG)
-    return sel.score_terms(sel.term_statistics(features), sizes, score)
+        return sel.score_terms(sel.term_statistics(terms, value=None), sel.class_sizes(train), score)
+    return sc.term_scores(sc.read_terms(train, CONFIG), CONFIG, score)
 
 
 def score_query(score: str) -> Query:
@@ -445,29 +455,51 @@ def _screening(classifier: str) -> Query:
     return run
 
 
-def _spec(classifier: str, **changes: object) -> tuple[md.Classifier, md.Params]:
-    spec = md.REGISTRY[classifier]
-    return spec, {**spec.best, **changes}
+BAYES = "gaussianNB"
 
 
 def grid_results(spark: SparkSession, folder: str) -> DataFrame:
+    """F1 of naive Bayes with three amounts of smoothing on each of the stratified folds."""
     vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
     marked = stored(fd.stratified_folds(vectors.train, FOLDS), "stratified")
-    grid = {"criterion": ["gini", "entropy"], "max_depth": [5], "class_weight": ["balanced"]}
-    results, _ = md.grid_search(marked, md.REGISTRY["dt"], grid, seed=SEED, parallelism=8)
-    return results
+    results, _ = md.grid_search(marked, md.REGISTRY[BAYES], {"var_smoothing": list(SMOOTHINGS)}, seed=SEED)
+    smoothing = F.col("params")["var_smoothing"].cast("double").alias("var_smoothing")
+    return results.select("classifier", "candidate", smoothing, "fold", round6("score").alias("score"))
 
 
 def cv_years(spark: SparkSession, folder: str) -> DataFrame:
     vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
-    spec, params = _spec("dt", max_depth=5)
-    return rounded(md.cross_validate_years(vectors.train, spec, params, 3))
+    return rounded(md.cross_validate_years(vectors.train, md.REGISTRY[BAYES], {}, CV_FOLDS))
 
 
 def cv_series(spark: SparkSession, folder: str) -> DataFrame:
     vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
-    spec, params = _spec("dt", max_depth=5)
-    return rounded(md.cross_validate_series(vectors.train, spec, params, 3))
+    return rounded(md.cross_validate_series(vectors.train, md.REGISTRY[BAYES], {}, CV_FOLDS))
+
+
+def tree_depths(spark: SparkSession, folder: str) -> DataFrame:
+    """F1 of trees of three depths on each of the stratified folds, one fit per fold."""
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
+    marked = stored(fd.stratified_folds(vectors.train, CV_FOLDS), "stratified")
+    results, _ = md.grid_search(marked, md.REGISTRY["dt"], {"max_depth": [2, 5, 10]}, seed=SEED)
+    return results.select("classifier", "candidate", F.col("params")["max_depth"].alias("max_depth"), "fold", round6("score").alias("score"))
+
+
+def knn_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest training studies of every later study, by their chosen terms."""
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
+    return rounded(sn.k_nearest_sparse(vectors.train, vectors.test, 5))
+
+
+def knn_sparse_manhattan(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = sc.build_vectors(studies(spark, folder, text_work=True), CONFIG)
+    return rounded(sn.k_nearest_sparse(vectors.train, vectors.train, 5, metric="manhattan", exclude_self=True))
+
+
+def knn_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest other vectors of every embedding, as far as random-projection buckets find them."""
+    vectors = read_table(spark, folder, "embeddings")
+    return rounded(nb.k_nearest_approx(vectors, vectors, 5, "vec_id", "embedding", exclude_self=True))
 
 
 def screening_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -496,7 +528,8 @@ def all_queries() -> dict[str, Query]:
         seeded_shuffle, quota_split, resplit_profile, year_order, year_folds, time_series_folds, stratified_folds,
         head_n, confusion, binary_metrics, macro_metrics, threshold_sweep, full_recall_threshold, pr_curve,
         class_weights, best_candidate, knn_neighbours, knn_vote, knn_vote_weighted,
-        grid_results, cv_years, cv_series, screening_report,
+        knn_sparse, knn_sparse_manhattan, knn_approximate,
+        grid_results, cv_years, cv_series, tree_depths, screening_report,
     ]
     out: dict[str, Query] = {q.__name__: q for q in named}
     out["studies"] = dataset_projection

@@ -5,7 +5,7 @@ from __future__ import annotations
 from studysift.functions.text import ENGLISH_STOPWORDS
 from studysift.operators.lexicon import DETACHMENTS
 from studysift.operators.validate import COMPARISONS
-from studysift.plans.catalogue import CONFIG, FOLDS, LEXICON, SEED, TOP_K
+from studysift.plans.catalogue import CONFIG, CV_FOLDS, FOLDS, SEED, SMOOTHINGS, TOP_K
 
 DOCS = """docs AS (
   SELECT doc_id, split_part(text, chr(10), 1) AS title,
@@ -97,10 +97,6 @@ def _quoted(words: tuple[str, ...]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def _lexicon() -> str:
-    return ", ".join(f"('{s}', '{p}', '{lemma}')" for s, p, lemma in LEXICON)
-
-
 def _rules() -> str:
     return ", ".join(f"('{p}', {i}, '{e}', '{r}')" for p, rs in DETACHMENTS.items() for i, (e, r) in enumerate(rs, 1))
 
@@ -184,22 +180,27 @@ STRATIFIED = f"""WITH {STUDIES},
  SELECT doc_id, label, CAST(1 + (SELECT min(f) FROM ends e WHERE e.label = k.label AND e.e >= k.r) AS INTEGER) AS fold
  FROM ranked k"""
 
-YEAR_FOLDS = f"""WITH RECURSIVE {STUDIES},
+
+def _year_folds(folds: int) -> str:
+    return f"""WITH RECURSIVE {STUDIES},
  years AS (SELECT year, row_number() OVER (ORDER BY year DESC) AS r,
                   sum(count(*)) OVER (ORDER BY year DESC) AS tail FROM train GROUP BY year),
  walk(fold, r) AS (
    SELECT 1, CASE WHEN tail < 5 THEN r + 1 ELSE r END FROM years WHERE r = 1
    UNION ALL
    SELECT fold + 1, CASE WHEN tail < 5 THEN y.r + 1 ELSE y.r END FROM walk w JOIN years y ON y.r = w.r + 1
-   WHERE fold < {FOLDS}),
+   WHERE fold < {folds}),
  cuts AS (SELECT fold, year AS cut FROM walk JOIN years USING (r))
  SELECT doc_id, year, CAST((SELECT min(fold) FROM cuts WHERE cut <= t.year) AS INTEGER) AS fold FROM train t"""
 
-SERIES = f"""WITH {STUDIES}, ranked AS (
+
+def _series(folds: int) -> str:
+    return f"""WITH {STUDIES}, ranked AS (
    SELECT doc_id, row_number() OVER (ORDER BY year, label, doc_id) - 1 AS p, count(*) OVER () AS n FROM train),
- starts AS (SELECT *, n // {FOLDS + 1} AS size, n - {FOLDS} * (n // {FOLDS + 1}) AS lead FROM ranked)
+ starts AS (SELECT *, n // {folds + 1} AS size, n - {folds} * (n // {folds + 1}) AS lead FROM ranked)
  SELECT doc_id, CAST(CASE WHEN p < lead THEN 0 ELSE (p - lead) // size + 1 END AS INTEGER) AS fold FROM starts"""
 
+
 PR_CURVE = f"""WITH {SCORED}, points AS (
    SELECT classifier, proba AS threshold, sum(label) AS pos, count(*) AS n FROM long_scores GROUP BY 1, 2),
  summed AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS everything, sum(pos) OVER (PARTITION BY classifier) AS t
@@ -223,7 +224,11 @@ LEMMAS = f"""WITH rows AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest
  tagged AS MATERIALIZED (SELECT token, CASE WHEN lower(token) LIKE '%ly' THEN 'r'
    WHEN regexp_matches(lower(token), '(ed|ing|is|are|was|be)$') THEN 'v' ELSE 'n' END AS pos, count(*) AS n
    FROM rows GROUP BY 1, 2),
- lexicon(surface, pos, lemma) AS (VALUES {_lexicon()}),
+lexicon_words AS (SELECT token AS surface, pos FROM tagged WHERE regexp_matches(token, '^[a-z]{{2,}}$') AND n >= 3),
+ irregular AS (SELECT a.surface, a.pos, b.surface AS lemma FROM lexicon_words a JOIN lexicon_words b
+   ON b.pos = a.pos AND b.surface = left(a.surface, length(a.surface) - 2) || 'an' WHERE a.surface LIKE '%on'),
+ lexicon AS MATERIALIZED (SELECT surface, pos, lemma FROM irregular
+   UNION ALL SELECT surface, pos, surface FROM lexicon_words ANTI JOIN irregular USING (surface, pos)),
  rules(pos, i, ending, replacement) AS (VALUES {_rules()}),
  listed AS MATERIALIZED (SELECT t.token, t.pos, l.lemma FROM tagged t JOIN lexicon l
    ON l.surface = t.token AND l.pos = t.pos WHERE l.surface <> l.lemma),
@@ -232,13 +237,118 @@ LEMMAS = f"""WITH rows AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest
    UNION ALL SELECT token, pos, 1, lemma FROM listed
    UNION ALL SELECT t.token, t.pos, r.i, left(t.token, length(t.token) - length(r.ending)) || r.replacement
    FROM tagged t JOIN rules r ON r.pos = t.pos AND suffix(t.token, r.ending)
-   WHERE (t.token, t.pos) NOT IN (SELECT (token, pos) FROM listed)),
- known AS (SELECT c.token, c.pos, c.form,
-     row_number() OVER (PARTITION BY c.token, c.pos ORDER BY length(c.form), c.i, c.form) AS k
+   ANTI JOIN listed l ON l.token = t.token AND l.pos = t.pos),
+ known AS MATERIALIZED (SELECT c.token, c.pos, arg_min(c.form, (length(c.form), c.i, c.form)) AS form
    FROM tried c JOIN (SELECT DISTINCT surface, pos FROM lexicon WHERE surface = lemma) l
-     ON l.surface = c.form AND l.pos = c.pos),
+     ON l.surface = c.form AND l.pos = c.pos GROUP BY 1, 2),
  lemmas AS (SELECT t.token, t.pos, coalesce(k.form, t.token) AS lemma, t.n FROM tagged t
-   LEFT JOIN known k ON k.token = t.token AND k.pos = t.pos AND k.k = 1)"""
+   LEFT JOIN known k ON k.token = t.token AND k.pos = t.pos)"""
+
+# Entries of the chosen terms' vectors.
+ENTRIES = f"""{RANKED}, x AS (
+  SELECT doc_id, split, rank - 1 AS p, v FROM features JOIN ranked USING (term) WHERE rank <= {CONFIG.k})"""
+
+
+def _bayes(more: str, models: str, fit: str, asked: str) -> str:
+    """Gaussian naive Bayes ``nb(model, doc_id, pred, proba)`` of models ``(model, smoothing)``, each fitted on rows
+    ``(model, doc_id, label)`` and asked for rows ``(model, doc_id)``; ``more`` are CTEs these use."""
+    return f"""{ENTRIES}{more}, models AS MATERIALIZED ({models}), fit AS MATERIALIZED ({fit}),
+ asked AS MATERIALIZED ({asked}),
+ part_sums AS (SELECT model, label, p, sum(v) AS s, sum(v * v) AS q FROM fit JOIN x USING (doc_id) GROUP BY 1, 2, 3),
+ grid AS (SELECT model, label, n, p FROM (SELECT model, label, count(*) AS n FROM fit GROUP BY 1, 2),
+            (SELECT DISTINCT p FROM x)),
+ cells AS MATERIALIZED (SELECT model, label, n, p, coalesce(s, 0) AS s, coalesce(q, 0) AS q
+   FROM grid LEFT JOIN part_sums USING (model, label, p)),
+ spread AS (SELECT model, max(q / n - (s / n) * (s / n)) AS widest FROM (
+   SELECT model, p, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM cells GROUP BY 1, 2) GROUP BY 1),
+ fitted AS MATERIALIZED (SELECT model, label, n, p, s / n AS mu, q / n - (s / n) * (s / n) + smoothing * widest AS spread
+   FROM cells JOIN spread USING (model) JOIN models USING (model)),
+ base AS (SELECT model, label, ln(n) - 0.5 * sum(ln(2 * pi() * spread) + mu * mu / spread) AS base
+   FROM fitted GROUP BY model, label, n),
+ shares AS (SELECT a.model, a.doc_id, label, sum(v * mu / spread - v * v / (2 * spread)) AS d
+   FROM asked a JOIN x USING (doc_id) JOIN fitted f ON f.model = a.model AND f.p = x.p GROUP BY 1, 2, 3),
+ odds AS (SELECT a.model, a.doc_id, sum(CASE label WHEN 1 THEN 1 ELSE -1 END * (b.base + coalesce(d, 0))) AS margin
+   FROM asked a JOIN base b USING (model) LEFT JOIN shares USING (model, doc_id, label) GROUP BY 1, 2),
+ nb AS MATERIALIZED (SELECT model, doc_id, CAST(margin > 0 AS INTEGER) AS pred,
+   round(1 / (1 + exp(-greatest(least(margin, 7e2), -7e2))), 9) AS proba FROM odds)"""
+
+
+def _screening_nb() -> str:
+    sql = _bayes(
+        "", "SELECT 0 AS model, 1e-9 AS smoothing", "SELECT 0 AS model, doc_id, label FROM train",
+        "SELECT 0 AS model, doc_id FROM studies WHERE split = 'test'",
+    )
+    return f"{sql} SELECT doc_id, title, label, pred, round(proba, 6) AS proba FROM nb JOIN studies USING (doc_id)"
+
+
+def _cv_years() -> str:
+    sql = _bayes(
+        f", marks AS MATERIALIZED (SELECT doc_id, fold FROM ({_year_folds(CV_FOLDS)}))",
+        f"SELECT range AS model, 1e-9 AS smoothing FROM range(1, {CV_FOLDS + 1})",
+        "SELECT model, doc_id, label FROM models, train JOIN marks USING (doc_id) WHERE coalesce(fold, 99) > model",
+        "SELECT fold AS model, doc_id FROM marks WHERE fold IS NOT NULL",
+    )
+    return f"""{sql}, per_class AS (
+   SELECT model AS fold, c, count(*) FILTER (label = c AND pred = c) AS tp,
+          count(*) FILTER (label <> c AND pred = c) AS fp, count(*) FILTER (label = c AND pred <> c) AS fn
+   FROM nb JOIN train USING (doc_id), (VALUES (0), (1)) v(c) GROUP BY 1, 2),
+ rates AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0e0) AS p,
+                  coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0e0) AS r FROM per_class WHERE tp + fp + fn > 0)
+ SELECT CAST(fold AS INTEGER) AS fold, round(avg(p), 6) AS precision_macro, round(avg(r), 6) AS recall_macro,
+        round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0e0)), 6) AS f1_macro FROM rates GROUP BY 1"""
+
+
+def _cv_series() -> str:
+    sql = _bayes(
+        f", marks AS MATERIALIZED ({_series(CV_FOLDS)})",
+        f"SELECT range AS model, 1e-9 AS smoothing FROM range(1, {CV_FOLDS + 1})",
+        "SELECT model, doc_id, label FROM models, train JOIN marks USING (doc_id) WHERE fold < model",
+        "SELECT model, doc_id FROM models, marks WHERE fold <= model",
+    )
+    return f"""{sql}, known AS (SELECT model, fold, label, proba FROM nb JOIN marks USING (doc_id) JOIN train USING (doc_id)),
+ cuts AS (SELECT model, least(0.5e0, min(proba) FILTER (label = 1)) AS threshold FROM known WHERE fold < model GROUP BY 1),
+ counts AS (SELECT model, threshold, {COUNTS} FROM (
+   SELECT model, threshold, label, CAST(proba >= threshold AS INTEGER) AS pred
+   FROM known JOIN cuts USING (model) WHERE fold = model) GROUP BY 1, 2)
+ SELECT CAST(model AS INTEGER) AS fold, round(threshold, 6) AS threshold, round(f, 6) AS f1 FROM ({RATIOS})"""
+
+
+def _grid_results() -> str:
+    values = ", ".join(f"({i}, {s}::DOUBLE)" for i, s in enumerate(SMOOTHINGS))
+    n = len(SMOOTHINGS)
+    sql = _bayes(
+        f", marks AS MATERIALIZED (SELECT doc_id, fold FROM ({STRATIFIED})), tried(candidate, var_smoothing) AS (VALUES {values})",
+        f"SELECT fold * {n} + candidate AS model, var_smoothing AS smoothing FROM tried, (SELECT DISTINCT fold FROM marks)",
+        f"SELECT model, doc_id, label FROM models, train JOIN marks USING (doc_id) WHERE fold <> model // {n}",
+        f"SELECT model, doc_id FROM models JOIN marks ON fold = model // {n}",
+    )
+    return f"""{sql}, counts AS (SELECT model, {COUNTS} FROM nb JOIN train USING (doc_id) GROUP BY 1)
+ SELECT 'gaussianNB' AS classifier, CAST(model % {n} AS INTEGER) AS candidate, var_smoothing,
+        CAST(model // {n} AS INTEGER) AS fold, round(f, 6) AS score
+ FROM ({RATIOS}) JOIN tried ON candidate = model % {n}"""
+
+
+def _sparse(asked: str, manhattan: bool = False) -> str:
+    """``near``: the five nearest training studies of the studies that meet the condition ``asked``."""
+    size, shared = ("v", "least(a.v, b.v)") if manhattan else ("v * v", "a.v * b.v")
+    distance = "d" if manhattan else "sqrt(d)"
+    return f"""{ENTRIES}, sizes2 AS MATERIALIZED (SELECT s.doc_id, s.split, label, coalesce(sum({size}), 0) AS size
+   FROM studies s LEFT JOIN x USING (doc_id) GROUP BY ALL),
+ common AS (SELECT a.doc_id AS query, b.doc_id AS neighbour, sum({shared}) AS o FROM x a JOIN x b USING (p)
+   WHERE a.{asked} AND b.split = 'train' GROUP BY 1, 2),
+ gaps AS (SELECT a.doc_id AS query, b.doc_id AS neighbour, b.label,
+     greatest(round(a.size + b.size - 2 * coalesce(o, 0), 12), 0) AS d
+   FROM sizes2 a JOIN sizes2 b ON a.{asked} AND b.split = 'train' AND a.doc_id <> b.doc_id
+   LEFT JOIN common c ON c.query = a.doc_id AND c.neighbour = b.doc_id),
+ near AS (SELECT query, neighbour, label, {distance} AS distance,
+     CAST(row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS INTEGER) AS rank FROM gaps QUALIFY rank <= 5)"""
+
+
+def _screening_knn() -> str:
+    return f"""{_sparse("split = 'test'")}, votes AS (SELECT query AS doc_id, avg(label) AS proba FROM near GROUP BY 1)
+ SELECT doc_id, title, label, CAST(round(proba, 9) > 0.5 AS INTEGER) AS pred, round(proba, 6) AS proba
+ FROM votes JOIN studies USING (doc_id)"""
+
 
 SHUFFLED = f"md5(CAST(doc_id AS VARCHAR) || ':{SEED}')"
 
@@ -342,8 +452,8 @@ def all_oracles() -> dict[str, str]:
             FULL JOIN (SELECT * FROM lines WHERE part = 'test') b ON a.line = b.line""",
         "year_order": f"""WITH {STUDIES} SELECT doc_id, split, year, category,
             row_number() OVER (PARTITION BY split ORDER BY year, category, doc_id) AS position FROM studies""",
-        "year_folds": YEAR_FOLDS,
-        "time_series_folds": SERIES,
+        "year_folds": _year_folds(FOLDS),
+        "time_series_folds": _series(FOLDS),
         "stratified_folds": STRATIFIED,
         "head_n": f"WITH {DOCS} SELECT doc_id, title FROM docs ORDER BY {SHUFFLED}, doc_id LIMIT 10",
         "confusion": f"WITH {SCORED} SELECT classifier, {COUNTS} FROM long_scores GROUP BY classifier",
@@ -365,6 +475,15 @@ def all_oracles() -> dict[str, str]:
             means AS (SELECT classifier, candidate, round(avg(f), 6) AS mean_score FROM ({RATIOS}) GROUP BY 1, 2)
             SELECT classifier, candidate, mean_score FROM means
             QUALIFY row_number() OVER (PARTITION BY classifier ORDER BY mean_score DESC, candidate) = 1""",
+        "knn_sparse": f"""{_sparse("split = 'test'")} SELECT query, neighbour, round(distance, 6) + 0e0 AS distance, rank
+            FROM near""",
+        "knn_sparse_manhattan": f"""{_sparse("split = 'train'", True)}
+            SELECT query, neighbour, round(distance, 6) + 0e0 AS distance, rank FROM near""",
+        "screening_knn": _screening_knn(),
+        "screening_nb": _screening_nb(),
+        "cv_years": _cv_years(),
+        "cv_series": _cv_series(),
+        "grid_results": _grid_results(),
         "knn_neighbours": f"""WITH {_neighbours(EUCLIDEAN)} SELECT query, neighbour, round(distance, 6) AS distance,
             CAST(rank AS INTEGER) AS rank FROM near""",
         "knn_vote": f"""WITH {_neighbours(EUCLIDEAN)}, votes AS (

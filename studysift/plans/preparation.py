@@ -33,10 +33,11 @@ def normalise_studies(
     if lexicon is None:
         tokens = studies.withColumn("_t", tx.tokens(F.col("content")))
         return tokens.withColumn("content", tx.normalised(F.col("_t"), filters)).drop("_t")
-    rows = lx.token_rows(studies, tx.tokens(F.col("content"))).withColumn("pos", F.lit("n") if pos is None else pos)
-    arrays = lx.token_arrays(lx.lemmatise(rows, lexicon))
-    content = F.coalesce(tx.normalised(F.col("tokens"), filters), F.lit(""))
-    return studies.join(arrays, "doc_id", "left").withColumn("content", content).drop("tokens")
+    tokens = stored(studies.select("doc_id", tx.tokens(F.col("content")).alias("tokens")), "tokens")
+    lemmas = lx.lemmatised_tokens(tokens, lexicon, F.lit("n") if pos is None else pos)
+    content = tx.normalised(F.col("tokens"), filters)
+    normal = lemmas.select("doc_id", F.coalesce(content, F.lit("")).alias("content"))
+    return studies.drop("content").join(normal, "doc_id").select(*studies.columns)
 
 
 def load_bibliography(spark: SparkSession, folder: str) -> Validation:

@@ -6,7 +6,8 @@ import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import Estimator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studysift.config import ScreeningConfig
@@ -30,38 +31,71 @@ class Vectors:
     best: DataFrame
 
 
-def weighted_terms(studies: DataFrame, config: ScreeningConfig, store: bool = False) -> DataFrame:
-    """TF-IDF rows of all studies with the vocabulary of the training split.
+@dataclass(frozen=True)
+class Terms:
+    """What one pass over the text leaves: the term store, its vocabulary and the norms of its documents.
 
-    The vocabulary is written once, as it is read twice; ``store`` does the same for the result.
+    ``n_docs`` is the number of training documents.
     """
-    train = studies.where(F.col("split") == "train")
-    vocabulary = stored(vz.fit_idf(train, ngram_range=config.ngram_range, min_df=config.min_df), "vocabulary")
-    counts = vz.term_counts(studies, keep=CARRIED, ngram_range=config.ngram_range)
-    weighted = vz.tfidf(counts, vocabulary)
-    return stored(weighted, "tfidf") if store else weighted
 
+    store: DataFrame
+    vocabulary: DataFrame
+    norms: DataFrame
+    n_docs: int
+
+
+def in_train() -> Column:
+    return F.col("split") == "train"
+
+
+def read_terms(studies: DataFrame, config: ScreeningConfig) -> Terms:
+    """Terms of all studies with the vocabulary of the training split."""
+    store = vz.term_store(studies, keep=CARRIED, ngram_range=config.ngram_range)
+    vocabulary = vz.vocabulary_of(store, in_train(), config.min_df)
+    return Terms(store, vocabulary, vz.norms(store, vocabulary), store.where(in_train()).count())
+
+
+def weighted_terms(studies: DataFrame, config: ScreeningConfig) -> DataFrame:
+    """TF-IDF rows of all studies with the vocabulary of the training split; the text is read once."""
+    store = vz.term_store(studies, keep=CARRIED, ngram_range=config.ngram_range)
+    return vz.tfidf(vz.exploded(store), vz.vocabulary_of(store, in_train(), config.min_df))
 
-def select_terms(studies: DataFrame, features: DataFrame, config: ScreeningConfig) -> DataFrame:
+
+def term_scores(terms: Terms, config: ScreeningConfig, score: str | sel.Scorer | None = None) -> DataFrame:
+    """``(term, score)`` on the training split; affinity is the one score that needs no weights."""
+    sums = sel.class_sums(terms.store, terms.norms, terms.n_docs, in_train(), config.min_df)
+    return sel.score_terms(sums, sel.class_sizes(terms.store.where(in_train())), score or config.score)
+
+
+def select_terms(terms: Terms, config: ScreeningConfig) -> DataFrame:
     """The terms to use: the k best by score on the training split, or without selection the whole vocabulary."""
-    train = features.where(F.col("split") == "train")
-    sizes = sel.class_sizes(studies.where(F.col("split") == "train"))
     if not config.select_features:
-        return sel.all_terms(train)
-    scores = sel.score_terms(sel.term_statistics(train), sizes, config.score)
-    return sel.select_k_best(scores, config.k)
+        return sel.all_terms(terms.vocabulary)
+    return sel.select_k_best(term_scores(terms, config), config.k)
 
 
 def build_vectors(studies: DataFrame, config: ScreeningConfig) -> Vectors:
     """Vectors of both splits; the small vector table is what all model fits read."""
-    features = weighted_terms(studies, config, store=True)
-    best = stored(select_terms(studies, features, config), "best-terms")
+    terms = read_terms(studies, config)
+    best = stored(select_terms(terms, config), "best-terms")
     width = config.k if config.select_features else best.count()
     kept = studies.select(
         "doc_id", "entry_index", "title", "year", "category", "label", "split", *[c for c in ("uuid",) if c in studies.columns]
     )
-    vectors = stored(sel.feature_vectors(kept, features, best, width, config.select_features), "vectors")
-    return Vectors(vectors.where(F.col("split") == "train"), vectors.where(F.col("split") == "test"), best)
+    made = sel.chosen_vectors(kept, terms.store, terms.norms, terms.vocabulary, best, width, config.select_features)
+    vectors = stored(made, "vectors")
+    return Vectors(vectors.where(in_train()), vectors.where(F.col("split") == "test"), best)
+
+
+def stage_vectors(studies: DataFrame, vectoriser: Estimator) -> Vectors:
+    """Vectors by any ML stage that fits on training studies and adds ``features``.
+
+    The terms behind the positions are known where the fitted stage names them in ``best``.
+    """
+    model = vectoriser.fit(studies.where(in_train()))
+    made = stored(model.transform(studies).drop("content"), "vectors")
+    nameless = studies.sparkSession.createDataFrame([], "rank INT, term STRING, score DOUBLE")
+    return Vectors(made.where(in_train()), made.where(F.col("split") == "test"), getattr(model, "best", nameless))
 
 
 def screen(
@@ -77,15 +111,19 @@ def screen(
 
 
 def run_screening(
-    studies: DataFrame, config: ScreeningConfig, grids: dict[str, dict[str, list]] | None = None
+    studies: DataFrame,
+    config: ScreeningConfig,
+    grids: dict[str, dict[str, list]] | None = None,
+    vectoriser: Estimator | None = None,
 ) -> dict[str, DataFrame]:
     """The six report tables and ``validation`` for validated studies carrying ``split``, ``label``, ``entry_index``.
 
-    ``grids`` overrides the small default grid of a classifier under grid validation.
+    ``grids`` overrides the small default grid of a classifier under grid validation; ``vectoriser`` is any ML stage
+    that takes the place of the TF-IDF vectors and term choice of the settings.
     """
     started = time.time()
     spark = studies.sparkSession
-    vectors = build_vectors(studies, config)
+    vectors = build_vectors(studies, config) if vectoriser is None else stage_vectors(studies, vectoriser)
     predicted: dict[str, DataFrame] = {}
     chosen: dict[str, md.Params] = {}
     tried: dict[str, dict[str, list]] = {}

@@ -1,9 +1,14 @@
+import dataclasses
+
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from studysift.config import ScreeningConfig
@@ -151,11 +156,101 @@ def test_resplit(spark, small):
 def test_vectoriser_in_a_pipeline(spark, small):
     rows = studies(spark, small)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    stages = [TermVectoriser(30, "chi2", (1, 2)), LogisticRegression(maxIter=5)]
+    stages = [TermVectoriser(k=30, score="chi2", longest=2), LogisticRegression(maxIter=5)]
     out = Pipeline(stages=stages).fit(train).transform(test)
     assert out.count() == test.count() and out.first()["features"].size == 30
 
 
+def test_tuned_pipeline_is_saved_and_read_back(spark, small, tmp_path):
+    rows = studies(spark, small)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    vectoriser = TermVectoriser(score="chi2", longest=1)
+    machine = LogisticRegression(maxIter=5)
+    grid = ParamGridBuilder().addGrid(vectoriser.k, [5, 20]).build()
+    search = CrossValidator(
+        estimator=Pipeline(stages=[vectoriser, machine]), estimatorParamMaps=grid, foldCol="part", numFolds=2,
+        evaluator=BinaryClassificationEvaluator(),
+    )
+    model = search.fit(train.withColumn("part", (F.col("doc_id") % 2).cast("int")))
+    assert len(model.avgMetrics) == 2
+    path = str(tmp_path / "tuned")
+    model.bestModel.write().save(path)
+    again = PipelineModel.load(path)
+    asked = ("doc_id", "prediction", "probability")
+    want = sorted(model.bestModel.transform(test).select(*asked).collect())
+    assert sorted(again.transform(test).select(*asked).collect()) == want
+    vectoriser.write().save(str(tmp_path / "stage"))
+    assert TermVectoriser.load(str(tmp_path / "stage")).getOrDefault("longest") == 1
+    own = TermVectoriser(k=7, scorer=lambda n1, n0: F.col("d1") / n1)
+    assert own.copy().fit(train).best.count() == 7
+    with pytest.raises(ValueError):
+        own.write()
+
+
+def test_run_takes_any_vectoriser(spark, small):
+    rows = studies(spark, small)
+    words = [
+        RegexTokenizer(inputCol="content", outputCol="words"),
+        HashingTF(inputCol="words", outputCol="features", numFeatures=64),
+    ]
+    config = ScreeningConfig(validation="years", n_splits=2, classifiers=("gaussianNB",))
+    for stage in (Pipeline(stages=words), TermVectoriser(k=20)):
+        out = sc.run_screening(rows, config, vectoriser=stage)
+        assert out["predictions"].count() == rows.where("split = 'test'").count()
+        assert out["validation"].count() == 6
+
+
+def test_fold_sums_equal_separate_fits(vectors):
+    """One pass for all folds gives what a fit on each fold's own training rows gives, in every validation."""
+    shared = md.REGISTRY["gaussianNB"]
+    apart = dataclasses.replace(shared, shared=None)
+    for params in ({}, {"var_smoothing": 0.1}):
+        for validate in (md.cross_validate_years, md.cross_validate_series):
+            one, many = ([tuple(r) for r in validate(vectors, s, params, 3).sort("fold").collect()] for s in (shared, apart))
+            assert len(one) == len(many) == 3 and all(a == pytest.approx(b) for a, b in zip(one, many))
+    marked = fd.stratified_folds(vectors, 3)
+    for scoring in ("f1", "f1_macro", "roc_auc"):
+        grid = {"var_smoothing": [1e-9, 0.5]}
+        (a, best_a), (b, best_b) = (md.grid_search(marked, s, grid, scoring) for s in (shared, apart))
+        key = lambda r: (r.candidate, r.fold)
+        assert [r.score for r in sorted(a.collect(), key=key)] == pytest.approx([r.score for r in sorted(b.collect(), key=key)])
+        assert best_a == best_b
+
+
+def test_bayes_by_hand(vectors):
+    """Means, variances and priors of two classes, the usual Gaussian rule."""
+    rows = vectors.collect()
+    train, test = [r for r in rows if r.doc_id < 90], [r for r in rows if r.doc_id >= 90]
+    x = {c: np.array([r.features.toArray() for r in train if r.label == c]) for c in (0, 1)}
+    widest = np.concatenate(list(x.values())).var(axis=0).max()
+    odds = []
+    for c in (1, 0):
+        spread = x[c].var(axis=0) + 1e-9 * widest
+        asked = np.array([r.features.toArray() for r in test])
+        odds.append(np.log(len(x[c])) - 0.5 * (np.log(spread) + (asked - x[c].mean(axis=0)) ** 2 / spread).sum(axis=1))
+    got = md.fit_bayes(vectors.where("doc_id < 90"), {}, 1).transform(vectors.where("doc_id >= 90")).sort("doc_id").collect()
+    assert [r.proba for r in got] == pytest.approx((1 / (1 + np.exp(odds[1] - odds[0]))).tolist())
+
+
+def test_depths_from_one_tree(spark, monkeypatch):
+    """A deep tree read to a depth is the tree fitted to that depth, and a search fits once per fold."""
+    rng = np.random.default_rng(4)
+    rows = [(i, Vectors.dense(rng.normal(size=5)), int(rng.random() < 0.4)) for i in range(400)]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label"]).cache()
+    tried = [{"max_depth": d, "min_samples_split": 4, "class_weight": "balanced"} for d in (0, 1, 3, 6, None)]
+    for params, fitted in zip(tried, md.fit_tree_depths(df, tried, 1)):
+        want = {r.doc_id: (r.pred, r.proba) for r in md.fit_tree(df, params, 1).transform(df).collect()}
+        got = {r.doc_id: (r.pred, r.proba) for r in fitted.transform(df).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert [got[k][1] for k in want] == pytest.approx([v[1] for v in want.values()])
+    fits = []
+    plain = md.DecisionTreeClassifier.fit
+    monkeypatch.setattr(md.DecisionTreeClassifier, "fit", lambda self, rows: fits.append(1) or plain(self, rows))
+    marked = df.withColumn("fold", (F.col("doc_id") % 2 + 1).cast("int"))
+    results, _ = md.grid_search(marked, md.REGISTRY["dt"], {"max_depth": [1, 2, 4], "criterion": ["gini", "entropy"]})
+    assert len(fits) == 4 and results.count() == 12
+
+
 def test_bibliography_to_report(spark, tmp_path):
     rng = np.random.default_rng(2)
     words = {"selected": ["method", "study", "trial"], "removed": ["noise", "other", "thing"]}
@@ -235,3 +330,16 @@ def test_scorings_by_hand(spark, scoring, expected):
     rows = [(1, 1, 0.9), (0, 1, 0.8), (1, 1, 0.8), (0, 0, 0.3), (1, 0, 0.3), (0, 0, 0.1)]
     df = spark.createDataFrame(rows, "label INT, pred INT, proba DOUBLE")
     assert md.score_predictions(df, scoring) == pytest.approx(expected)
+
+
+def test_one_kernel_map_per_kernel_and_gamma(spark, vectors, monkeypatch):
+    """Candidates that share kernel and gamma share one map, in all folds; with all rows as landmarks nothing changes."""
+    marked = fd.stratified_folds(vectors.where("doc_id < 60"), 2)
+    grid = {"kernel": ["rbf", "sigmoid"], "C": [0.5, 2.0], "gamma": [0.5], "landmarks": [100]}
+    plain = dataclasses.replace(md.REGISTRY["svm"], prepare=None, prepared_by=())
+    key = lambda r: (r.candidate, r.fold)
+    want = [r.score for r in sorted(md.grid_search(marked, plain, grid)[0].collect(), key=key)]
+    made, maps = [], md.kn.whitening
+    monkeypatch.setattr(md.kn, "whitening", lambda *a: made.append(1) or maps(*a))
+    got = [r.score for r in sorted(md.grid_search(marked, md.REGISTRY["svm"], grid)[0].collect(), key=key)]
+    assert len(made) == 2 and got == pytest.approx(want, abs=0.1)

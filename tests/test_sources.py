@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from studysift.config import ScreeningConfig
 from studysift.functions import measures as ms
 from studysift.operators import lexicon as lx
+from studysift.operators.storage import stored
 from studysift.operators.folds import temporal_split, with_temporal_split
 from studysift.operators.validate import check_required
 from studysift.plans.analysis import reviewer_agreement, sweep
@@ -64,6 +65,24 @@ def test_entry_order_over_many_splits(spark, tmp_path):
     assert got == [f"title {i}" for i in range(3000)]
 
 
+def test_no_line_is_lost_at_split_starts(spark, tmp_path):
+    """Values full of lines that start with ``@``, in splits of few bytes: some splits begin with one, some hold no head."""
+    lines = "\n".join(f"@line {i} of a value" for i in range(40))
+    text = "".join(entry(f"title {i}", i % 20, note=f"begin {i}\n{lines}\nend") for i in range(60))
+    (tmp_path / "at.bib").write_text(text, encoding="utf-8")
+    for size in ("300", "1000", "7777"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows = bib.read_bib(spark, str(tmp_path / "at.bib")).orderBy("entry_index").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [r.fields["title"] for r in rows] == [f"title {i}" for i in range(60)]
+        assert [r.fields["note"] for r in rows] == [f"begin {i}\n{lines}\nend" for i in range(60)]
+        assert all(r.unread is None for r in rows)
+
+
 def test_labelled_files(spark, tmp_path):
     for n, (name, _, _) in enumerate(bib.LABELLED_FILES):
         (tmp_path / name).write_text(entry(f"t{n}", n) + entry(f"t{n}", n + 5), encoding="utf-8")
@@ -145,8 +164,15 @@ def test_lemmas(spark, monkeypatch, broadcast):
     lexicon = spark.createDataFrame(LEXICON, "surface string, pos string, lemma string")
     got = {r.doc_id: r.lemma for r in lx.lemmatise(tokens, lexicon).collect()}
     assert got == {i: lemma for i, (_, _, lemma) in enumerate(cases)}
-    words = {r.doc_id: r.tokens for r in lx.token_arrays(lx.lemmatise(tokens, lexicon)).collect()}
+    words = {r.doc_id: r.tokens for r in lx.token_arrays(lx.lemmatise(tokens, lexicon, rows_per_key=1)).collect()}
     assert words[0] == ["study"]
+    texts = [(1, ["The", "studies", "ran", "studies", "x"]), (2, ["men", "men"]), (3, []), (4, None), (5, ["plain"])]
+    held = stored(spark.createDataFrame(texts, "doc_id long, tokens array<string>"), "tokens")
+    pos = F.when(F.col("token") == "ran", "v").otherwise("n")
+    changed = {r.doc_id: r.tokens for r in lx.lemmatised_tokens(held, lexicon, pos, rows_per_key=1).collect()}
+    assert changed == {1: ["The", "study", "run", "study", "x"], 2: ["man", "man"], 3: [], 4: None, 5: ["plain"]}
+    counts = stored(tokens.groupBy("token", "pos").agg(F.count("*").alias("n")), "counts")
+    assert {(r.token, r.pos, r.lemma) for r in lx.lemma_counts(counts, lexicon).collect()} == set(cases)
 
 
 def test_tags_fall_back_to_noun(spark):

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from studysift.operators import joins as jn
 from studysift.operators import selection as sel
 from studysift.operators import vectorise as vz
+from studysift.operators.storage import stored
 
 WORDS = "alpha beta gamma delta eps zeta the of".split()
 
@@ -52,11 +54,10 @@ def test_document_terms_are_distinct(docs):
     assert len(rows) == len(set(rows)) == len({(i, t) for i, text, _ in corpus() for t in grams(text)})
 
 
-@pytest.mark.parametrize("hot", [0, 2, 1000])
-def test_tfidf_against_brute_force(docs, hot, monkeypatch):
-    monkeypatch.setattr(vz, "HOT_TERMS", hot)
+@pytest.mark.parametrize("rows_per_key", [1, 4, None])
+def test_tfidf_against_brute_force(docs, rows_per_key):
     train = docs.where("doc_id < 30")
-    weights = vz.tfidf(vz.term_counts(docs), vz.fit_idf(train))
+    weights = vz.tfidf(vz.term_counts(docs), vz.fit_idf(train), rows_per_key)
     got = {(r.doc_id, r.term): r.v for r in weights.collect()}
     want = brute_weights(corpus(), range(30))
     assert got.keys() == want.keys()
@@ -163,8 +164,60 @@ def test_small_scores_are_told_apart(spark):
 
 def test_whole_vocabulary_without_selection(spark):
     features = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "c", 1.0)], "doc_id INT, term STRING, v DOUBLE")
-    best = sel.all_terms(features)
+    best = sel.all_terms(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "term STRING, df LONG"))
     assert sorted(r["rank"] for r in best.collect()) == [1, 2, 3]
     studies = spark.createDataFrame([(1,), (2,), (3,)], "doc_id INT")
     rows = sel.feature_vectors(studies, features, best, 3, bounded=False).collect()
     assert sorted((r.doc_id, round(float(sum(r.features.toArray())), 3)) for r in rows) == [(1, 0.75), (2, 1.0), (3, 0.0)]
+
+
+@pytest.mark.parametrize("rows_per_key", [1, None])
+def test_term_store_gives_the_same_weights_and_scores(spark, docs, rows_per_key):
+    """Norms and class sums from the store agree with the weights written out, for training rows and others."""
+    store = vz.term_store(docs.withColumn("split", F.expr("IF(doc_id < 30, 'train', 'test')")), keep=("doc_id", "label", "split"))
+    in_train = F.col("split") == "train"
+    vocabulary = vz.vocabulary_of(store, in_train)
+    want = brute_weights(corpus(), range(30))
+    norms = vz.norms(store, vocabulary, rows_per_key)
+    assert {r.term: r.n for r in vocabulary.collect()} == Counter(t for _, t in want)
+    rows = vz.weighed(vz.exploded(store), vocabulary, rows_per_key).join(norms, "doc_id")
+    got = {(r.doc_id, r.term): r.w / r.norm for r in rows.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    sums = {r.term: r for r in sel.class_sums(store, norms, 30, in_train).collect()}
+    labels = {i: label for i, _, label in corpus()}
+    assert sums.keys() == {t for _, t in want}
+    for term, r in sums.items():
+        own = [(want[i, t], labels[i]) for i, t in want if t == term and i < 30]
+        assert abs(r.s1 - sum(v for v, c in own if c)) < 1e-12 and abs(r.q0 - sum(v * v for v, c in own if not c)) < 1e-12
+        assert (r.d1, r.d0) == (sum(c for _, c in own), sum(1 - c for _, c in own))
+    best = spark.createDataFrame([(1, "the", 0.0), (2, "alpha beta", 0.0)], "rank int, term string, score double")
+    for bounded in (True, False):
+        made = sel.chosen_vectors(docs, store, norms, vocabulary, best, 2, bounded)
+        for r in made.collect():
+            expected = {i: want[r.doc_id, t] for i, t in enumerate(("the", "alpha beta")) if (r.doc_id, t) in want}
+            assert {e["_i"]: round(e["v"], 12) for e in r.entries} == {i: round(v, 12) for i, v in expected.items()}
+            assert r.features.toArray().tolist() == pytest.approx([expected.get(i, 0.0) for i in range(2)])
+
+
+def test_split_join_bounds_every_key(spark):
+    """A key with more rows than the limit meets its table row in several parts, and no row is lost or doubled."""
+    rows = spark.range(5000).selectExpr("id AS doc_id", "IF(id % 5 = 0, concat('t', id), 'hot') AS term")
+    sizes = stored(rows.groupBy("term").agg(F.count("*").alias("n")), "sizes")
+    table = sizes.select("term", F.length("term").alias("x"))
+    joined = jn.join_split(rows, table, ["term"], sizes, rows_per_key=100)
+    assert joined.count() == 5000 and joined.where("x <> length(term)").isEmpty()
+    assert joined.columns == ["term", "doc_id", "x"]
+    plan = joined._jdf.queryExecution().toString()
+    assert "_part" in plan and "_part" not in jn.join_split(rows, table, ["term"], sizes)._jdf.queryExecution().toString()
+    assert jn.rows_per_key_limit(10**13) * jn.MOST_SPLIT >= 10**13
+    left = jn.join_split(rows, table.where("term = 'hot'"), ["term"], sizes, rows_per_key=100, how="left")
+    assert left.count() == 5000 and left.where("x IS NULL").count() == 1000
+
+
+def test_frequent_keys_are_known_from_sketches(spark):
+    """Every key above the limit is named with at least its count, in any layout; the rest are left out."""
+    rows = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 50 = 1 THEN 'b' ELSE concat('t', id) END AS term")
+    for parts in (1, 7):
+        found = {r.term: r.n for r in jn.frequent_keys(rows.repartition(parts), "term", 500).collect()}
+        assert found.keys() == {"a", "b"} and found["a"] >= 20_000 and found["b"] >= 800
+    assert jn.frequent_keys(rows.where("false"), "term").count() == 0
