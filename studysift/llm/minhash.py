@@ -11,8 +11,9 @@ band with a probability below 1e-8.
 Equal sets are one class from the start. Distinct sets that share a band are verified on their whole sets. A bucket of
 many is not turned into all its pairs: in rounds its members meet one of them, first the smallest, then the one with
 most links so far, and members that are connected already need not meet again. What is left after the rounds, members
-of a bucket in different components that have not met, is paired in blocks; such a pair is verified unless the sizes
-or one bit of each coordinate rule it out (``BITS_APART`` lies over eight deviations beyond what similar sets show).
+of crowded buckets in different components, meets by its rarest shingles: similar sets share one of a short prefix in
+the order of rarity, at places that leave room for the overlap they need. Copies with many changes of their own have
+nothing but those in their prefixes, so a group of copies that are not similar makes no pairs.
 
 Sets travel as 64-bit hashes of their shingles, the middle of a star copied once per block of pairs. Defined results: a
 null text is empty; texts without words have an empty set and are linked with nothing, equal ones neither; null ids are
@@ -40,8 +41,6 @@ ROWS = 5
 WIDTH = BANDS * ROWS
 STAR_ROUNDS = 3
 BLOCK = 256  # pairs that share one copy of a set
-MEMBERS = 512  # members of a bucket in one block when what is left of it is paired
-BITS_APART = 44  # of WIDTH; sets at 0.85 differ in 12 on average
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 CELLS = 1 << 20
 
@@ -94,8 +93,8 @@ def sketches(values: np.ndarray, sizes: np.ndarray, width: int = WIDTH) -> np.nd
     return out
 
 
-def _sketch_batch(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Set sizes, 128-bit names of the sets, band keys and one bit per coordinate."""
+def _sketch_batch(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, 128-bit names of the sets and band keys."""
     import xxhash
 
     sets = [shingle_hashes(t, words) for t in texts]
@@ -111,14 +110,12 @@ def _sketch_batch(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarra
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS)).copy()
     for row in range(ROWS):
         keys = _mixed(keys + bands[:, :, row], row)
-    bits = np.packbits((_mixed(sketch, 0) & np.uint64(1)).astype(bool), axis=1)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
-    return sizes, names, keys, bits
+    return sizes, names, keys
 
 
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, text_key, n, name1, name2, bands, bits)`` of every row."""
-    names = ["doc_id", "text_key", "n", "name1", "name2", "bands", "bits"]
+    """``(doc_id, text_key, n, name1, name2, bands)`` of every row."""
+    names = ["doc_id", "text_key", "n", "name1", "name2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,16 +126,15 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     texts.append(batch.column(2)[at].as_py() or b"")
                     held += len(texts[-1])
                     at += 1
-                sizes, name, keys, bits = _sketch_batch(texts, words)
+                sizes, name, keys = _sketch_batch(texts, words)
                 own = batch.slice(at - len(texts), len(texts))
                 columns = [own.column(0), own.column(1), pa.array(sizes, pa.int64())]
                 columns += [pa.array(name[:, i].astype(np.uint64).view(np.int64)) for i in (0, 1)]
-                for table in (keys.view(np.int64), bits):
-                    flat = pa.array(np.ascontiguousarray(table).reshape(-1))
-                    columns.append(pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * table.shape[1], flat))
+                offsets = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).reshape(-1))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, text_key long, n long, name1 long, name2 long, bands array<long>, bits array<long>"
+    schema = "doc_id long, text_key long, n long, name1 long, name2 long, bands array<long>"
     asked = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("k"), F.col("text").cast("binary"))
     return asked.mapInArrow(run, schema)
 
@@ -189,7 +185,7 @@ def _components(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], similar: int = SIMILAR) -> DataFrame:
-    """``(a, b)``: links of distinct sets ``(row, n, bands, bits)``, enough to connect all that are similar.
+    """``(a, b)``: links of distinct sets ``(row, n, bands)``, enough to connect all that are similar.
 
     ``hashes_of`` gives ``(row, hashes)`` for distinct rows.
     """
@@ -224,7 +220,7 @@ def links(sets: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], similar:
     left = _apart(crowded, found)
     if left.isEmpty():
         return found
-    pairs = stored(_fresh(_blocks(left, sets.select("row", "bits"), similar), met), "minhash_pairs")
+    pairs = stored(_fresh(_by_rare_shingles(left, hashes, similar), met), "minhash_pairs")
     return found.unionByName(verified(pairs, hashes, similar))
 
 
@@ -241,19 +237,28 @@ def _apart(crowded: DataFrame, found: DataFrame) -> DataFrame:
     return stored(rooted.join(split.select("key"), "key"), "minhash_apart")
 
 
-def _blocks(left: DataFrame, bits: DataFrame, similar: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of members of one bucket but different components, unless sizes or bits rule them out."""
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
-    dealt = left.join(bits, "row").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    one = dealt.select("key", F.col("row").alias("a"), F.col("n").alias("m"), F.col("root").alias("a_root"),
-                       F.col("bits").alias("a_bits"), F.col("block").alias("i"), other.alias("j"))
-    two = dealt.select("key", F.col("row").alias("b"), "n", "root", "bits", F.col("block").alias("j"), other.alias("i"))
-    apart = " + ".join(f"bit_count(bits[{i}] ^ a_bits[{i}])" for i in range(-(-WIDTH // 64)))
-    met = one.join(two, ["key", "i", "j"]).filter(
-        f"a < b AND root != a_root AND {_close('n', 'm', similar)} AND {apart} <= {BITS_APART}"
+def _by_rare_shingles(left: DataFrame, hashes: DataFrame, similar: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of rows in different components that may be similar, none that is left out.
+
+    Of two similar sets the larger one has a shingle in its first ``n - similar n + 1`` rarest, the smaller one the same
+    in its first ``n - 2 similar n / (1 + similar) + 1``; a shingle of one row only is placed first and never joined.
+    """
+    rows = left.groupBy("row").agg(F.min("root").alias("root"), F.min("n").alias("n"))
+    items = stored(rows.join(hashes, "row").select("row", "root", "n", F.explode("hashes").alias("h")), "minhash_items")
+    shared = items.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = F.array_sort(F.collect_list(F.struct("c", "h")))
+    placed = items.join(shared, "h").groupBy("row", "root", "n").agg(ordered.alias("o"))
+    placed = placed.select("row", "root", "n", F.size("o").alias("size"), F.posexplode("o").alias("p", "s"))
+    placed = placed.select("row", "root", "n", (F.col("n") - F.col("size") + F.col("p") + 1).alias("at"), F.col("s.h").alias("h"))
+    placed = stored(placed.filter(f"at <= n - ({similar} * n + 99) div 100 + 1"), "minhash_prefixes")
+    whole = 100 + similar
+    short = placed.filter(f"at <= n - ({2 * similar} * n + {whole - 1}) div {whole} + 1")
+    short = short.select("h", *[F.col(c).alias(f"{c}2") for c in ("row", "root", "n", "at")])
+    met = placed.join(short, "h").filter(
+        f"root != root2 AND struct(n2, row2) < struct(n, row) AND {_close('n', 'n2', similar)} "
+        f"AND 1 + least(n - at, n2 - at2) >= ({similar} * (n + n2) + {whole - 1}) div {whole}"
     )
-    return met.select("a", "b").distinct()
+    return met.select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -273,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
         # rows that share id and text come more than once
         return shingle_sets(texts.join(asked, same).select("row", "text"), words).dropDuplicates(["row"])
 
-    edges = links(distinct.select("row", "n", "bands", "bits"), hashes_of, similar)
+    edges = links(distinct.select("row", "n", "bands"), hashes_of, similar)
     roots = stored(components(edges), "minhash_components")
     known = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
