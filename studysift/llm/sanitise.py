@@ -9,7 +9,8 @@ tells most of all.
 
 Only DataFrame functions are used. Texts are read once for the patterns and once for document frequencies, which are
 combined within tasks before the shuffle; nothing but narrow rows is shuffled. Patterns never go back over what they
-have read, so that very long runs of one character take linear time.
+have read, so that very long runs of one character take linear time; places of matches, the text around them and their
+overlaps take time in proportion to the matches of a text.
 
 Defined results: a null text is empty and has no spans; repeated rows are returned each and count as documents; a null
 ``doc_id`` is carried along; an entity in every document has no information and nothing gives it away; an empty table
@@ -18,12 +19,16 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studysift.llm.common import stored, text_of
 
 NEAR = 80  # characters on either side of an entity
+RUN = 64  # matches whose sizes are added up together
+PIECE = 1024  # characters of a text that are cut out together
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"\p{L}{4,}"
 LOCAL = "A-Za-z0-9._%+-"
@@ -37,21 +42,74 @@ KINDS = [
 FOUND = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(sizes: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function from a place in ``sizes`` to the sum of all before it.
+
+    Sums of blocks are added up first, so that n of them take n steps of a block each.
+    """
+
+    def with_blocks(n: Column) -> Column:
+        last = F.floor(F.size(n) / RUN).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(n, k * RUN + 1, F.lit(RUN)), F.lit(0), lambda t, x: t + x)
+        )
+        ends = F.aggregate(
+            blocks, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+        )
+
+        def before(t: Column) -> Callable[[Column], Column]:
+            def at(i: Column) -> Column:
+                block = F.floor(i / RUN).cast("int")
+                own = F.slice(n, block * RUN + 1, i - block * RUN)
+                return F.get(t, block) + F.aggregate(own, F.lit(0), lambda s, x: s + x)
+
+            return at
+
+        return let(ends, lambda t: body(before(t)))
+
+    return let(sizes, with_blocks)
+
+
 def located(text: Column, pattern: str) -> Column:
     """``array<struct<start, value>>`` of all matches, leftmost first; places are counted in code points."""
     between, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.length(part["between"])
-        more = F.array(F.struct(start.alias("start"), part["value"].alias("value")))
-        return F.struct(
-            (start + F.coalesce(F.length(part["value"]), F.lit(0))).alias("at"),
-            F.when(part["value"].isNull(), done["found"]).otherwise(F.concat(done["found"], more)).alias("found"),
+    def placed(p: Column) -> Column:
+        def gap(i: Column) -> Column:
+            return F.length(F.get(p["between"], i))
+
+        sizes = F.transform(p["values"], lambda v, i: gap(i) + F.length(v))
+        return running(
+            sizes,
+            lambda before: F.transform(
+                p["values"], lambda v, i: F.struct((before(i) + gap(i)).alias("start"), v.alias("value"))
+            ),
         )
 
-    none = F.array().cast("array<struct<start:int,value:string>>")
-    parts = F.arrays_zip(between.alias("between"), values.alias("value"))
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda done: done["found"])
+    return let(F.struct(between.alias("between"), values.alias("values")), placed)
+
+
+def in_pieces(text: Column, body: Callable[[Callable[[Column, Column], Column], Column], Column]) -> Column:
+    """``body`` of a function that gives the text between two places, and of the text's length.
+
+    The text is cut into pieces once, so that a place far into it is not counted out from the start each time.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(t: Column) -> Column:
+        def between(low: Column, high: Column) -> Column:
+            first = F.floor(low / PIECE).cast("int")
+            part = F.slice(t["pieces"], first + 1, F.floor(high / PIECE).cast("int") - first + 1)
+            return F.substring(F.array_join(part, ""), low - first * PIECE + 1, high - low)
+
+        return body(between, t["length"])
+
+    return let(F.struct(pieces.alias("pieces"), F.length(text).alias("length")), cut)
 
 
 def digits(value: Column) -> Column:
@@ -102,28 +160,47 @@ def entities(text: Column) -> Column:
 def nearby(text: Column, found: Column) -> Column:
     """Terms near each entity with their places: ``array<struct<entity, term, start, end>>``."""
 
-    def side(e: Column, low: Column, high: Column) -> Column:
-        part = F.substring(text, low + 1, high - low)
-        words = F.filter(
-            located(part, TERM),  # words that the window cuts are left out
-            lambda w: ~((w["start"] == 0) & (low > 0))
-            & ~((w["start"] + F.length(w["value"]) == high - low) & (high < F.length(text))),
-        )
-        return F.transform(
-            words,
-            lambda w: F.struct(
-                F.concat(e["kind"], F.lit(":"), F.lower(e["value"])).alias("entity"),
-                F.lower(w["value"]).alias("term"),
-                (low + w["start"]).alias("start"),
-                (low + w["start"] + F.length(w["value"])).alias("end"),
-            ),
-        )
-
-    def both(e: Column) -> Column:
-        before = side(e, F.greatest(e["start"] - NEAR, F.lit(0)), e["start"])
-        return F.concat(before, side(e, e["end"], F.least(e["end"] + NEAR, F.length(text))))
-
-    return F.flatten(F.transform(found, both))
+    def within(between: Callable[[Column, Column], Column], length: Column) -> Column:
+        def side(e: Column, low: Column, high: Column) -> Column:
+            words = F.filter(
+                located(between(low, high), TERM),  # words that the window cuts are left out
+                lambda w: ~((w["start"] == 0) & (low > 0))
+                & ~((w["start"] + F.length(w["value"]) == high - low) & (high < length)),
+            )
+            return F.transform(
+                words,
+                lambda w: F.struct(
+                    F.concat(e["kind"], F.lit(":"), F.lower(e["value"])).alias("entity"),
+                    F.lower(w["value"]).alias("term"),
+                    (low + w["start"]).alias("start"),
+                    (low + w["start"] + F.length(w["value"])).alias("end"),
+                ),
+            )
+
+        def both(e: Column) -> Column:
+            before = side(e, F.greatest(e["start"] - NEAR, F.lit(0)), e["start"])
+            return F.concat(before, side(e, e["end"], F.least(e["end"] + NEAR, length)))
+
+        return F.flatten(F.transform(found, both))
+
+    return in_pieces(text, within)
+
+
+def outside(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """Terms ``(row, start, end, ...)`` that overlap none of the entities ``(row, start, end)`` of their text.
+
+    Both stand in one order of their starts: an entity that begins before must have ended, and the next one must begin
+    after.
+    """
+    names = [c for c in terms.columns if c not in ("row", "start", "end")]
+    entity = found.select("row", "start", "end", *[F.lit(None).alias(c) for c in names], F.lit(True).alias("base"))
+    both = terms.withColumn("base", F.lit(False)).unionByName(entity)
+    up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("reached", F.max(F.when(F.col("base"), F.col("end"))).over(up))
+    met = met.withColumn("next", F.min(F.when(F.col("base"), F.col("start"))).over(down))
+    free = F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    return met.filter(~F.col("base") & free).select(*terms.columns)
 
 
 def disclosing(contexts: DataFrame, documents: int, frequency: DataFrame) -> DataFrame:
@@ -163,17 +240,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
     telling = stored(disclosing(contexts, found.count(), frequency), "disclosing_terms")
 
     added = rows.join(telling, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("action").alias("action"))
-    added = added.groupBy("row").agg(
+    added = stored(added, "telling_places")
+    base = found.join(added.select("row").distinct(), "row", "left_semi").select("row", F.explode("found").alias("f"))
+    # a term within an entity is gone with it
+    added = outside(added, base.select("row", "f.start", "f.end")).groupBy("row").agg(
         F.collect_list(
             F.struct("start", F.lit(len(KINDS)).alias("order"), F.col("action").alias("kind"), "end", F.col("term").alias("value"))
         ).alias("added")
     )
-    inside = F.filter(  # a term within an entity is gone with it
-        F.coalesce("added", F.array().cast(FOUND)),
-        lambda t: ~F.exists("found", lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])),
-    )
+    more = F.coalesce("added", F.array().cast(FOUND))
     return found.drop("near").join(added, "row", "left").select(
-        "doc_id", "text_key", F.array_sort(F.concat("found", inside)).alias("spans")
+        "doc_id", "text_key", F.array_sort(F.concat("found", more)).alias("spans")
     )
 
 
@@ -184,24 +261,28 @@ def sanitised(docs: DataFrame) -> DataFrame:
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     here = texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["text_key"] == spans["text_key"])
     joined = texts.join(spans, here, "left").select(texts["doc_id"], "text", "spans")
-    text = F.col("text")
 
     def step(done: Column, s: Column) -> Column:
         mask = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "[TERM]")
         mask = mask.otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
+        part = F.struct(done["at"].alias("low"), s["start"].alias("high"), mask.alias("mask"))
         ahead = s["start"] >= done["at"]
         return F.struct(
             F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(ahead, F.concat(done["out"], gap, mask)).otherwise(done["out"]).alias("out"),
+            F.when(ahead, F.concat(done["parts"], F.array(part))).otherwise(done["parts"]).alias("parts"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.array().cast("array<struct<low:int,high:int,mask:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("parts"))
+
+    def masked(between: Callable[[Column, Column], Column], length: Column) -> Column:
+        def put(done: Column) -> Column:
+            parts = F.transform(done["parts"], lambda p: F.concat(between(p["low"], p["high"]), p["mask"]))
+            return F.concat(F.array_join(parts, ""), between(done["at"], length))
 
-    def rest(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+        return F.aggregate("spans", start, step, put)
 
-    return joined.select("doc_id", F.aggregate("spans", start, step, rest).alias("text"), "spans")
+    return joined.select("doc_id", in_pieces(F.col("text"), masked).alias("text"), "spans")
 
 
 def _tell(span: Column) -> Column:

@@ -1,4 +1,7 @@
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from studysift.llm import sanitise
 from tests.llm.cases import ODD, empty, odd, sha
@@ -85,3 +88,28 @@ def test_entities_of_a_single_document(spark):
     assert out[0] == " [TERM] wrote from [EMAIL] today"
     rows = sanitise.digest(sanitise.personal_data(docs)).collect()
     assert rows[0]["spans"].startswith("remove:0:9,")
+
+
+def test_one_text_with_very_many_entities(spark):
+    """16,000 addresses in one text, among them entities that overlap, are found at their places in seconds."""
+    parts = [f"word{i % 97} Zed{i} u{i}@x{i % 50}.example.org é" for i in range(16_000)]
+    text = " ".join(parts) + " 1.2.3.4@a.b"
+    docs = spark.createDataFrame([(1, text), (2, "plain words"), (3, "😀 " * 3000 + "a@b.c")], "doc_id long, text string")
+    begin = time.time()
+    rows = {r["doc_id"]: r for r in sanitise.digest(sanitise.personal_data(docs)).collect()}
+    assert time.time() - begin < 60
+    spans = base(text)
+    assert rows[1]["n_email"] == 16_001 and rows[1]["n_ip"] == 1
+    assert rows[1]["base_sha256"] == sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans))
+    assert rows[3]["spans"] == "email:6000:6005"
+    out = {r["doc_id"]: r["text"] for r in sanitise.sanitised(docs).collect()}
+    assert out[1].count("[EMAIL]") == 16_001 and "@" not in out[1] and out[2] == "plain words"
+    assert out[3] == "😀 " * 3000 + "[EMAIL]"
+
+
+def test_terms_that_overlap_entities(spark):
+    terms = [(1, 0, 4), (1, 5, 9), (1, 12, 15), (1, 20, 25), (2, 3, 6), (3, 0, 2)]
+    found = [(1, 4, 5), (1, 8, 11), (1, 9, 13), (1, 10, 11), (1, 25, 30), (2, 0, 50), (4, 0, 9)]
+    schema = "row long, start int, end int"
+    got = sanitise.outside(spark.createDataFrame(terms, schema).withColumn("term", F.lit("t")), spark.createDataFrame(found, schema))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(1, 0, 4), (1, 20, 25), (3, 0, 2)]
