@@ -19,7 +19,7 @@ bib_fields required_fields dedupe_first duplicate_titles set_overlap surplus_tit
 tokenize normalised_text lemmatize term_frequency document_frequency ngrams idf tfidf
 score_affinity score_chi2 score_anova score_pearson select_k_best
 seeded_shuffle quota_split year_order year_folds time_series_folds stratified_folds
-threshold_sweep pr_curve binary_metrics reviewer_join agreement_distance knn_vote screening_rf
+threshold_sweep pr_curve binary_metrics reviewer_join agreement_distance knn_vote knn_sparse knn_approximate screening_rf screening_nb cv_years
 """.split()
 
 
