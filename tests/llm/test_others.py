@@ -1,5 +1,6 @@
 import gzip
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -155,7 +156,8 @@ def test_shards(spark):
 
 def test_shards_of_odd_documents(spark):
     found = sharding.shard_documents(odd(spark), shards=3).collect()
-    assert len(found) == len(ODD)
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in ODD]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in found), key=str) == sorted(want, key=str)
     by_shard = {}
     for r in found:
         by_shard.setdefault(r["shard"], []).append(r["slot"])
