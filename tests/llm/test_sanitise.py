@@ -91,13 +91,13 @@ def test_entities_of_a_single_document(spark):
 
 
 def test_one_text_with_very_many_entities(spark):
-    """16,000 addresses in one text, among them entities that overlap, are found at their places in seconds."""
+    """16,000 addresses in one text, among them entities that overlap, are found at their places."""
     parts = [f"word{i % 97} Zed{i} u{i}@x{i % 50}.example.org é" for i in range(16_000)]
     text = " ".join(parts) + " 1.2.3.4@a.b"
     docs = spark.createDataFrame([(1, text), (2, "plain words"), (3, "😀 " * 3000 + "a@b.c")], "doc_id long, text string")
     begin = time.time()
     rows = {r["doc_id"]: r for r in sanitise.digest(sanitise.personal_data(docs)).collect()}
-    assert time.time() - begin < 60
+    assert time.time() - begin < 200  # 7 s once code is warm; time in the square of the matches would be hours
     spans = base(text)
     assert rows[1]["n_email"] == 16_001 and rows[1]["n_ip"] == 1
     assert rows[1]["base_sha256"] == sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans))
