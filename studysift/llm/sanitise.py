@@ -1,20 +1,24 @@
 """Personal data by pattern, and what gives it away by corpus co-occurrence.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; they are the protected entities. A term
-that stands near an entity gives it away to the degree that it tells which entity it is: with document frequencies over
-the whole corpus, the pointwise mutual information of term and entity is set against the information content of the
-entity, which it reaches when the term is met with that entity only. From ``GENERALISE`` on a term is replaced by its
-kind, from ``REMOVE`` on it is taken out. No support is asked for: a term met only beside an entity that is met once
-tells most of all.
-
-Only DataFrame functions are used. Texts are read once for the patterns and once for document frequencies, which are
-combined within tasks before the shuffle; nothing but narrow rows is shuffled. Patterns never go back over what they
-have read, so that very long runs of one character take linear time; places of matches, the text around them and their
-overlaps take time in proportion to the matches of a text.
+that stands in a text with an entity gives it away to the degree that it tells which entity it is: with document
+frequencies over the whole corpus, the pointwise mutual information of term and entity is set against the information
+content of the entity, which it reaches when the term is met with that entity only. From ``GENERALISE`` on a term is
+replaced by its class, from ``REMOVE`` on it is taken out, wherever it stands in any text, also far from the entity and
+in texts without one. The class comes from the corpus: a name where most texts that have the term never write it in
+lower case, a plain term otherwise. No support is asked for: a term met only with an entity that is met once tells most
+of all.
+
+Only DataFrame functions are used. Entities that stand in the same texts tell the same about a term and are counted as
+one set, so that a text with thousands of addresses of its own adds one row a term, not thousands. The frequencies bound
+what a term can disclose at most; terms too frequent for the entities of a text are left out before they are counted
+with them. Frequencies are combined within tasks before the shuffle; nothing but narrow rows is shuffled. Patterns never
+go back over what they have read, so that very long runs of one character take linear time; places of matches, the text
+around them and their overlaps take time in proportion to the matches of a text.
 
 Defined results: a null text is empty and has no spans; repeated rows are returned each and count as documents; a null
-``doc_id`` is carried along; an entity in every document has no information and nothing gives it away; an empty table
-gives an empty result.
+``doc_id`` is carried along; an entity in every document has no information and nothing gives it away; a term that is
+part of an entity is gone with it there, and acted on elsewhere if it tells; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studysift.llm.common import stored, text_of
+from studysift.llm.common import small, stored, text_of
 
-NEAR = 80  # characters on either side of an entity
 RUN = 64  # matches whose sizes are added up together
 PIECE = 1024  # characters of a text that are cut out together
 GENERALISE, REMOVE = 0.8, 0.95
@@ -157,33 +160,22 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*[spans_of(text, order) for order in range(len(KINDS))]))
 
 
-def nearby(text: Column, found: Column) -> Column:
-    """Terms near each entity with their places: ``array<struct<entity, term, start, end>>``."""
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
-    def within(between: Callable[[Column, Column], Column], length: Column) -> Column:
-        def side(e: Column, low: Column, high: Column) -> Column:
-            words = F.filter(
-                located(between(low, high), TERM),  # words that the window cuts are left out
-                lambda w: ~((w["start"] == 0) & (low > 0))
-                & ~((w["start"] + F.length(w["value"]) == high - low) & (high < length)),
-            )
-            return F.transform(
-                words,
-                lambda w: F.struct(
-                    F.concat(e["kind"], F.lit(":"), F.lower(e["value"])).alias("entity"),
-                    F.lower(w["value"]).alias("term"),
-                    (low + w["start"]).alias("start"),
-                    (low + w["start"] + F.length(w["value"])).alias("end"),
-                ),
-            )
 
-        def both(e: Column) -> Column:
-            before = side(e, F.greatest(e["start"] - NEAR, F.lit(0)), e["start"])
-            return F.concat(before, side(e, e["end"], F.least(e["end"] + NEAR, length)))
+def terms_of(text: Column) -> Column:
+    """``array<struct<term, name>>`` of the distinct terms; a ``name`` is nowhere in lower case in this text."""
 
-        return F.flatten(F.transform(found, both))
+    def told(words: Column) -> Column:
+        plain = F.filter(words, lambda w: w == F.lower(w))
+        other = F.array_except(F.transform(words, F.lower), plain)
+        return F.concat(
+            F.transform(plain, lambda w: F.struct(w.alias("term"), F.lit(False).alias("name"))),
+            F.transform(other, lambda w: F.struct(w.alias("term"), F.lit(True).alias("name"))),
+        )
 
-    return in_pieces(text, within)
+    return let(F.array_distinct(words_of(text)), told)
 
 
 def outside(terms: DataFrame, found: DataFrame) -> DataFrame:
@@ -203,53 +195,107 @@ def outside(terms: DataFrame, found: DataFrame) -> DataFrame:
     return met.filter(~F.col("base") & free).select(*terms.columns)
 
 
-def disclosing(contexts: DataFrame, documents: int, frequency: DataFrame) -> DataFrame:
-    """``(entity, term, action)`` of the terms that give an entity away.
+def entity_sets(found: DataFrame) -> DataFrame:
+    """``(number, entity_df, mark, check)`` of the sets of entities in each document.
+
+    Entities that stand in the same documents are one set; they are told by two 64-bit sums over the documents' numbers.
+    """
+    names = F.transform("found", lambda e: F.md5(F.concat(e["kind"], F.lit(":"), F.lower(e["value"]))))
+    each = found.filter(F.size("found") > 0).select("number", F.explode(F.array_distinct(names)).alias("entity"))
+    mark, check = F.xxhash64("number"), F.xxhash64("number", F.lit(1))
+    sizes = each.groupBy("entity").agg(
+        F.count("*").alias("entity_df"), F.bit_xor(mark).alias("mark"), F.bit_xor(check).alias("check")
+    )
+    several = stored(sizes.filter("entity_df > 1"), "repeated_entities")
+    return (
+        each.join(small(several, 64), "entity", "left")
+        .select(
+            "number",
+            F.coalesce("entity_df", F.lit(1)).alias("entity_df"),
+            F.coalesce("mark", mark).alias("mark"),
+            F.coalesce("check", check).alias("check"),
+        )
+        .distinct()
+    )
+
+
+def disclosing(found: DataFrame, documents: int, frequency: DataFrame) -> DataFrame:
+    """``(term, action, mask, disclosure)`` of the terms that give an entity away.
 
-    ``contexts`` has a row for each document, entity and term near it; ``frequency`` says in how many documents a term
-    stands at all.
+    ``found`` has the entities and distinct terms of each document; ``frequency`` says in how many documents a term
+    stands at all, and in how many as a name. A term met with an entity is met with it in as many documents as the
+    rarer of both has at most, so that its frequency alone rules most terms out.
     """
-    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    with_entity = contexts.select("doc_id", "text_key", "row", "entity").distinct().groupBy("entity").count()
-    known = pairs.join(with_entity.withColumnRenamed("count", "entity_df"), "entity").join(frequency, "term")
+
+    def frequent(entity_df: str) -> Column:
+        return F.lit(float(documents)) ** (1 - GENERALISE) * F.col(entity_df) ** GENERALISE * (1 + 1e-9)
+
+    sets = stored(entity_sets(found).filter(F.col("entity_df") < documents), "entity_sets")
+    most = sets.groupBy("number").agg(F.max("entity_df").alias("most"))
+    terms = found.filter("terms IS NOT NULL").select("number", "terms").join(most, "number")
+    terms = terms.select("number", "most", F.explode("terms.term").alias("term"))
+    rare = terms.join(frequency, "term").filter(F.col("term_df") <= frequent("most")).drop("most")
+    pairs = rare.join(sets, "number").filter(F.col("term_df") <= frequent("entity_df"))
+    pairs = pairs.groupBy("entity_df", "mark", "check", "term", "term_df", "named").agg(F.count("*").alias("together"))
     content = F.log(F.lit(float(documents)) / F.col("entity_df"))
     mutual = F.log(F.col("together") * float(documents) / (F.col("entity_df") * F.col("term_df")))
-    measured = known.filter("entity_df < " + str(documents)).withColumn("disclosure", mutual / content)
+    most_told = pairs.groupBy("term", "term_df", "named").agg(F.max(mutual / content).alias("disclosure"))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").when(F.col("disclosure") >= GENERALISE, "generalise")
-    return measured.select("entity", "term", action.alias("action"), "disclosure").filter("action IS NOT NULL")
+    mask = F.when(F.col("named") * 2 > F.col("term_df"), "[NAME]").otherwise("[TERM]")
+    told = most_told.select("term", action.alias("action"), mask.alias("mask"), "disclosure").filter("action IS NOT NULL")
+    return told.withColumn("mask", F.when(F.col("action") == "remove", "").otherwise(F.col("mask")))
+
+
+def places(texts: DataFrame, telling: DataFrame) -> DataFrame:
+    """``(row, start, end, action, mask)`` of each occurrence of a telling term in ``(row, text)``.
+
+    Texts without any are ruled out by their distinct words first.
+    """
+    widest = telling.agg(F.max(F.octet_length("term"))).first()[0] or 0
+    telling = small(telling.select("term", "action", "mask"), widest + 32)
+    words = texts.select("row", F.explode(F.array_distinct(F.transform(words_of(F.col("text")), F.lower))).alias("term"))
+    holding = stored(words.join(telling, "term", "left_semi").select("row").distinct(), "telling_texts")
+    spots = texts.join(small(holding, 24), "row", "left_semi").select("row", F.explode(located(F.col("text"), TERM)).alias("w"))
+    spots = spots.select(
+        "row",
+        F.col("w.start").alias("start"),
+        (F.col("w.start") + F.length("w.value")).alias("end"),
+        F.lower("w.value").alias("term"),
+    )
+    return spots.join(telling, "term").select("row", "start", "end", "action", "mask")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, text_key, spans``.
 
     A span is ``struct<start, order, kind, end, value>``; those of ``order`` 4 are added for terms, with the action as
-    their kind.
+    their kind and what stands in their place as their value.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     marked = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text", entities(F.col("text")).alias("found"))
-    near = F.when(F.size("found") > 0, nearby(F.col("text"), F.col("found")))
+    terms = F.when(F.size("found") > 0, terms_of(F.col("text")))
     found = stored(
-        marked.select("doc_id", "text_key", F.monotonically_increasing_id().alias("row"), "found", near.alias("near")),
+        marked.select("doc_id", "text_key", F.monotonically_increasing_id().alias("number"), "found", terms.alias("terms")),
         "personal_data",
     )
-    rows = found.filter("near IS NOT NULL").select("doc_id", "text_key", "row", F.explode("near").alias("n"))
-    rows = rows.select("doc_id", "text_key", "row", "n.*")
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("term_df"))
-    contexts = rows.select("doc_id", "text_key", "row", "entity", "term").distinct()
-    telling = stored(disclosing(contexts, found.count(), frequency), "disclosing_terms")
-
-    added = rows.join(telling, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("action").alias("action"))
-    added = stored(added, "telling_places")
+    words = texts.select(F.explode(terms_of(F.col("text"))).alias("t")).select("t.*")
+    frequency = words.groupBy("term").agg(F.count("*").alias("term_df"), F.count_if("name").alias("named"))
+    telling = stored(disclosing(found, found.count(), frequency), "disclosing_terms")
+
+    # rows that share id and text share their spans
+    row = F.struct("doc_id", "text_key").alias("row")
+    found = found.select("doc_id", "text_key", "found", row)
+    once = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").select(row, "text")
+    added = stored(places(once, telling).distinct(), "telling_places")
     base = found.join(added.select("row").distinct(), "row", "left_semi").select("row", F.explode("found").alias("f"))
     # a term within an entity is gone with it
     added = outside(added, base.select("row", "f.start", "f.end")).groupBy("row").agg(
         F.collect_list(
-            F.struct("start", F.lit(len(KINDS)).alias("order"), F.col("action").alias("kind"), "end", F.col("term").alias("value"))
+            F.struct("start", F.lit(len(KINDS)).alias("order"), F.col("action").alias("kind"), "end", F.col("mask").alias("value"))
         ).alias("added")
     )
     more = F.coalesce("added", F.array().cast(FOUND))
-    return found.drop("near").join(added, "row", "left").select(
+    return found.join(added, "row", "left").select(
         "doc_id", "text_key", F.array_sort(F.concat("found", more)).alias("spans")
     )
 
@@ -263,8 +309,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     joined = texts.join(spans, here, "left").select(texts["doc_id"], "text", "spans")
 
     def step(done: Column, s: Column) -> Column:
-        mask = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "[TERM]")
-        mask = mask.otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        kind = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        mask = F.when(s["order"] == len(KINDS), s["value"]).otherwise(kind)
         part = F.struct(done["at"].alias("low"), s["start"].alias("high"), mask.alias("mask"))
         ahead = s["start"] >= done["at"]
         return F.struct(

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 import time
 
@@ -58,24 +60,24 @@ def test_odd_documents(spark):
 
 
 def test_telling_terms(spark):
-    """A name met with one address only is taken out beside it; common words stay, and so do clean documents."""
+    """A name met with one address only is taken out, a word that mostly is generalised; common words stay."""
     texts = [f"note {i} says director Zanzibar ordered paper from boss@firm.example again" for i in range(5)]
     texts += [f"note {i} says clerk ordered paper from u{i}@x.example again" for i in range(5, 25)]
     texts += ["the director ordered paper", "Zanzi", "paper " * 50]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in sanitise.sanitised(docs).collect()}
-    assert out[0] == "note 0 says [TERM]  ordered paper from [EMAIL] again" or "Zanzibar" not in out[0]
-    assert "ordered paper from [EMAIL] again" in out[0] and "Zanzibar" not in out[0]
+    # D = 28, df(address) = 5: director in 6 texts, log(28 / 6) / log(28 / 5) = 0.894
+    assert out[0] == "note 0 says [TERM]  ordered paper from [EMAIL] again"
     assert out[5] == "note 5 says clerk ordered paper from [EMAIL] again"
-    assert [out[i] for i in (25, 26, 27)] == texts[25:]
+    assert [out[i] for i in (25, 26, 27)] == ["the [TERM] ordered paper", *texts[26:]]
 
 
 def test_disclosure_by_hand(spark):
     texts = [f"{i} Zanzibar a@b.c" for i in range(4)] + ["Zanzibar alone"] + [f"other{i} text" for i in range(11)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = sanitise.digest(sanitise.personal_data(docs)).collect()
+    rows = {r["doc_id"]: r for r in sanitise.digest(sanitise.personal_data(docs)).collect()}
     # D = 16, df(c) = 4, df(t) = 5, together 4: log(4 * 16 / 20) / log(4) = 0.839
-    assert rows[0]["spans"] == "generalise:2:10,email:11:16" and rows[4]["spans"] == ""
+    assert rows[0]["spans"] == "generalise:2:10,email:11:16" and rows[4]["spans"] == "generalise:0:8"
 
 
 def test_entities_of_a_single_document(spark):
@@ -85,8 +87,8 @@ def test_entities_of_a_single_document(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in sanitise.sanitised(docs).collect()}
     # D = 64: df 1 gives 1, df 2 gives log(32) / log(64) = 0.833, df 63 and 64 next to nothing
-    assert out[0] == " [TERM] wrote from [EMAIL] today"
-    rows = sanitise.digest(sanitise.personal_data(docs)).collect()
+    assert out[0] == " [NAME] wrote from [EMAIL] today" and out[1] == "[NAME] wrote from home"
+    rows = {r["doc_id"]: r for r in sanitise.digest(sanitise.personal_data(docs)).collect()}
     assert rows[0]["spans"].startswith("remove:0:9,")
 
 
@@ -113,3 +115,50 @@ def test_terms_that_overlap_entities(spark):
     schema = "row long, start int, end int"
     got = sanitise.outside(spark.createDataFrame(terms, schema).withColumn("term", F.lit("t")), spark.createDataFrame(found, schema))
     assert sorted(tuple(r)[:3] for r in got.collect()) == [(1, 0, 4), (1, 20, 25), (3, 0, 2)]
+
+
+def test_mentions_far_off_and_without_the_entity(spark):
+    """A telling name goes wherever it stands; the same text without an entity in the corpus stays."""
+    far = "plain words of every day " * 40
+    texts = [f"Marguerite Oldenburg, m.o@firm.example. {far}Then Oldenburg left.", "A letter from Oldenburg."]
+    texts += [f"A letter from every day {far}Then plain words left." for _ in range(62)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in sanitise.sanitised(docs).collect()}
+    assert out[0] == f" [NAME], [EMAIL]. {far}Then [NAME] left." and out[1] == "A letter from [NAME]."
+    assert [out[i] for i in range(2, 64)] == texts[2:]
+
+
+def test_disclosure_against_all_pairs(spark):
+    """Every term against every entity of its texts, one by one, and every occurrence in every text."""
+    rng = random.Random(4)
+    names = [f"{a}{b}" for a in ("Alda", "brin", "Corv", "dost") for b in ("mere", "holm", "wick", "Fell")]
+    mails = [f"{c}@x.yy" for c in "abcdefgh"]
+    texts = []
+    for _ in range(120):
+        parts = rng.choices(names, weights=range(1, 17), k=rng.randint(0, 4))
+        for m in rng.sample(range(8), rng.choice((0, 0, 0, 1, 2))):
+            parts += [mails[m], names[m]] if rng.random() < 0.9 else [mails[m]]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += texts[:5]
+    terms = [{w.lower() for w in re.findall(r"[A-Za-z]{4,}", t)} for t in texts]
+    held = [{t[s:e] for s, _, _, e in base(t)} for t in texts]
+    told = {}
+    for term in set().union(*terms):
+        with_term = {i for i, t in enumerate(terms) if term in t}
+        for entity in set().union(*(held[i] for i in with_term)):
+            with_entity = {i for i, h in enumerate(held) if entity in h}
+            d, e = len(texts), len(with_entity)
+            told[term] = max(told.get(term, -9), math.log(d * len(with_term & with_entity) / (e * len(with_term))) / math.log(d / e))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in sanitise.personal_data(docs).collect()}
+    acted = set()
+    for i, text in enumerate(texts):
+        want = [(s, o, k, e) for s, o, k, e in base(text)]
+        for m in re.finditer(r"[A-Za-z]{4,}", text):
+            level = told.get(m.group().lower(), 0)
+            if level >= sanitise.GENERALISE:
+                want.append((m.start(), 4, "remove" if level >= sanitise.REMOVE else "generalise", m.end()))
+                acted.add((want[-1][2], bool(held[i])))
+        assert [(s["start"], s["order"], s["kind"], s["end"]) for s in rows[i]] == sorted(want), text
+    assert len(rows) == len(texts) and {("generalise", False), ("remove", True)} <= acted
