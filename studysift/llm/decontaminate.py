@@ -15,13 +15,15 @@ rows are reported each; a null ``doc_id`` or ``item_id`` is carried along; empty
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studysift.operators.storage import shared_folder
+
 ERROR_RATE = 0.05
 BLOCK_CHARS = 4_000_000
 FOUND = "array<struct<item_id:bigint,distance:int,end:int>>"
@@ -159,14 +161,17 @@ def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """``(doc_id, item_id, distance, end)`` of every document and test item that stands in it within the budget.
 
-    ``end`` is where the best place ends in the normalised text.
+    ``end`` is where the best place ends in the normalised text. The matches of a block of items are written before the
+    next block is read, so that the driver and the plan hold one block however many there are.
     """
+    spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, `end` int"
-    parts = [docs.sparkSession.createDataFrame([], schema)]
+    folder = f"{shared_folder(spark).rstrip('/')}/studysift/item_matches-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(folder)
     for ids, items in item_blocks(benchmark):
         hits = docs.select(F.col("doc_id").cast("long"), F.explode(finder(ids, items, rate)("text")).alias("f"))
-        parts.append(hits.select("doc_id", "f.item_id", "f.distance", "f.end"))
-    return reduce(DataFrame.unionByName, parts)
+        hits.select("doc_id", "f.item_id", "f.distance", "f.end").write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
