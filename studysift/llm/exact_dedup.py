@@ -79,15 +79,15 @@ def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 def exact_duplicates(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """One row per document, dropped ones too: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Groups are counted with a combine before the shuffle, repeated rows travel as one row with a count, and a group
-    that holds a large part of all rows is split by adaptive execution in the join.
+    The recipe alone decides; the digest is each row's own. Groups are counted with a combine before the shuffle,
+    repeated rows travel as one row with a count, and a group that holds a large part of all rows is split by adaptive
+    execution in the join.
     """
-    key = ["recipe", "text_sha256"]
     listed = stored(recipes(docs, hash_bits), "recipes")
-    groups = listed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    rows = listed.groupBy(*key, "doc_id").agg(F.count("*").alias("times"))
+    groups = listed.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    rows = listed.groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("times"))
     return (
-        rows.join(groups, key)
+        rows.join(groups, "recipe")
         .select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
         .select(
             "doc_id",
