@@ -7,8 +7,9 @@ the training texts as a whole. A context that training never met has no say. The
 unigram.
 
 Counting: tasks merge their (DEPTH + 1)-byte strings and words before the shuffle. The tree is worked out where the
-strings lie, dealt by the two bytes before the coded one, so a key has at most 256^DEPTH-1 strings; the two depths above
-have at most 65,280 nodes and pass through the driver. Scoring: the strings and words that make up nearly all text, at
+strings lie, sorted by the three bytes before the coded one: a task holds ``PIECE`` strings at a time, or those of one such
+context if they are more. The nodes of depth 2 are summed by an aggregate and sorted before the strings below them; the
+two depths above have at most 65,280 nodes and pass through the driver. Scoring: the strings and words that make up nearly all text, at
 most ``COMMON_STRINGS`` and ``COMMON_WORDS`` of them, are sent to the tasks; all the others are joined by key, and no
 such key is frequent. Nothing is left out.
 
@@ -37,6 +38,8 @@ COMMON_STRINGS = 1 << 20
 COMMON_WORDS = 300_000
 END = b"\xff"  # no byte of UTF-8
 BLOCK = 1 << 20
+PIECE = 200_000  # distinct strings of which a task works out the tree at a time
+PARTS = 8  # of a pair of bytes, by the byte before them
 HELD_ENTRIES = 1_500_000  # distinct strings a task merges before it hands them on
 LN10 = float(np.log(10))
 READY: dict[str, object] = {}  # lookup tables of this worker
@@ -237,9 +240,9 @@ def prefix(string: np.ndarray, level: int) -> np.ndarray:
     return np.uint64(1 << level) | (string & np.uint64(255)) >> np.uint64(8 - level)
 
 
-def deep_layers(string: np.ndarray, learnt: np.ndarray, depth: int) -> dict[int, Layer]:
-    """Depth 2 and below, of strings whose two bytes before the last lie together."""
-    return {d: Layer(string, learnt, d) for d in range(depth, 1, -1)}
+def deep_layers(string: np.ndarray, learnt: np.ndarray, depth: int, least: int = 2) -> dict[int, Layer]:
+    """Depth ``least`` and below, of strings whose ``least`` bytes before the last lie together."""
+    return {d: Layer(string, learnt, d) for d in range(depth, least - 1, -1)}
 
 
 def deep_nodes(layers: dict[int, Layer], level: int) -> dict[int, tuple[Nodes, np.ndarray]]:
@@ -262,7 +265,7 @@ def code_lengths(string: np.ndarray, layers: dict[int, Layer], shallow: dict[int
         p = np.full(len(string), np.nan)
         for nodes, at in deep_nodes(layers, level).values():
             p = nodes.mix(at, bit, p)
-        for d in (1, 0):  # all levels in one
+        for d in sorted(shallow, reverse=True):  # all levels in one
             key = string & mask(d + 1) & ~np.uint64(255) | prefix(string, level)
             nodes = shallow[d]
             at = np.minimum(np.searchsorted(nodes.key, key), max(len(nodes.key) - 1, 0))
@@ -272,44 +275,125 @@ def code_lengths(string: np.ndarray, layers: dict[int, Layer], shallow: dict[int
     return total
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    string, learnt, seen = (np.concatenate(c) for c in zip(*held))
-    return string.astype(np.uint64), learnt, seen
+def pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows in pieces of ``least`` rows or more, cut only where the first column changes."""
+    held: list[list[np.ndarray]] = []
+    rows, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        place = columns[0]
+        if rows + len(place) >= least:
+            changes = np.flatnonzero(np.concatenate([[last is not None and place[0] != last], place[1:] != place[:-1]]))
+            if len(changes):
+                cut = changes[-1]
+                held.append([c[:cut] for c in columns])
+                yield [np.concatenate(c) for c in zip(*held)]
+                held, rows, columns = [], 0, [c[cut:] for c in columns]
+        held.append(columns)
+        rows, last = rows + len(columns[0]), place[-1]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys, and each value summed over its key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return [key[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)]
+
+
+NODE = ["key", "zeros", "ones", "weighted"]
+NODE_SCHEMA = "key long, zeros long, ones long, weighted double"
+# Two bytes before the coded one, then the one before them: rows of one such place make up whole nodes of depth 3.
+PLACE = "shiftleft(shiftright({0}, 8) & 65535, 8) | (shiftright({0}, 24) & 255)"
+
+
+def _node_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=NODE)
+
+
+def _pair_nodes(counts: DataFrame, depth: int, piece: int) -> DataFrame:
+    """The nodes of depth 2, ``weighted`` summed over what lies below them; each task holds a piece at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, string, learnt in pieces(batches, piece):
+            string = string.astype(np.uint64)
+            layers = deep_layers(string, learnt, depth, 3)
+            for level in range(8):
+                nodes = deep_nodes(layers, level)[3][0]
+                key, *sums = _summed(nodes.key & mask(3), nodes.zeros, nodes.ones, nodes.weighted)
+                yield _node_batch(key.astype(np.int64), *sums)
+
+    placed = counts.select(F.expr(PLACE.format("string")).alias("place"), "string", "learnt")
+    ordered = placed.repartition("place").sortWithinPartitions("place")
+    return ordered.mapInArrow(run, NODE_SCHEMA).groupBy("key").agg(*[F.sum(c).alias(c) for c in NODE[1:]])
 
-def string_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(string, seen, log_p)`` of every string that stands in any text."""
-    dealt = counts.repartition(F.expr("shiftright(string, 8) & 65535"))
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        string, learnt, _ = _columns(batches)
-        layers = deep_layers(string, learnt, depth)
-        for level in range(8):
-            nodes = deep_nodes(layers, level)[2][0]
-            columns = [nodes.key.astype(np.int64), nodes.zeros, nodes.ones, nodes.weighted]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "weighted"])
+def _shallow(pairs: DataFrame) -> dict[int, Nodes]:
+    """The nodes of depth 1 and 0; 65,280 rows at most reach the driver."""
 
-    names = ("zeros", "ones", "weighted")
-    first = dealt.mapInArrow(second, "key long, zeros long, ones long, weighted double")
-    first = first.groupBy(F.expr("key & 65535").alias("key")).agg(*[F.sum(c).alias(c) for c in names])
-    found = first.orderBy("key").toPandas()  # 65,280 rows at most
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, zeros, ones, below = (c.to_numpy() for c in batch.columns)
+            weighted = np.logaddexp(kt_block(zeros, ones), below) - np.log(2)
+            yield _node_batch(*_summed(key & 65535, zeros, ones, weighted))
+
+    summed = pairs.select(*NODE).mapInArrow(run, NODE_SCHEMA).groupBy("key").agg(*[F.sum(c).alias(c) for c in NODE[1:]])
+    found = summed.orderBy("key").toPandas()
     key = found["key"].to_numpy(np.int64).astype(np.uint64)
     zeros, ones = found["zeros"].to_numpy(np.int64), found["ones"].to_numpy(np.int64)
     one, root = Nodes(key, zeros, ones), _merged([(key & np.uint64(255), zeros, ones)])
     # What lies below a node of depth 1 has been summed over its longer contexts already.
     shallow = {1: one.over(key, found["weighted"].to_numpy(float))}
     shallow[0] = Nodes(*root).over(key & np.uint64(255), one.weighted)
+    return shallow
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        string, learnt, seen = _columns(batches)
-        layers = deep_layers(string, learnt, depth)
-        columns = [string.astype(np.int64), seen, code_lengths(string, layers, shallow)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["string", "seen", "log_p"])
+def string_scores(counts: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
+    """``(string, seen, log_p)`` of every string that stands in any text; ``depth`` is 3 or more.
 
-    return dealt.mapInArrow(score, "string long, seen long, log_p double")
+    The second pass deals by the two bytes before the coded one and eight parts of the third, so a frequent pair is
+    split; the nodes of depth 2 go to each part and are sorted before its strings.
+    """
+    pairs = stored(_pair_nodes(counts, depth, piece), "pair_nodes")
+    shallow = _shallow(pairs)
+    strings = counts.select(
+        F.expr(PLACE.format("string")).alias("place"),
+        F.expr(f"shiftright(string, 24) & {PARTS - 1}").cast("int").alias("part"),
+        F.lit(False).alias("node"),
+        F.col("string").alias("key"),
+        F.col("learnt").alias("zeros"),
+        F.col("seen").alias("ones"),
+        F.lit(0.0).alias("weighted"),
+    )
+    above = pairs.select(
+        F.expr("shiftleft(shiftright(key, 8) & 65535, 8)").alias("place"),
+        F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"),
+        F.lit(True).alias("node"),
+        *NODE,
+    )
+    names = ["place", "part", "node", *NODE]
+    rows = strings.select(*names).unionByName(above.select(*names)).withColumn("pair", F.expr("shiftright(place, 8)"))
+    order = ["pair", "part", F.col("node").desc(), "place"]
+    dealt = rows.repartition("pair", "part").sortWithinPartitions(*order).select("place", "node", *NODE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, float)]  # nodes of the pair last met
+        for place, node, key, a, b, weighted in pieces(batches, piece):
+            node, key = node.astype(bool), key.astype(np.uint64)
+            held = [np.concatenate(c) for c in zip(kept, (key[node], a[node], b[node], weighted[node]))]
+            two, once = np.unique(held[0], return_index=True)  # parts of a pair that meet in a task bring them twice
+            zeros, ones, below = (c[once] for c in held[1:])
+            kept = [c[two >> np.uint64(8) == np.uint64(place[-1] >> 8)] for c in (two, zeros, ones, below)]
+            string, learnt, seen = key[~node], a[~node], b[~node]
+            above = {2: Nodes(two, zeros, ones).over(two, below), **shallow}
+            columns = [string.astype(np.int64), seen, code_lengths(string, deep_layers(string, learnt, depth, 3), above)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["string", "seen", "log_p"])
+
+    return dealt.mapInArrow(run, "string long, seen long, log_p double")
 
 
 # Scoring
