@@ -39,8 +39,7 @@ COMMON_WORDS = 300_000
 END = b"\xff"  # no byte of UTF-8
 BLOCK = 1 << 20
 PIECE = 200_000  # distinct strings of which a task works out the tree at a time
-PARTS = 8  # of a pair of bytes, by the byte before them
-HELD_ENTRIES = 1_500_000  # distinct strings a task merges before it hands them on
+HELD_ENTRIES = 1_000_000  # distinct strings a task merges before it hands them on
 LN10 = float(np.log(10))
 READY: dict[str, object] = {}  # lookup tables of this worker
 
@@ -282,7 +281,7 @@ def pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.nd
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [c.to_numpy() for c in batch.columns]
         place = columns[0]
         if rows + len(place) >= least:
             changes = np.flatnonzero(np.concatenate([[last is not None and place[0] != last], place[1:] != place[:-1]]))
@@ -355,39 +354,33 @@ def _shallow(pairs: DataFrame) -> dict[int, Nodes]:
 def string_scores(counts: DataFrame, depth: int = DEPTH, piece: int = PIECE) -> DataFrame:
     """``(string, seen, log_p)`` of every string that stands in any text; ``depth`` is 3 or more.
 
-    The second pass deals by the two bytes before the coded one and eight parts of the third, so a frequent pair is
-    split; the nodes of depth 2 go to each part and are sorted before its strings.
+    The second pass deals by the two bytes before the coded one; a pair with more than ``piece`` strings is split by the
+    third byte into as many parts as it needs. The nodes of depth 2 go to each part and are sorted before its strings.
     """
     pairs = stored(_pair_nodes(counts, depth, piece), "pair_nodes")
     shallow = _shallow(pairs)
-    strings = counts.select(
-        F.expr(PLACE.format("string")).alias("place"),
-        F.expr(f"shiftright(string, 24) & {PARTS - 1}").cast("int").alias("part"),
-        F.lit(False).alias("node"),
-        F.col("string").alias("key"),
-        F.col("learnt").alias("zeros"),
-        F.col("seen").alias("ones"),
-        F.lit(0.0).alias("weighted"),
-    )
-    above = pairs.select(
-        F.expr("shiftleft(shiftright(key, 8) & 65535, 8)").alias("place"),
-        F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"),
-        F.lit(True).alias("node"),
-        *NODE,
-    )
-    names = ["place", "part", "node", *NODE]
-    rows = strings.select(*names).unionByName(above.select(*names)).withColumn("pair", F.expr("shiftright(place, 8)"))
-    order = ["pair", "part", F.col("node").desc(), "place"]
-    dealt = rows.repartition("pair", "part").sortWithinPartitions(*order).select("place", "node", *NODE)
+    pair = F.expr("shiftright(key, 8) & 65535")
+    rows = counts.select(F.col("string").alias("key"), F.col("learnt").alias("zeros"), F.col("seen").alias("ones"))
+    parts = F.least(F.lit(256), F.ceil(F.count("*") / piece)).alias("parts")
+    sizes = F.broadcast(stored(rows.groupBy(pair.alias("pair")).agg(parts), "pair_sizes"))  # 65,536 rows at most
+    # Pair, part, and below them nodes first, then strings by their third byte.
+    part = "pair * 131072 + pmod({0}, parts) * 512"
+    third = "(shiftright(key, 24) & 255)"
+    strings = rows.withColumn("pair", pair).join(sizes, "pair").withColumn("weighted", F.lit(0.0))
+    above = pairs.withColumn("pair", pair).join(sizes, "pair")
+    above = above.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    strings = strings.select(F.expr(f"{part.format(third)} + 256 + {third}").alias("spot"), *NODE)
+    both = strings.unionByName(above.select(F.expr(part.format("part")).alias("spot"), *NODE))
+    dealt = both.repartition(F.expr("shiftright(spot, 9)")).sortWithinPartitions("spot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, float)]  # nodes of the pair last met
-        for place, node, key, a, b, weighted in pieces(batches, piece):
-            node, key = node.astype(bool), key.astype(np.uint64)
+        for spot, key, a, b, weighted in pieces(batches, piece):
+            key, node = key.astype(np.uint64), spot & 256 == 0
             held = [np.concatenate(c) for c in zip(kept, (key[node], a[node], b[node], weighted[node]))]
             two, once = np.unique(held[0], return_index=True)  # parts of a pair that meet in a task bring them twice
             zeros, ones, below = (c[once] for c in held[1:])
-            kept = [c[two >> np.uint64(8) == np.uint64(place[-1] >> 8)] for c in (two, zeros, ones, below)]
+            kept = [c[two >> np.uint64(8) == np.uint64(spot[-1] >> 17)] for c in (two, zeros, ones, below)]
             string, learnt, seen = key[~node], a[~node], b[~node]
             above = {2: Nodes(two, zeros, ones).over(two, below), **shallow}
             columns = [string.astype(np.int64), seen, code_lengths(string, deep_layers(string, learnt, depth, 3), above)]
