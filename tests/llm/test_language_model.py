@@ -120,25 +120,3 @@ def test_lookup():
 def test_better_than_chance_on_held_out_text(spark, small):
     rows = [r for r in lm.scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["bits_per_byte"] for r in rows) / len(rows) < 3.5
-
-
-def test_pieces_end_where_the_place_changes():
-    import pyarrow as pa
-
-    place = np.sort(np.random.default_rng(7).integers(0, 40, 3000))
-    rows = pa.table({"place": place, "row": np.arange(3000)})
-    for least in (1, 100, 10_000):
-        found = list(lm.pieces(rows.to_batches(max_chunksize=17), least))
-        assert np.concatenate([p[1] for p in found]).tolist() == list(range(3000))
-        edges = [(a[0][-1], b[0][0]) for a, b in zip(found, found[1:])]
-        assert all(a != b for a, b in edges)
-        assert len(found) == 1 if least == 10_000 else len(found) > 5
-
-
-def test_piece_size_does_not_change_the_scores(spark, small):
-    """Tiny pieces part the contexts of a pair, whose nodes of depth 2 must still be met."""
-    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("left(text, 300) AS text", "doc_id % 7 = 2 AS held_out")
-    counts = lm.stored(lm.count_strings(docs, 4), "strings")
-    tiny, whole = ({r["string"]: r["log_p"] for r in lm.string_scores(counts, 4, n).collect()} for n in (1, 10**9))
-    assert len(tiny) == counts.count() and tiny.keys() == whole.keys()
-    assert max(abs(tiny[s] - whole[s]) for s in tiny) < 1e-9
