@@ -51,6 +51,20 @@ def test_sparse_neighbours_are_exact(spark, monkeypatch, metric, exclude, postin
     assert found(got) == nearest(train, queries, 4, metric == "manhattan", exclude)
 
 
+@pytest.mark.parametrize("metric,exclude", [("euclidean", False), ("euclidean", True), ("manhattan", True), ("manhattan", False)])
+def test_sparse_blocks_are_exact(spark, monkeypatch, metric, exclude):
+    """Where the bound rules out little both sides are compared in blocks: no pair is written out, results are the same."""
+    monkeypatch.setattr(sn, "VISITED", 0)
+    monkeypatch.setattr(sn, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(sn, "HEAD", 8)
+    monkeypatch.setattr(sn, "candidates", None)
+    rows = sparse_rows(1, 150)
+    train = rows + [(2000 + i, e) for i, e in rows[:30]]
+    queries = train if exclude else [(1000 + i, e) for i, e in sparse_rows(2, 60, width=50)]
+    got = sn.k_nearest_sparse(spark.createDataFrame(train, ROWS), spark.createDataFrame(queries, ROWS), 4, "doc_id", metric, exclude)
+    assert found(got) == nearest(train, queries, 4, metric == "manhattan", exclude)
+
+
 def test_sparse_with_few_or_no_rows(spark):
     train = spark.createDataFrame([(1, [(0, 1.0)]), (2, [])], ROWS)
     queries = spark.createDataFrame([(7, [(0, 0.9), (5, 0.1)]), (8, [])], ROWS)
