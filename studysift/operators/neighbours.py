@@ -1,9 +1,10 @@
 """k nearest neighbours, exact and approximate, and their vote.
 
 Training vectors are grouped around pivots. From the distances to the pivots each query gets a bound on its k-th
-distance, and by the triangle inequality only the cells within that bound can hold a neighbour. A crowded cell is cut
-into blocks of bounded size and so are the queries, which makes every task bounded whatever the data looks like. Each
-task returns its k best per query, never all pairs.
+distance, and by the triangle inequality only the cells within that bound can hold a neighbour. Small cells share a
+block, a crowded cell is cut into blocks of bounded size and so are the queries, which makes every task bounded whatever
+the data looks like. Each task returns its k best per query, never all pairs. Inside a task distances are first formed
+fast, by a matrix product or in single precision; what may be among the k best within their error is compared in full.
 
 The approximate form looks only into buckets of vectors that fall on the same sides of random hyperplanes, in several
 tables of such buckets. A bucket that is too large takes further hyperplanes until it is not; vectors that no plane
@@ -20,11 +21,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studysift.operators.storage import stored
 
 MAX_PIVOTS = 256
 BLOCK_VALUES = 2_000_000
+TILE_ROWS = 32  # queries compared at once
+STRIP = 2048  # rows in such a step
+HEAD = 2048  # rows of a block that give a query its first limit there
+FLOATS = T.ArrayType(T.FloatType())
 METRICS = ("euclidean", "manhattan", "minkowski")
 
 
@@ -47,19 +53,59 @@ def _best_in_block(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, exclud
     if not len(a) or not len(b):
         return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
     b = b.sort_values("_id")
-    ids, vectors, asked = b["_id"].to_numpy(), _matrix(b["_v"]), a["_q"].to_numpy()
-    d = _distances(_matrix(a["_v"]), vectors, metric)
-    if exclude_self:
-        d[ids[None, :] == asked[:, None]] = np.inf
-    # a stable sort over ascending keys settles equal distances by key
-    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, best, axis=1)
-    pairs = pd.DataFrame(
-        {"query": np.repeat(asked, best.shape[1]), "neighbour": ids[best].ravel(), "distance": near.ravel()}
-    )
+    ids, vectors, asked, v = b["_id"].to_numpy(), _matrix(b["_v"]), a["_q"].to_numpy(), _matrix(a["_v"])
+    # rows come by key, so those of a query's own key are together; a key that is null is no one's own
+    own = np.searchsorted(ids, asked, "left"), np.where(asked == asked, np.searchsorted(ids, asked, "right"), 0)
+    n, out, ready = len(b), [], _prepared(vectors, metric)
+    for at in range(0, len(v), TILE_ROWS):
+        tile = v[at : at + TILE_ROWS]
+        rough, error = _rough(tile, ready, metric)
+        for r in range(len(tile) if exclude_self else 0):
+            rough[r, own[0][at + r] : own[1][at + r]] = np.inf
+        first = np.partition(rough[:, : max(HEAD, k)], k - 1, axis=1)[:, k - 1] if n > k else np.full(len(tile), np.inf)
+        for r, limit in enumerate(first + 2 * error):
+            # what is not a number is compared in full
+            near = np.flatnonzero(~(rough[r] > limit))
+            if len(near) > k:
+                near = near[~(rough[r, near] > np.partition(rough[r, near], k - 1)[k - 1] + 2 * error[r])]
+            d = _distances(tile[r : r + 1], vectors[near], metric)[0]
+            if exclude_self:
+                d[ids[near] == asked[at + r]] = np.inf
+            # a stable sort over ascending keys settles equal distances by key
+            best = np.argsort(d, kind="stable")[:k]
+            out.append((np.repeat(asked[at + r], len(best)), ids[near[best]], d[best]))
+    pairs = pd.DataFrame(dict(zip(("query", "neighbour", "distance"), map(np.concatenate, zip(*out)))))
     return pairs[np.isfinite(pairs["distance"])]
 
 
+def _prepared(b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """What :func:`_rough` needs of the rows it is asked for again and again: columns, a sum per row and the largest size."""
+    if metric != "manhattan":
+        sizes = (b * b).sum(axis=1)
+        return np.ascontiguousarray(b.T), sizes, sizes.max()
+    return np.ascontiguousarray(b.T.astype(np.float32)), b.sum(axis=1).astype(np.float32), np.abs(b).sum(axis=1).max()
+
+
+def _rough(a: np.ndarray, ready: tuple[np.ndarray, np.ndarray, float], metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances (squared ones but for Manhattan) between rows of a and prepared rows, and how far off those of a row may be."""
+    columns, sums, largest = ready
+    width = a.shape[1]
+    if metric != "manhattan":
+        own = (a * a).sum(axis=1)
+        return own[:, None] + sums[None, :] - 2.0 * (a @ columns), (width + 8) * 1e-15 * (own + largest)
+    # |x - y| is twice the larger one less both
+    out = np.zeros((len(a), len(sums)), dtype=np.float32)
+    left, larger = a.T.astype(np.float32), np.empty((len(a), STRIP), dtype=np.float32)
+    for at in range(0, len(sums), STRIP):
+        some = out[:, at : at + STRIP]
+        one = larger[:, : some.shape[1]]
+        for x, y in zip(left, columns[:, at : at + STRIP]):
+            some += np.maximum(x[:, None], y[None, :], out=one)
+        some *= 2
+        some -= a.sum(axis=1).astype(np.float32)[:, None] + sums[None, at : at + STRIP]
+    return out, (width + 8) * 2.5e-7 * (np.abs(a).sum(axis=1) + largest)
+
+
 def k_nearest(
     train: DataFrame,
     queries: DataFrame,
@@ -78,8 +124,10 @@ def k_nearest(
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    train = train.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
-    queries = queries.select(F.col(key).cast("long").alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+    # single precision stays so on its way
+    kind = "array<float>" if train.schema[vector].dataType == queries.schema[vector].dataType == FLOATS else "array<double>"
+    train = train.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast(kind).alias("_v"))
+    queries = queries.select(F.col(key).cast("long").alias("_q"), F.col(vector).cast(kind).alias("_v"))
     pivots = pivots or min(MAX_PIVOTS, max(1, math.isqrt(train.count()) // 2))
     picked = train.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(pivots).collect()
     if not picked:
@@ -93,7 +141,7 @@ def k_nearest(
                 d = _distances(_matrix(pdf["_v"]), centres, metric)
                 yield pdf.assign(_cell=d.argmin(axis=1).astype("int32"), _gap=d.min(axis=1))
 
-    celled = train.mapInPandas(to_cells, "_id LONG, _v ARRAY<DOUBLE>, _cell INT, _gap DOUBLE")
+    celled = train.mapInPandas(to_cells, f"_id LONG, _v {kind}, _cell INT, _gap DOUBLE")
     need = k + 1 if exclude_self else k
     sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
     closest = (
@@ -107,9 +155,18 @@ def k_nearest(
         count[row["_cell"]], radius[row["_cell"]] = row["n"], row["r"]
     near_cell = np.array([row["_cell"] for row in closest])
     near_gap = np.array([row["_gap"] for row in closest])
-    blocks = [math.ceil(int(n) / block_rows) for n in count]
+    # cells are put together as long as a block holds them
+    blocks, home, filled = [], np.zeros(len(centres), dtype="int32"), 0
+    for cell in np.argsort(_distances(centres[:1], centres, metric)[0], kind="stable"):
+        if not blocks or filled + count[cell] > block_rows:
+            blocks.append(1)
+            filled = 0
+        filled += count[cell]
+        blocks[-1] = math.ceil(filled / block_rows)
+        home[cell] = len(blocks) - 1
     n_queries = queries.count()
-    slices = max(1, math.ceil(n_queries / block_rows))
+    # queries of small tables too are dealt to every core
+    slices = max(1, math.ceil(n_queries / block_rows), min(queries.sparkSession.sparkContext.defaultParallelism, n_queries // 1024))
 
     def to_reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,23 +177,24 @@ def k_nearest(
                 at = min(need, reach.shape[1]) - 1
                 bound = np.partition(reach, at, axis=1)[:, at] if reach.shape[1] >= need else np.full(len(d), np.inf)
                 hit = (count > 0) & (d - radius <= bound[:, None] * (1 + 1e-9) + 1e-9)
-                yield pdf.assign(_cells=[np.flatnonzero(h).astype("int32") for h in hit])
+                yield pdf.assign(_groups=[np.unique(home[h]) for h in hit])
 
     reached = (
-        queries.mapInPandas(to_reach, "_q LONG, _v ARRAY<DOUBLE>, _cells ARRAY<INT>")
-        .select("_q", "_v", F.explode("_cells").alias("_cell"))
+        queries.mapInPandas(to_reach, f"_q LONG, _v {kind}, _groups ARRAY<INT>")
+        .select("_q", "_v", F.explode("_groups").alias("_group"))
         .withColumn("_slice", F.pmod(F.xxhash64("_q"), F.lit(slices)).cast("int"))
     )
-    n_blocks = F.get(F.array(*[F.lit(max(1, b)) for b in blocks]), F.col("_cell"))
+    n_blocks = F.get(F.array(*[F.lit(max(1, b)) for b in blocks]), F.col("_group"))
     left = reached.select(
-        "_q", "_v", "_cell", "_slice", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_block")
+        "_q", "_v", "_group", "_slice", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_block")
     )
-    right = celled.withColumn("_block", F.pmod(F.xxhash64("_id"), n_blocks.cast("long")).cast("int")).select(
-        "_id", "_v", "_cell", "_block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
+    grouped = celled.select("_id", "_v", F.get(F.array(*[F.lit(int(h)) for h in home]), F.col("_cell")).alias("_group"))
+    right = grouped.withColumn("_block", F.pmod(F.xxhash64("_id"), n_blocks.cast("long")).cast("int")).select(
+        "_id", "_v", "_group", "_block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
     )
 
     compare = partial(_best_in_block, k=k, metric=metric, exclude_self=exclude_self)
-    keys = ["_cell", "_block", "_slice"]
+    keys = ["_group", "_block", "_slice"]
     pairs = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))

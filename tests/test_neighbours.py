@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,25 @@ def clustered(n, width, seed):
     return middles[rng.integers(0, 30, n)] + rng.normal(0, 1, (n, width))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_rough_distances_choose_and_plain_ones_decide(spark, monkeypatch, metric):
+    """Far from the origin fast distances are off, within the error that is named; copies and rows of one's own key stay right."""
+    monkeypatch.setattr(nb, "HEAD", 4)
+    rng = np.random.default_rng(4)
+    x = np.repeat(1e5 + rng.normal(0, 1e-2, (120, 6)), 2, axis=0)
+    full = nb._distances(x[:9], x, metric)
+    rough, error = nb._rough(x[:9], nb._prepared(x, metric), metric)
+    assert (np.abs(rough - (full if metric == "manhattan" else full * full)) <= error[:, None]).all() and rough.shape == full.shape
+    rows = [(i // 2 if i < 40 else i, v) for i, v in enumerate(x)]
+    a = pd.DataFrame({"_q": [i for i, _ in rows], "_v": [v for _, v in rows]})
+    got = nb._best_in_block(a, a.rename(columns={"_q": "_id"}), 3, metric, True)
+    gaps = nb._distances(x, x, metric)
+    want = []
+    for at, (q, _) in enumerate(rows):
+        want += [(q, i) for _, i in sorted((gaps[at, j], i) for j, (i, _) in enumerate(rows) if i != q)[:3]]
+    assert list(zip(got["query"], got["neighbour"])) == want
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_approximate_recall(spark, metric):
     """At least nine of ten true neighbours are found, and every row that is returned has its true distance."""
