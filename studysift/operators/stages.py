@@ -63,10 +63,11 @@ class TermVectoriser(Estimator, _VectoriserParams, DefaultParamsReadable, Defaul
     def _fit(self, dataset: DataFrame) -> TermVectoriserModel:
         everything = F.lit(True)
         store = vz.term_store(dataset, keep=("doc_id", "label"), ngram_range=self.ngram_range())
-        min_df = self.getOrDefault(self.minDf)
-        vocabulary = vz.vocabulary_of(store, everything, min_df)
-        sums = sel.class_sums(store, vz.norms(store, vocabulary), store.count(), everything, min_df)
-        scores = sel.score_terms(sums, sel.class_sizes(store), self.scorer or self.getOrDefault(self.score))
+        min_df, n_docs = self.getOrDefault(self.minDf), dataset.count()
+        known = vz.with_idf(vz.store_vocabulary(store, min_df), F.lit(n_docs))
+        vocabulary = stored(known.select("term", "df", "idf", "n"), "vocabulary")
+        sums = sel.class_sums(store, vz.store_norms(store, n_docs, min_df), n_docs, everything, min_df)
+        scores = sel.score_terms(sums, sel.class_sizes(dataset), self.scorer or self.getOrDefault(self.score))
         best = stored(sel.select_k_best(scores, self.getOrDefault(self.k)), "best-terms")
         return self._copyValues(TermVectoriserModel(vocabulary, best))
 

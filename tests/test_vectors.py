@@ -221,3 +221,37 @@ def test_frequent_keys_are_known_from_sketches(spark):
         found = {r.term: r.n for r in jn.frequent_keys(rows.repartition(parts), "term", 500).collect()}
         assert found.keys() == {"a", "b"} and found["a"] >= 20_000 and found["b"] >= 800
     assert jn.frequent_keys(rows.where("false"), "term").count() == 0
+
+
+@pytest.mark.parametrize("documents_per_term", [1, 1000])
+def test_term_store_carries_frequencies_and_is_shuffled_once(docs, documents_per_term):
+    """Weights and norms follow from the store's own rows: no long row is joined by key or shuffled again."""
+    marked = docs.withColumn("mark", F.expr("IF(doc_id < 30, label, null)"))
+    known = F.col("mark").isNotNull()
+    store = vz.term_store(marked, keep=("doc_id", "mark"), in_train=known, documents_per_term=documents_per_term)
+    tf = {i: Counter(grams(t)) for i, t, _ in corpus()}
+    df, n = Counter(t for i in range(30) for t in tf[i]), Counter(t for c in tf.values() for t in c)
+    got = {(r.doc_id, r.term): (r.tf, r.df, r.n) for r in store.collect()}
+    assert got == {(i, t): (c, df[t], n[t]) for i, counts in tf.items() for t, c in counts.items()}
+    weights = vz.store_tfidf(store, 30)
+    want = brute_weights(corpus(), range(30))
+    found = {(r.doc_id, r.term): r.v for r in weights.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    assert "Exchange hashpartitioning" not in weights._jdf.queryExecution().executedPlan().toString()
+    norms = vz.store_norms(store, 30)
+    plain = sel.term_statistics(vz.store_tfidf(store, 30).where(known).withColumnRenamed("mark", "label"))
+    sums = {r.term: r for r in sel.class_sums(store, norms, 30, known, label="mark").collect()}
+    assert sums.keys() == {r.term for r in plain.collect()}
+    for r in plain.collect():
+        assert all(abs(r[c] - sums[r.term][c]) < 1e-12 for c in ("d1", "d0", "s1", "s0", "q1", "q0"))
+
+
+def test_counted_terms_are_those_of_the_column_expressions(spark):
+    """Words are found by the same pattern whether n-grams are counted in batches or built as a column."""
+    odd = ["İstanbul ΣΑΣ Straße", "x² a_b ١٢ é", "été 𝒜bc 東京 a b cd", "", None, "a,bb;bb.bb\nbb", "don't 3.14 x"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id int, content string")
+    words = rows.select("doc_id", vz.tx.vector_words(F.col("content")).alias("w"))
+    plain = words.select("doc_id", F.explode(vz.tx.ngrams(F.col("w"), 1, 3)).alias("term")).groupBy("doc_id", "term").count()
+    assert {(r.doc_id, r.term, r.tf) for r in vz.term_counts(rows).collect()} == {tuple(r) for r in plain.collect()}
+    with pytest.raises(ValueError):
+        vz.term_counts(rows, ngram_range=(2, 1))
