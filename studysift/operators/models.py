@@ -157,6 +157,7 @@ def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
         featureSubsetStrategy="sqrt",
         seed=seed,
         maxMemoryInMB=512,
+        cacheNodeIds=True,  # deep trees: a row keeps its place in every tree instead of being sent down again
         **_tree_settings(params),
     )
     with _weighted(train, params) as rows:

@@ -343,3 +343,17 @@ def test_one_kernel_map_per_kernel_and_gamma(spark, vectors, monkeypatch):
     monkeypatch.setattr(md.kn, "whitening", lambda *a: made.append(1) or maps(*a))
     got = [r.score for r in sorted(md.grid_search(marked, md.REGISTRY["svm"], grid)[0].collect(), key=key)]
     assert len(made) == 2 and got == pytest.approx(want, abs=0.1)
+
+
+def test_deep_forests_keep_the_place_of_each_row(spark, monkeypatch):
+    """Rows are not sent down every tree again for each group of nodes, and the forest is the one without that."""
+    rng = np.random.default_rng(5)
+    rows = [(i, Vectors.dense(x), int(x[0] + 0.3 * x[1] > 0.6)) for i, x in enumerate(rng.random((200, 4)).tolist())]
+    train = spark.createDataFrame(rows, ["doc_id", "features", "label"])
+    asked, plain = [], md.RandomForestClassifier
+    monkeypatch.setattr(md, "RandomForestClassifier", lambda **k: asked.append(k) or plain(**k))
+    params = {"n_estimators": 3, "max_depth": None}
+    got = md.fit_forest(train, params, 7).transform(train).orderBy("doc_id").collect()
+    monkeypatch.setattr(md, "RandomForestClassifier", lambda **k: plain(**{**k, "cacheNodeIds": False}))
+    want = md.fit_forest(train, params, 7).transform(train).orderBy("doc_id").collect()
+    assert asked[0]["cacheNodeIds"] and [r.proba for r in got] == [r.proba for r in want]
