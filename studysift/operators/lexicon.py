@@ -7,6 +7,10 @@ equals its surface; ``pos`` is n, v or r and everything else counts as n.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from studysift.operators.joins import join_split
 from studysift.operators.storage import stored
 
 MAX_BROADCAST_LEMMAS = 200_000
+MAX_SENT_LEMMAS = 1_000_000  # changed tokens that are sent to the tasks, 16 bytes and two words each
 
 # Endings and their replacements when looking for a base form, by part of speech.
 DETACHMENTS = {
@@ -57,9 +62,9 @@ def lemma_table(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     forms = F.when(F.col("_listed").isNotNull(), F.concat(F.array("token"), "_listed")).otherwise(
         base_candidates(F.col("token"), F.col("pos"))
     )
-    tried = distinct.join(irregular, ["token", "pos"], "left").select(
-        "token", "pos", F.posexplode_outer(forms).alias("i", "form")
-    )
+    # a token that is its own only form cannot change
+    tried = distinct.join(irregular, ["token", "pos"], "left").select("token", "pos", forms.alias("_f"))
+    tried = tried.where(F.size("_f") > 1).select("token", "pos", F.posexplode("_f").alias("i", "form"))
     return (
         tried.join(known, ["form", "pos"])
         .groupBy("token", "pos")
@@ -100,20 +105,52 @@ def lemmatised_tokens(
 ) -> DataFrame:
     """Rows ``(key, tokens)``, a stored table, with every token replaced by its lemma.
 
-    ``pos`` is the part of speech as an expression of the column ``token``, so a token has one lemma. Documents meet
-    only those of their distinct tokens that change, gathered as a map that is no larger than the document.
+    ``pos`` is the part of speech as an expression of the column ``token``, so a token has one lemma. The changed tokens
+    are sent to the tasks up to ``MAX_SENT_LEMMAS``, whatever the size of the lexicon, and no row moves. Beyond that
+    documents meet only those of their distinct tokens that change, gathered as a map that is no larger than the document.
     """
     held = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
     sizes = stored(held.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-sizes")
-    lemmas = lemma_table(sizes.select("token", pos.alias("pos")), lexicon).select("token", "lemma")
-    if _is_small(lexicon):
-        changed = held.join(F.broadcast(lemmas), "token")
-    else:
-        changed = join_split(held, lemmas, ["token"], sizes, spread=key, rows_per_key=rows_per_key)
+    lemmas = stored(lemma_table(sizes.select("token", pos.alias("pos")), lexicon).select("token", "lemma"), "lemmas")
+    if lemmas.limit(MAX_SENT_LEMMAS + 1).count() <= MAX_SENT_LEMMAS:
+        return _swapped(tokens, lemmas)
+    changed = join_split(held, lemmas, ["token"], sizes, spread=key, rows_per_key=rows_per_key)
     maps = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_m"))
-    joined = tokens.join(maps, key, "left")
-    swapped = F.transform("tokens", lambda t: F.coalesce(F.col("_m")[t], t))
-    return joined.withColumn("tokens", F.when(F.col("_m").isNull(), F.col("tokens")).otherwise(swapped)).drop("_m")
+    return _swapped(tokens.join(maps, key, "left"))
+
+
+def _swapped(rows: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """``tokens`` with every token that changes replaced, by one table of lemmas or by the map ``_m`` of each row.
+
+    A batch looks up its distinct tokens, a row its own ones in a dictionary; a map column would be searched from the
+    front for every token.
+    """
+    out = rows.drop("_m")
+    names = out.columns
+    table = None if lemmas is None else rows.sparkSession.sparkContext.broadcast(lemmas.toArrow())
+
+    def by_table(lists: pa.ListArray) -> pa.ListArray:
+        encoded = lists.values.dictionary_encode()
+        words = encoded.dictionary
+        found = pc.index_in(words, value_set=table.value.column("token").combine_chunks())
+        lemma = table.value.column("lemma").combine_chunks().take(found)
+        values = pc.coalesce(lemma, words).take(encoded.indices)
+        return pa.ListArray.from_arrays(lists.offsets, values, mask=lists.is_null())
+
+    def by_map(lists: pa.ListArray, maps: pa.MapArray) -> pa.ListArray:
+        made = []
+        for i in range(len(lists)):
+            own, tokens = dict(maps[i].as_py() or ()), lists[i].as_py()
+            made.append(tokens if not own else [own.get(t, t) for t in tokens])
+        return pa.array(made, pa.list_(pa.string()))
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            made = by_table(lists) if table is not None else by_map(lists, batch.column("_m"))
+            yield pa.RecordBatch.from_arrays([made if c == "tokens" else batch.column(c) for c in names], names=names)
+
+    return rows.mapInArrow(swapped, out.schema)
 
 
 def token_rows(df: DataFrame, toks: Column, key: str = "doc_id") -> DataFrame:

@@ -175,6 +175,21 @@ def test_lemmas(spark, monkeypatch, broadcast):
     assert {(r.token, r.pos, r.lemma) for r in lx.lemma_counts(counts, lexicon).collect()} == set(cases)
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_lemmas_are_looked_up_without_a_map_column(spark, monkeypatch, sent):
+    """A large lexicon with few changed tokens moves no row, and no token searches a map from the front."""
+    monkeypatch.setattr(lx, "MAX_BROADCAST_LEMMAS", 1)
+    monkeypatch.setattr(lx, "MAX_SENT_LEMMAS", 4 if sent else 3)
+    texts = [(1, ["The", "studies", None, "ran", "studies"]), (2, ["men", "boxes"]), (3, []), (4, None), (5, ["plain"])]
+    held = stored(spark.createDataFrame(texts, "doc_id long, tokens array<string>"), "tokens")
+    lexicon = spark.createDataFrame(LEXICON, "surface string, pos string, lemma string")
+    made = lx.lemmatised_tokens(held, lexicon, F.when(F.col("token") == "ran", "v").otherwise("n"))
+    want = {1: ["The", "study", None, "run", "study"], 2: ["man", "box"], 3: [], 4: None, 5: ["plain"]}
+    assert {r.doc_id: r.tokens for r in made.collect()} == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "transform" not in plan and ("Exchange" in plan) != sent
+
+
 def test_tags_fall_back_to_noun(spark):
     df = spark.createDataFrame([("NN",), ("VBZ",), ("RB",), ("JJ",), (".",)], "t string")
     assert [r[0] for r in df.select(lx.pos_of_tag(F.col("t"))).collect()] == ["n", "v", "r", "n", "n"]
