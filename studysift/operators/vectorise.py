@@ -7,11 +7,14 @@ passes over it.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,12 @@ from studysift.operators.storage import stored
 DOCUMENTS_PER_TERM = 5_000_000  # rows of one term that a task takes when a term store is written
 MAX_BROADCAST_NORMS = 4_000_000  # 16 bytes each
 TERMS_PER_BATCH = 100_000
+TERMS_PER_DEAL = 1_000_000
+ROWS_PER_TASK = 1_000_000  # term rows that meet in one task of a term store, by the length of the text
+CHARACTERS_PER_ROW = 2.5
+PACKS_PER_TASK = 8
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def _grams(df: DataFrame, text: str, keep: Sequence[str], ngram_range: tuple[int, int]) -> DataFrame:
@@ -38,12 +47,19 @@ def term_counts(
 
     A document is one row and counted by itself, so no shuffle is needed. Rows leave a task in batches.
     """
+    spaced = df.select(*keep, tx.spaced_words(F.col(text)).alias("_w"))
+    counted = _counter(list(keep), ngram_range, TERMS_PER_BATCH)
+    schema = T.StructType([spaced.schema[name] for name in keep]).add("term", T.StringType()).add("tf", T.IntegerType())
+    return spaced.mapInArrow(counted, schema)
+
+
+def _counter(names: list[str], ngram_range: tuple[int, int], size: int) -> Callable[[Batches], Batches]:
+    """What makes term counts of batches ``(names..., _w)``, about ``size`` rows at a time."""
     low, high = ngram_range
     if not 1 <= low <= high:
         raise ValueError("need 1 <= low <= high")
-    names = list(keep)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Batches) -> Batches:
         for batch in batches:
             texts, at, sizes, terms, tfs = batch.column("_w"), 0, [], [], []
             for i in range(len(batch)):
@@ -54,7 +70,7 @@ def term_counts(
                 sizes.append(len(counts))
                 terms.extend(counts)
                 tfs.extend(counts.values())
-                if len(terms) >= TERMS_PER_BATCH or i + 1 == len(batch):
+                if len(terms) >= size or i + 1 == len(batch):
                     rows = pa.array(np.repeat(np.arange(at, i + 1), sizes))
                     columns = [batch.column(name).take(rows) for name in names]
                     yield pa.RecordBatch.from_arrays(
@@ -62,9 +78,59 @@ def term_counts(
                     )
                     at, sizes, terms, tfs = i + 1, [], [], []
 
-    spaced = df.select(*names, tx.spaced_words(F.col(text)).alias("_w"))
-    schema = T.StructType([spaced.schema[name] for name in names]).add("term", T.StringType()).add("tf", T.IntegerType())
-    return spaced.mapInArrow(counted, schema)
+    return counted
+
+
+def _met_by_term(
+    df: DataFrame, text: str, keep: Sequence[str], ngram_range: tuple[int, int], known: Column, tasks: int
+) -> DataFrame:
+    """``(keep..., term, tf, df, n)``, all rows of a term in one of so many tasks and sorted by term.
+
+    Rows travel in packs, one array a column, since a task has too many of them to hand each over by itself. Only the
+    distinct terms of a task are sorted, the rows follow by their numbers.
+    """
+    spaced = df.select(*keep, known.alias("_in"), tx.spaced_words(F.col(text)).alias("_w"))
+    names, packs = [*keep, "_in"], tasks * PACKS_PER_TASK
+    counted = _counter(names, ngram_range, TERMS_PER_DEAL)
+    fields = T.StructType([spaced.schema[name] for name in names]).add("term", T.StringType()).add("tf", T.IntegerType())
+    packed = T.StructType([T.StructField("_pack", T.IntegerType())])
+    for field in fields:
+        packed = packed.add(field.name, T.ArrayType(field.dataType))
+    out = T.StructType([f for f in fields if f.name != "_in"]).add("df", T.LongType()).add("n", T.LongType())
+
+    def dealt(batches: Batches) -> Batches:
+        for batch in counted(batches):
+            terms = batch.column("term").to_numpy(zero_copy_only=False)
+            pack = (pd.util.hash_array(terms, categorize=False) % packs).astype(np.int32)
+            sizes = np.bincount(pack, minlength=packs)
+            filled = np.flatnonzero(sizes)
+            offsets = pa.array(np.append(0, np.cumsum(sizes[filled])).astype(np.int32))
+            rows = batch.take(pa.array(np.argsort(pack, kind="stable")))
+            arrays = [pa.ListArray.from_arrays(offsets, rows.column(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *arrays], names=packed.names)
+
+    def met(batches: Batches) -> Batches:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        columns = {f.name: pa.concat_arrays([b.column(f.name).flatten() for b in held]) for f in fields}
+        del held
+        encoded, inside = columns.pop("term").dictionary_encode(), columns.pop("_in").to_numpy(zero_copy_only=False)
+        order = pc.sort_indices(encoded.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        terms, codes = encoded.dictionary.take(order), place[encoded.indices.to_numpy()]
+        n = np.bincount(codes, minlength=len(terms))
+        inner = np.bincount(codes[inside.astype(bool)], minlength=len(terms))
+        rows = np.argsort(codes, kind="stable")
+        for at in range(0, len(rows), TERMS_PER_BATCH):
+            some = rows[at : at + TERMS_PER_BATCH]
+            code = codes[some]
+            made = {c: x.take(pa.array(some)) for c, x in columns.items()}
+            made |= {"term": terms.take(pa.array(code)), "df": pa.array(inner[code]), "n": pa.array(n[code])}
+            yield pa.RecordBatch.from_arrays([made[c] for c in out.names], names=out.names)
+
+    return spaced.mapInArrow(dealt, packed).repartition(tasks, "_pack").mapInArrow(met, out)
 
 
 def term_store(
@@ -78,14 +144,17 @@ def term_store(
     """``(keep..., term, tf, df, n)``, written once: term counts with the term's rows in training (``df``) and in all.
 
     ``in_train`` is over ``keep``; without it every row counts. A term has one row a document at most, so while there
-    are few enough documents rows are shuffled by term once and counted where they meet. Beyond that the frequencies are
-    aggregated first and frequent terms split by document.
+    are few enough documents rows are shuffled by term once and counted where they meet, in as many tasks as the length
+    of the text asks for. Beyond that the frequencies are aggregated first and frequent terms split by document.
     """
+    known = F.lit(True) if in_train is None else F.coalesce(in_train, F.lit(False))
+    documents, characters = df.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("long"))).first()
+    if documents <= documents_per_term:
+        grams = (characters or 0) * (ngram_range[1] - ngram_range[0] + 1) / 3 / CHARACTERS_PER_ROW
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / ROWS_PER_TASK))
+        return stored(_met_by_term(df, text, keep, ngram_range, known, tasks), "term-store", "zstd")
     rows = term_counts(df, text, keep, ngram_range)
-    frequencies = {"df": F.count_if(F.lit(True) if in_train is None else in_train), "n": F.count(F.lit(1))}
-    if df.count() <= documents_per_term:
-        by_term = Window.partitionBy("term")
-        return stored(rows.withColumns({c: x.over(by_term) for c, x in frequencies.items()}), "term-store", "zstd")
+    frequencies = {"df": F.count_if(known), "n": F.count(F.lit(1))}
     rows = stored(rows, "term-counts", "zstd")
     sizes = stored(rows.groupBy("term").agg(*[x.alias(c) for c, x in frequencies.items()]), "term-sizes")
     joined = join_split(rows, sizes, ["term"], sizes.select("term", "n"))

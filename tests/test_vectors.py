@@ -246,6 +246,28 @@ def test_term_store_carries_frequencies_and_is_shuffled_once(docs, documents_per
         assert all(abs(r[c] - sums[r.term][c]) < 1e-12 for c in ("d1", "d0", "s1", "s0", "q1", "q0"))
 
 
+@pytest.mark.parametrize("deal, packs", [(1_000_000, 8), (7, 1)])
+def test_term_rows_meet_in_packs(spark, monkeypatch, deal, packs):
+    """All rows of a term come out of one task, sorted by term, without a sort of the long rows; keys may repeat."""
+    monkeypatch.setattr(vz, "TERMS_PER_DEAL", deal)
+    monkeypatch.setattr(vz, "PACKS_PER_TASK", packs)
+    monkeypatch.setattr(vz, "TERMS_PER_BATCH", 5)
+    rows = [(i % 40 if i % 11 else None, t, i % 3 if i % 3 else None) for i, t, _ in corpus()] + [(1, None, 1), (2, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string, mark int").repartition(3)
+    made = vz._met_by_term(docs, "content", ("doc_id", "mark"), (1, 3), F.col("mark").isNotNull(), 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    tf = [(i, mark, Counter(grams(t or ""))) for i, t, mark in rows]
+    df = Counter(t for _, mark, c in tf if mark is not None for t in c)
+    n = Counter(t for _, _, c in tf for t in c)
+    want = Counter((i, mark, t, k, df[t], n[t]) for i, mark, c in tf for t, k in c.items())
+    parts = [[tuple(r) for r in part] for part in made.rdd.glom().collect()]
+    assert Counter(r for part in parts for r in part) == want
+    terms = [[r[2] for r in part] for part in parts]
+    assert terms == [sorted(t) for t in terms] and sum(len(set(t)) for t in terms) == len(n)
+    assert vz._met_by_term(docs.where("false"), "content", ("doc_id", "mark"), (1, 3), F.lit(True), 3).count() == 0
+
+
 def test_counted_terms_are_those_of_the_column_expressions(spark):
     """Words are found by the same pattern whether n-grams are counted in batches or built as a column."""
     odd = ["İstanbul ΣΑΣ Straße", "x² a_b ١٢ é", "été 𝒜bc 東京 a b cd", "", None, "a,bb;bb.bb\nbb", "don't 3.14 x"]
