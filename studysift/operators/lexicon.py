@@ -1,7 +1,7 @@
 """Lemmas by joining tokens with a lexicon table ``(surface, pos, lemma)`` that the user supplies.
 
-Each distinct (token, pos) is resolved once. Where whole texts are lemmatised only the tokens that change travel, as one
-replacement map per document; everything else stays in the document's own row. A base form is a lexicon row whose lemma
+Each distinct (token, pos) is resolved once. Where whole texts are lemmatised only the tokens that change travel, to every
+task or as one replacement map per document; everything else stays in the document's own row. A base form is a lexicon row whose lemma
 equals its surface; ``pos`` is n, v or r and everything else counts as n.
 """
 
