@@ -10,7 +10,8 @@ Counting: tasks merge their (DEPTH + 1)-byte strings and words before the shuffl
 strings lie, dealt by the two bytes before the coded one, so a key has at most 256^DEPTH-1 strings; the two depths above
 have at most 65,280 nodes and pass through the driver. Scoring: the strings and words that make up nearly all text, at
 most ``COMMON_STRINGS`` and ``COMMON_WORDS`` of them, are sent to the tasks; all the others are joined by key, and no
-such key is frequent. Nothing is left out.
+such key is frequent. Nothing is left out. Tasks take texts in small batches, hold the strings of a piece of a block at
+a time, and share one compact table of the frequent strings.
 
 Defined results: a null text is empty, and an empty text is its end mark; a null id counts as empty text for the fold;
 repeated rows are learnt from and scored each; without training texts every decision has probability one half; an empty
@@ -19,13 +20,14 @@ table gives an empty result. Long texts are scored whole, in blocks.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studysift.llm.common import stored
@@ -37,9 +39,12 @@ COMMON_STRINGS = 1 << 20
 COMMON_WORDS = 300_000
 END = b"\xff"  # no byte of UTF-8
 BLOCK = 1 << 20
-HELD_ENTRIES = 1_500_000  # distinct strings a task merges before it hands them on
+PIECE = 1 << 17  # strings of a block that are looked up at a time
+BATCH_BYTES = 4 << 20  # of texts that go to a worker at a time
+BATCH_ROWS = 1 << 16  # that a worker returns at a time
+HELD_ENTRIES = 1_000_000  # strings a task holds before it merges them
+MOST_MERGED = 750_000  # distinct ones beyond which it hands them on
 LN10 = float(np.log(10))
-READY: dict[str, object] = {}  # lookup tables of this worker
 
 
 # Texts as arrays
@@ -51,21 +56,33 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(clean)
 
 
-def strings_of(words: pa.ListArray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every (depth + 1)-byte string of each text as a number, and where each text's strings end."""
+def bytes_of(words: pa.ListArray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, whether a string of a single text starts at each, and where each text's strings end."""
     joined = pc.binary_join(words, " ").cast(pa.large_binary())
     before = pa.scalar(END * depth, pa.large_binary())
     end, nothing = pa.scalar(END, pa.large_binary()), pa.scalar(b"", pa.large_binary())
     padded = pc.binary_join_element_wise(before, joined, end, nothing)
     offsets = np.frombuffer(padded.buffers()[1], np.int64)[padded.offset : padded.offset + len(padded) + 1]
-    data = np.frombuffer(padded.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    data = np.frombuffer(padded.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    n = len(data) - depth
-    strings = np.zeros(max(n, 0), np.uint64)
+    starts = np.ones(max(len(data) - depth, 0), bool)
+    starts[(offsets[1:-1, None] - depth + np.arange(depth)).ravel()] = False
+    return data, starts, offsets[1:] - depth * np.arange(1, len(offsets))
+
+
+def strings_in(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """The (depth + 1)-byte strings that start at these places, as numbers."""
+    strings = np.zeros(len(starts), np.uint64)
     for i in range(depth + 1):
-        strings = strings << np.uint64(8) | data[i : i + n]
-    cross = (offsets[1:-1, None] - depth + np.arange(depth)).ravel()
-    return np.delete(strings, cross), offsets[1:] - depth * np.arange(1, len(offsets))
+        np.left_shift(strings, np.uint64(8), out=strings)
+        np.bitwise_or(strings, data[i : i + len(starts)], out=strings)
+    return strings[starts]
+
+
+def strings_of(words: pa.ListArray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every (depth + 1)-byte string of each text as a number, and where each text's strings end."""
+    data, starts, ends = bytes_of(words, depth)
+    return strings_in(data, starts, depth), ends
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -80,6 +97,40 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             start = stop
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, tasks of actions get batches of about ``BATCH_BYTES``, however long the texts of 10,000 rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A task after which its worker, which later stages use again, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps it and has this
+            if trim:
+                trim(0)
+
+    return run
+
+
+def returned(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of ``BATCH_ROWS``."""
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    for start in range(0, whole.num_rows, BATCH_ROWS):
+        yield whole.slice(start, BATCH_ROWS)
+
+
 # Counting
 
 
@@ -105,15 +156,15 @@ def count_strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 parts.append((key, n * factor, n))
             if sum(len(p[0]) for p in parts) > HELD_ENTRIES:
                 parts = [_merged(parts)]
-                if len(parts[0][0]) > HELD_ENTRIES // 2:
-                    yield as_batch(parts.pop())
+                if len(parts[0][0]) > MOST_MERGED:
+                    yield from as_batches(parts.pop())
         if parts:
-            yield as_batch(_merged(parts))
+            yield from as_batches(_merged(parts))
 
-    def as_batch(part: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in part], names=["string", "learnt", "seen"])
+    def as_batches(part: tuple) -> Iterator[pa.RecordBatch]:
+        return returned([c.astype(np.int64) for c in part], ["string", "learnt", "seen"])
 
-    counted = docs.mapInArrow(run, "string long, learnt long, seen long")
+    counted = docs.mapInArrow(frugal(run), "string long, learnt long, seen long")
     return counted.groupBy("string").agg(F.sum("learnt").alias("learnt"), F.sum("seen").alias("seen"))
 
 
@@ -130,9 +181,9 @@ def count_words(docs: DataFrame) -> DataFrame:
             table = pa.table({"word": words.flatten(), "learnt": learnt})
             found = table.group_by("word").aggregate([("learnt", "sum"), ("learnt", "count")])
             parts.append(found.rename_columns(["word", "learnt", "seen"]))
-            if sum(map(len, parts)) > HELD_ENTRIES // 4:
+            if sum(map(len, parts)) > MOST_MERGED // 2:
                 parts = [merged(parts)]
-                if len(parts[0]) > HELD_ENTRIES // 8:
+                if len(parts[0]) > MOST_MERGED // 4:
                     yield from parts.pop().to_batches()
         if parts:
             yield from merged(parts).to_batches()
@@ -141,7 +192,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         found = pa.concat_tables(parts).group_by("word").aggregate([("learnt", "sum"), ("seen", "sum")])
         return found.rename_columns(["word", "learnt", "seen"])
 
-    counted = docs.mapInArrow(run, "word string, learnt long, seen long").filter("word != ''")
+    counted = docs.mapInArrow(frugal(run), "word string, learnt long, seen long").filter("word != ''")
     return counted.groupBy("word").agg(F.sum("learnt").alias("learnt"), F.sum("seen").alias("seen"))
 
 
@@ -290,10 +341,10 @@ def string_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         for level in range(8):
             nodes = deep_nodes(layers, level)[2][0]
             columns = [nodes.key.astype(np.int64), nodes.zeros, nodes.ones, nodes.weighted]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "weighted"])
+            yield from returned(columns, ["key", "zeros", "ones", "weighted"])
 
     names = ("zeros", "ones", "weighted")
-    first = dealt.mapInArrow(second, "key long, zeros long, ones long, weighted double")
+    first = dealt.mapInArrow(frugal(second), "key long, zeros long, ones long, weighted double")
     first = first.groupBy(F.expr("key & 65535").alias("key")).agg(*[F.sum(c).alias(c) for c in names])
     found = first.orderBy("key").toPandas()  # 65,280 rows at most
     key = found["key"].to_numpy(np.int64).astype(np.uint64)
@@ -307,31 +358,28 @@ def string_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         string, learnt, seen = _columns(batches)
         layers = deep_layers(string, learnt, depth)
         columns = [string.astype(np.int64), seen, code_lengths(string, layers, shallow)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["string", "seen", "log_p"])
+        yield from returned(columns, ["string", "seen", "log_p"])
 
-    return dealt.mapInArrow(score, "string long, seen long, log_p double")
+    return dealt.mapInArrow(frugal(score), "string long, seen long, log_p double")
 
 
 # Scoring
 
 
 class Lookup:
-    """Open-addressing table from 64-bit keys to numbers."""
+    """Open-addressing table from distinct 64-bit keys to numbers; its slots hold the places of the keys."""
 
     MIX = np.uint64(0x9E3779B97F4A7C15)
-    FREE = np.uint64((1 << 64) - 1)
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
         bits = max(4, int(2 * len(key)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.key, self.value = np.full(1 << bits, self.FREE), np.zeros(1 << bits)
-        slot, left = self._slot(key), np.arange(len(key))
+        self.key, self.value, self.at = key, value, np.full(1 << bits, -1, np.int32)
+        slot, left = self._slot(key), np.arange(len(key), dtype=np.int32)
         while len(left):
-            free = self.key[slot[left]] == self.FREE
-            _, winner = np.unique(slot[left][free], return_index=True)
-            won = left[free][winner]
-            self.key[slot[won]], self.value[slot[won]] = key[won], value[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
+            free = left[self.at[slot[left]] < 0]
+            self.at[slot[free]] = free  # of several keys one stays
+            left = left[self.at[slot[left]] != left]
             slot[left] = slot[left] + 1 & self.last
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -339,19 +387,34 @@ class Lookup:
 
     def get(self, key: np.ndarray) -> np.ndarray:
         """Values of the keys; NaN for those that are not there."""
-        slot = self._slot(key)
-        there = self.key[slot]
-        out = np.where(there == key, self.value[slot], np.nan)
-        left = np.flatnonzero((there != key) & (there != self.FREE))
+        out = np.full(len(key), np.nan)
+        slot, left = self._slot(key), np.arange(len(key))
         while len(left):
-            slot[left] = slot[left] + 1 & self.last
-            there = self.key[slot[left]]
-            hit = there == key[left]
-            out[left[hit]] = self.value[slot[left[hit]]]
-            left = left[~hit & (there != self.FREE)]
+            at = self.at[slot]
+            taken = at >= 0
+            slot, left, at = slot[taken], left[taken], at[taken]
+            hit = self.key[at] == key[left]
+            out[left[hit]] = self.value[at[hit]]
+            slot, left = slot[~hit] + 1 & self.last, left[~hit]
         return out
 
 
+def values_of(words: pa.ListArray, depth: int, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The value of every string, zero for those not in the table, their places and themselves, and where texts end."""
+    data, starts, ends = bytes_of(words, depth)
+    value, rare, strings, done = np.zeros(int(starts.sum())), [], [], 0
+    for i in range(0, len(starts), PIECE):
+        part = strings_in(data[i : i + PIECE + depth], starts[i : i + PIECE], depth)
+        found = lookup.get(part)
+        missing = np.flatnonzero(np.isnan(found))
+        found[missing] = 0.0
+        value[done : done + len(part)] = found
+        rare.append(missing + done)
+        strings.append(part[missing])
+        done += len(part)
+    return value, np.concatenate(rare), np.concatenate(strings), ends
+
+
 def common(counts: DataFrame, most: int) -> DataFrame:
     """The entries seen at least as often as the lowest power of two that leaves no more than ``most`` of them."""
     power = F.floor(F.log2("seen")).cast("int")
@@ -369,8 +432,10 @@ def scores(docs: DataFrame, depth: int = DEPTH, strings: int = COMMON_STRINGS, w
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     held = bucket("doc_id", FOLD) == HELD_OUT
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    counted = stored(count_words(texts.select("held_out", "text")), "word_counts")
-    table = stored(string_scores(stored(count_strings(texts.select("held_out", "text"), depth), "strings"), depth), "string_scores")
+    with small_batches(docs.sparkSession):
+        counted = stored(count_words(texts.select("held_out", "text")), "word_counts")
+        strings_seen = stored(count_strings(texts.select("held_out", "text"), depth), "strings")
+    table = stored(string_scores(strings_seen, depth), "string_scores")
 
     trained = texts.agg(F.sum(F.when(~F.col("held_out"), 1).otherwise(0))).first()[0] or 0
     sums = counted.agg(F.sum("learnt"), F.sum((F.col("learnt") > 0).cast("long"))).first()
@@ -379,9 +444,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, strings: int = COMMON_STRINGS, w
 
     top = common(table, strings).select("string", "log_p").toArrow()  # ``strings`` at most
     known = common(counted, words).select("word", "learnt").toArrow()  # ``words`` at most
-    string_key, string_value = top["string"].to_numpy().astype(np.uint64), top["log_p"].to_numpy()
+    lookup = Lookup(top["string"].to_numpy().astype(np.uint64), top["log_p"].to_numpy())
     word_key, word_count = known["word"].combine_chunks(), known["learnt"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, string_key, string_value, word_key, word_count))
+    sent = docs.sparkSession.sparkContext.broadcast((lookup, word_key, word_count))
 
     schema = (
         "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, log_p double, "
@@ -392,20 +457,13 @@ def scores(docs: DataFrame, depth: int = DEPTH, strings: int = COMMON_STRINGS, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        mark, string_key, string_value, word_key, word_count = sent.value
-        if mark not in READY:
-            READY.clear()
-            READY[mark] = Lookup(string_key, string_value)
-        lookup = READY[mark]
+        lookup, word_key, word_count = sent.value
         row = TaskContext.get().partitionId() << 33
         end_log = np.log10(trained + 1) - below
         for batch in blocks(batches, "text"):
             texts = words_of(batch.column("text"))
             n = len(texts)
-            all_strings, ends = strings_of(texts, depth)
-            value = lookup.get(all_strings)
-            rare = np.flatnonzero(np.isnan(value))
-            value[rare] = 0.0
+            value, rare, rare_strings, ends = values_of(texts, depth, lookup)
             total = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
             rare_ends = np.searchsorted(rare, ends)
 
@@ -430,7 +488,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, strings: int = COMMON_STRINGS, w
                 pa.array(np.add.reduceat(is_known.astype(np.int64), first) + int(trained > 0)),
                 pa.array(np.add.reduceat(log_word, first) + end_log),
                 pa.array(total),
-                pa.ListArray.from_arrays(np.concatenate([[0], rare_ends]).astype(np.int32), all_strings[rare].astype(np.int64)),
+                pa.ListArray.from_arrays(np.concatenate([[0], rare_ends]).astype(np.int32), rare_strings.astype(np.int64)),
                 pa.ListArray.from_arrays(
                     np.concatenate([[0], np.searchsorted(rare_word, stop)]).astype(np.int32), flat.take(pa.array(rare_word))
                 ),
@@ -438,7 +496,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, strings: int = COMMON_STRINGS, w
             row += n
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = stored(texts.mapInArrow(run, schema), "scored")
+    with small_batches(docs.sparkSession):
+        rows = stored(texts.mapInArrow(frugal(run), schema), "scored")
     rare_strings = (
         rows.select("row", F.explode("strings").alias("string"))
         .join(table.select("string", "log_p"), "string")

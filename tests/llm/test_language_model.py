@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from studysift.llm import language_model as lm
@@ -120,3 +122,52 @@ def test_lookup():
 def test_better_than_chance_on_held_out_text(spark, small):
     rows = [r for r in lm.scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["bits_per_byte"] for r in rows) / len(rows) < 3.5
+
+
+def peak_bytes(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block():
+    key = np.random.default_rng(0).integers(0, 1 << 48, 1 << 17).astype(np.uint64)
+    key = np.unique(key)
+    assert peak_bytes(lambda: lm.Lookup(key, np.ones(len(key)))) < 64 * len(key)
+    block = lm.words_of(pa.array(["some words of one text " * 40] * 1000))
+    strings = lm.strings_of(block, 5)[0]
+    assert peak_bytes(lambda: lm.strings_of(block, 5)) < 24 * len(strings)
+    key = np.unique(strings)
+    table = lm.Lookup(key, np.ones(len(key)))
+    assert peak_bytes(lambda: lm.values_of(block, 5, table)) < 24 * len(strings)
+
+
+def test_pieces_of_a_block_equal_the_whole(monkeypatch):
+    block = lm.words_of(pa.array(["One text", "", None, "a", "äö one text one", "one text"]))
+    strings, ends = lm.strings_of(block, 3)
+    key = np.unique(strings)
+    table = lm.Lookup(key[::2], np.arange(1.0, 1 + len(key[::2])))
+    for piece in (1, 3, 1000):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        value, rare, rare_strings, stops = lm.values_of(block, 3, table)
+        whole = table.get(strings)
+        assert (value == np.nan_to_num(whole)).all() and (stops == ends).all()
+        assert (rare == np.flatnonzero(np.isnan(whole))).all() and (rare_strings == strings[rare]).all()
+
+
+def test_workers_get_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    long_texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('word ', 2000) AS text")
+    before = spark.conf.get(name, None)
+    with lm.small_batches(spark):
+        rows = long_texts.mapInArrow(sizes, "n long").collect()
+    assert max(r["n"] for r in rows) < 2 * lm.BATCH_BYTES
+    assert spark.conf.get(name, None) == before
