@@ -5,6 +5,8 @@ distance, and by the triangle inequality only the cells within that bound can ho
 block, a crowded cell is cut into blocks of bounded size and so are the queries, which makes every task bounded whatever
 the data looks like. Each task returns its k best per query, never all pairs. Inside a task distances are first formed
 fast, by a matrix product or in single precision; what may be among the k best within their error is compared in full.
+For Manhattan distance the product gives a lower bound: each dimension is cut into a few cells, and it sums the
+differences of the values that lie in different ones.
 
 The approximate form looks only into buckets of vectors that fall on the same sides of random hyperplanes, in several
 tables of such buckets. A bucket that is too large takes further hyperplanes until it is not; vectors that no plane
@@ -30,6 +32,9 @@ BLOCK_VALUES = 2_000_000
 TILE_ROWS = 32  # queries compared at once
 STRIP = 2048  # rows in such a step
 HEAD = 2048  # rows of a block that give a query its first limit there
+CELLS = 4  # of a dimension, for lower bounds of Manhattan distances
+CODED_ROWS = 128  # queries whose lower bounds are formed at once
+LARGEST = 1e30  # sums of a row beyond this, or that are no numbers, leave single precision
 FLOATS = T.ArrayType(T.FloatType())
 METRICS = ("euclidean", "manhattan", "minkowski")
 
@@ -56,18 +61,18 @@ def _best_in_block(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, exclud
     ids, vectors, asked, v = b["_id"].to_numpy(), _matrix(b["_v"]), a["_q"].to_numpy(), _matrix(a["_v"])
     # rows come by key, so those of a query's own key are together; a key that is null is no one's own
     own = np.searchsorted(ids, asked, "left"), np.where(asked == asked, np.searchsorted(ids, asked, "right"), 0)
-    n, out, ready = len(b), [], _prepared(vectors, metric)
-    for at in range(0, len(v), TILE_ROWS):
-        tile = v[at : at + TILE_ROWS]
-        rough, error = _rough(tile, ready, metric)
-        for r in range(len(tile) if exclude_self else 0):
-            rough[r, own[0][at + r] : own[1][at + r]] = np.inf
-        first = np.partition(rough[:, : max(HEAD, k)], k - 1, axis=1)[:, k - 1] if n > k else np.full(len(tile), np.inf)
-        for r, limit in enumerate(first + 2 * error):
-            # what is not a number is compared in full
-            near = np.flatnonzero(~(rough[r] > limit))
-            if len(near) > k:
-                near = near[~(rough[r, near] > np.partition(rough[r, near], k - 1)[k - 1] + 2 * error[r])]
+    n, out = len(b), []
+    bounded = _Floors(vectors) if metric == "manhattan" and n > max(HEAD, k) else None
+    ready = None if bounded and bounded.holds else _prepared(vectors, metric)
+    step = TILE_ROWS if ready else CODED_ROWS
+    for at in range(0, len(v), step):
+        tile, mine = v[at : at + step], [own[0][at : at + step], own[1][at : at + step]]
+        if ready or not _moderate(tile):
+            ready = ready or _prepared(vectors, metric)
+            chosen = _near_rough(tile, ready, k, metric, mine if exclude_self else None, n)
+        else:
+            chosen = bounded.near(tile, k, mine if exclude_self else None)
+        for r, near in enumerate(chosen):
             d = _distances(tile[r : r + 1], vectors[near], metric)[0]
             if exclude_self:
                 d[ids[near] == asked[at + r]] = np.inf
@@ -78,6 +83,79 @@ def _best_in_block(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, exclud
     return pairs[np.isfinite(pairs["distance"])]
 
 
+def _near_rough(
+    tile: np.ndarray, ready: tuple[np.ndarray, np.ndarray, float], k: int, metric: str, own: list[np.ndarray] | None, n: int
+) -> Iterator[np.ndarray]:
+    """The rows that may be among the k nearest of each query, by distances within their error; ``own`` is left out."""
+    rough, error = _rough(tile, ready, metric)
+    if own:
+        for r, (start, end) in enumerate(zip(*own)):
+            rough[r, start:end] = np.inf
+    first = np.partition(rough[:, : max(HEAD, k)], k - 1, axis=1)[:, k - 1] if n > k else np.full(len(tile), np.inf)
+    for r, limit in enumerate(first + 2 * error):
+        # what is not a number is compared in full
+        near = np.flatnonzero(~(rough[r] > limit))
+        if len(near) > k:
+            near = near[~(rough[r, near] > np.partition(rough[r, near], k - 1)[k - 1] + 2 * error[r])]
+        yield near
+
+
+def _moderate(rows: np.ndarray) -> bool:
+    """Whether sums over the rows keep well inside single precision."""
+    return bool((np.abs(rows).sum(axis=1) < LARGEST).all())
+
+
+class _Floors:
+    """Lower bounds of Manhattan distances to the rows of a block, for many queries by one matrix product.
+
+    Each dimension is cut at quantiles of the block. Values in different cells are on known sides of each other, so
+    their difference is a sum of products of what each side knows alone; values in the same cell count as equal.
+    """
+
+    def __init__(self, b: np.ndarray):
+        self.holds = _moderate(b)
+        if self.holds:
+            self.cuts = np.quantile(b, np.arange(1, CELLS) / CELLS, axis=0)
+            self.middle = np.median(b, axis=0)
+            self.rows = (b - self.middle).astype(np.float32)
+            self.largest = np.abs(self.rows).sum(axis=1).max()
+            self.columns = np.ascontiguousarray(self._codes(b, self.rows, "known").T)
+            self.ones = np.ones(b.shape[1], dtype=np.float32)
+
+    def _codes(self, v: np.ndarray, z: np.ndarray, side: str) -> np.ndarray:
+        cell = (v[None] >= self.cuts[:, None, :]).sum(axis=0)
+        above = [(cell >= m).astype(np.float32) for m in range(1, CELLS)]
+        beside = [-z * ((cell == m) | (cell == m - 1)) for m in range(1, CELLS)]
+        alone, one = (z * (cell >= 1)).sum(axis=1, keepdims=True), np.ones((len(v), 1), dtype=np.float32)
+        parts = [*above, *beside, alone, one] if side == "asked" else [*beside, *above, one, alone]
+        return np.concatenate(parts, axis=1, dtype=np.float32)
+
+    def near(self, tile: np.ndarray, k: int, own: list[np.ndarray] | None) -> Iterator[np.ndarray]:
+        """The rows that may be among the k nearest of each query; rows from ``own`` start to end are left out."""
+        z = (tile - self.middle).astype(np.float32)
+        low = self._codes(tile, z, "asked") @ self.columns
+        error = (self.columns.shape[0] + 8) * 2.5e-7 * (np.abs(z).sum(axis=1) + self.largest)
+        if own:
+            for r, (start, end) in enumerate(zip(*own)):
+                low[r, start:end] = np.inf
+        head = np.partition(low[:, : max(HEAD, k)], k - 1, axis=1)[:, k - 1]
+        for r, floor in enumerate(low):
+            # as many rows as are likely to hold a good limit, and always k of them
+            limit = self._kth(z[r], np.flatnonzero(floor <= head[r]), floor, k)[1] + 2 * error[r]
+            near = np.flatnonzero(floor <= limit)
+            d, limit = self._kth(z[r], near, floor, k)
+            yield near[d <= limit + 2 * error[r]]
+
+    def _kth(self, z: np.ndarray, at: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        """Distances to some rows in single precision, and the k-th smallest of them."""
+        gap = self.rows.take(at, axis=0)
+        gap -= z
+        np.abs(gap, out=gap)
+        d = gap @ self.ones
+        d[np.isinf(floor[at])] = np.inf
+        return d, np.partition(d, k - 1)[k - 1]
+
+
 def _prepared(b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, float]:
     """What :func:`_rough` needs of the rows it is asked for again and again: columns, a sum per row and the largest size."""
     if metric != "manhattan":

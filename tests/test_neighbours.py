@@ -124,6 +124,46 @@ def test_rough_distances_choose_and_plain_ones_decide(spark, monkeypatch, metric
     assert list(zip(got["query"], got["neighbour"])) == want
 
 
+def test_manhattan_blocks_are_compared_by_lower_bounds(monkeypatch):
+    """One matrix product rules out most rows of a block, and none that is among the k nearest: copies, own rows, ties."""
+    monkeypatch.setattr(nb, "HEAD", 64)
+    monkeypatch.setattr(nb, "_rough", None)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([clustered(900, 24, 6), np.full((30, 24), 0.5), rng.integers(0, 2, (70, 24)).astype(float)])
+    x[950:960] = x[3]
+    asked = np.r_[np.arange(0, 1000, 9), 3, 955, 920, 925]
+    a = pd.DataFrame({"_q": asked.astype(float), "_v": list(x[asked])})
+    a.loc[4, "_q"] = np.nan  # a key that is null
+    b = pd.DataFrame({"_id": np.arange(1000), "_v": list(x)}).sample(frac=1, random_state=1)
+    gaps = nb._distances(x[asked], x, "manhattan")
+    floors, own = nb._Floors(x), [np.zeros(len(asked), int), np.zeros(len(asked), int)]
+    near = list(floors.near(x[asked], 4, own))
+    assert np.mean([len(rows) for rows in near[:90]]) < 100
+    for exclude in (True, False):
+        want = []
+        for at, q in enumerate(a["_q"]):
+            want += [i for _, i in sorted((gaps[at, j], j) for j in range(1000) if not (exclude and j == q))[:4]]
+        got = nb._best_in_block(a, b, 4, "manhattan", exclude)
+        assert got["neighbour"].tolist() == want
+        assert got["distance"].tolist() == [gaps[i // 4, j] for i, j in enumerate(want)]
+
+
+@pytest.mark.parametrize("odd", [np.nan, np.inf, 1e300])
+def test_manhattan_blocks_with_odd_values(monkeypatch, odd):
+    """Rows that single precision cannot hold are compared as before, on either side."""
+    monkeypatch.setattr(nb, "HEAD", 8)
+    x = clustered(200, 6, 7)
+    x[5, 2] = x[150, 3] = odd
+    for rows, asked in ((x, x[10:20]), (x[6:150], x[:8])):
+        a, b = pd.DataFrame({"_q": -np.arange(1, len(asked) + 1), "_v": list(asked)}), pd.DataFrame({"_id": np.arange(len(rows)), "_v": list(rows)})
+        got = nb._best_in_block(a, b, 3, "manhattan", True)
+        gaps, want = nb._distances(asked, rows, "manhattan"), []
+        for at in range(len(asked)):
+            best = np.argsort(gaps[at], kind="stable")[:3]
+            want += [(-at - 1, i) for i in best if np.isfinite(gaps[at, i])]
+        assert list(zip(got["query"], got["neighbour"])) == want
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_approximate_recall(spark, metric):
     """At least nine of ten true neighbours are found, and every row that is returned has its true distance."""
