@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from studysift.functions import measures as ms
 from studysift.operators import folds as fd
+from studysift.operators import forest as fr
 from studysift.operators import kernel as kn
 from studysift.operators import metrics as mt
 from studysift.operators import moments as mo
@@ -44,6 +45,7 @@ CALIBRATION_FOLDS = 3
 MAX_ITERATIONS = 1000
 PARALLEL_FITS = 4
 FIT_PARTITIONS = 8
+MAX_NODES = 4_000_000  # that the trees of a forest may come to in the driver
 
 
 class Fitted:
@@ -151,19 +153,33 @@ def fit_tree_depths(train: DataFrame, tried: Sequence[Params], seed: int) -> lis
 
 
 def fit_forest(train: DataFrame, params: Params, seed: int) -> Fitted:
-    trees = params.get("n_estimators", 100)
+    """A forest; one that may have more nodes than the driver should hold is grown in the tasks and stays there."""
+    trees, settings = params.get("n_estimators", 100), _tree_settings(params)
+    if trees * 2 ** (settings["maxDepth"] + 1) > MAX_NODES and 2 * trees * (n := train.count()) > MAX_NODES:
+        return _fit_deep_forest(train, n, trees, settings, params, seed)
     forest = RandomForestClassifier(
         numTrees=trees,
         featureSubsetStrategy="sqrt",
         seed=seed,
         maxMemoryInMB=512,
         cacheNodeIds=True,  # deep trees: a row keeps its place in every tree instead of being sent down again
-        **_tree_settings(params),
+        **settings,
     )
     with _weighted(train, params) as rows:
         return _from_probability(forest.fit(rows))
 
 
+def _fit_deep_forest(train: DataFrame, n: int, trees: int, settings: Params, params: Params, seed: int) -> Fitted:
+    labels = mt.with_class_weight(train.select("label"), params.get("class_weight") == "balanced")
+    weights = {r["label"]: float(r["w"]) for r in labels.groupBy("label").agg(F.max("weight").alias("w")).collect()}
+    if not weights.keys() <= {0, 1}:
+        raise ValueError(f"labels must be 0 or 1, got {sorted(weights, key=str)}")
+    width = train.select(F.size(vector_to_array("features"))).first()[0]
+    by_class = weights.get(0, 1.0), weights.get(1, 1.0)
+    asked = fr.Settings(trees, settings["maxDepth"], settings["minInstancesPerNode"], settings["impurity"], by_class, seed, width)
+    return Fitted(fr.fit(train, n, asked).transform)
+
+
 def fit_logistic(train: DataFrame, params: Params, seed: int) -> Fitted:
     # the usual penalty C = 1 on the summed loss is 1 / (C n) on the mean loss
     with _weighted(train, params) as rows:
