@@ -66,6 +66,36 @@ def test_sparse_blocks_are_exact(spark, monkeypatch, metric, exclude):
     assert found(got) == nearest(train, queries, 4, metric == "manhattan", exclude)
 
 
+@pytest.mark.parametrize("codes,whole", [(1024, 2048), (12, 20), (1, 30)])
+def test_sparse_manhattan_blocks_are_compared_by_lower_bounds(monkeypatch, codes, whole):
+    """Frequent dimensions of one or more cuts give bounds, as far as there is room; rare ones and copies count all the same."""
+    for name, value in {"HEAD": 16, "TILE_ROWS": 32, "MOST_CODES": codes, "MOST_WHOLE": whole}.items():
+        monkeypatch.setattr(sn, name, value)
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(600):
+        at = np.flatnonzero(rng.random(60) < np.r_[np.linspace(0.9, 0.1, 30), np.full(30, 0.01)])
+        rows.append((at, np.where(rng.random(len(at)) < 0.3, 0.25, np.round(rng.random(len(at)), 3))))
+    rows[7] = rows[450]
+    rows[8] = np.array([], int), np.array([])
+    b = pd.DataFrame([(j, 1000 + j, i, v, v.sum()) for j, (i, v) in enumerate(rows)], columns=["kind", "id", "i", "v", "nx"])
+    asked = [rows[j] for j in (7, 8, 450, *range(100, 140))] + [(np.array([2, 70, 90]), np.array([0.5, 0.1, 0.2]))]
+    a = pd.DataFrame([(j, i, v, v.sum()) for j, (i, v) in enumerate(asked)], columns=["query", "i", "v", "nq"])
+    assert sn._mostly_frequent(np.concatenate([i for i, _ in rows]), 600) or whole < 60
+    monkeypatch.setattr(sn, "_mostly_frequent", lambda dims, n: False)
+    want = sn._nearest_in_block(a, b, 5, True)
+    monkeypatch.setattr(sn, "_mostly_frequent", lambda dims, n: True)
+    compared = []
+    plain = nb.Floors.plain
+    monkeypatch.setattr(nb.Floors, "plain", lambda self, z, at: compared.append(len(at)) or plain(self, z, at))
+    got = sn._nearest_in_block(a, b.sample(frac=1, random_state=1), 5, True)
+    pd.testing.assert_frame_equal(got, want)
+    assert codes < 1024 or np.mean(compared) < 100
+    # values that single precision cannot hold are compared as before
+    a.loc[0, "nq"] = 1e300
+    assert len(sn._nearest_in_block(a, b, 5, True)) == len(want)
+
+
 def test_sparse_with_few_or_no_rows(spark):
     train = spark.createDataFrame([(1, [(0, 1.0)]), (2, [])], ROWS)
     queries = spark.createDataFrame([(7, [(0, 0.9), (5, 0.1)]), (8, [])], ROWS)
@@ -136,7 +166,7 @@ def test_manhattan_blocks_are_compared_by_lower_bounds(monkeypatch):
     a.loc[4, "_q"] = np.nan  # a key that is null
     b = pd.DataFrame({"_id": np.arange(1000), "_v": list(x)}).sample(frac=1, random_state=1)
     gaps = nb._distances(x[asked], x, "manhattan")
-    floors, own = nb._Floors(x), [np.zeros(len(asked), int), np.zeros(len(asked), int)]
+    floors, own = nb.Floors(x), [np.zeros(len(asked), int), np.zeros(len(asked), int)]
     near = list(floors.near(x[asked], 4, own))
     assert np.mean([len(rows) for rows in near[:90]]) < 100
     for exclude in (True, False):
